@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.jsonGenerator.ignoreNullFields": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join on dataset_id feeds a grouping on it: split a hot dataset even at the price of a shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
