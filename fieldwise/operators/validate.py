@@ -114,6 +114,20 @@ def conversion_objections(rows: DataFrame, bound: DataFrame) -> DataFrame:
     )
 
 
+def field_counts(rows: DataFrame, bound: DataFrame) -> DataFrame:
+    """dataset_id, target_field, rows, converted, violations; one hash-aggregated pass."""
+    checks = bound.filter(F.col("col_idx").isNotNull() | F.col("constant").isNotNull()).withColumn("rank", F.lit(0))
+    cells = rows.join(_checks_per_dataset(checks), "dataset_id").select("dataset_id", "cells", F.explode("_checks").alias("c"))
+    raw = raw_value(F.col("cells"), F.col("c.col_idx"), F.col("c.constant"))
+    judged = cells.select(
+        "dataset_id", F.col("c.target_field").alias("target_field"), conversion_flag(raw, F.col("c")).alias("_bad"),
+        violation(raw, F.col("c.locale"), F.col("c")).isNotNull().alias("_off"),
+    )
+    return judged.groupBy("dataset_id", "target_field").agg(
+        F.count("*").alias("rows"), F.count_if(~F.coalesce("_bad", F.lit(False))).alias("converted"), F.count_if("_off").alias("violations")
+    )
+
+
 def inferred_violation(b: Column) -> Column:
     """V5: an inferred value meets the same checks, with no locale."""
     return F.when(b["inferred_value"].isNotNull(), violation(b["inferred_value"], F.lit(None).cast("string"), b))

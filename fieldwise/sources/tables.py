@@ -1,0 +1,44 @@
+"""Dictionary tables on shared storage: immutable parquet versions in one folder.
+
+A version counts only once Spark's `_SUCCESS` marker is there, so a writer that loses its
+executors or its driver leaves the previous version in force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folders(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(root)]
+    done = [
+        int(name[2:]) for name, folder in names
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
+    ]
+    return sorted(done)
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    versions = _folders(spark, path)
+    return versions[-1] if versions else None
+
+
+def read_table(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """A version of a table, the newest complete one by default; empty before the first write."""
+    number = version if version is not None else current_version(spark, path)
+    if number is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/v={number}")
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Write the next version; readers move to it when it is complete."""
+    spark = df.sparkSession
+    number = (current_version(spark, path) or 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v={number}")
+    return number
