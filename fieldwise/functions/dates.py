@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -53,49 +53,49 @@ def _real_day(year: Column, month: Column, day: Column) -> Column:
     return (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= length)
 
 
-def date_parts(c: Column) -> Column:
-    """One struct of everything order evidence needs from a value; null fields where shapeless.
+def with_date_parts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds, per named value, one struct of everything order evidence needs; null fields where shapeless.
 
-    `code` packs separator, year width and time suffix into 0..17, so formats compare as integers.
+    Staged projections: text, shape and number pieces are each computed once per value and only
+    referred to afterwards. `code` packs separator, year width and time suffix into 0..17, so
+    formats compare as integers.
     """
-    text = strip(c)
-    shape = date_shape(c)
-    numbers = F.transform(F.split(text, r"[^0-9]+"), lambda x: x.try_cast("bigint"))
-    at = lambda i: F.try_element_at(numbers, F.lit(i))
-    sep_text = F.when(shape == "iso", F.substring(text, 5, 1)).otherwise(
-        F.regexp_extract(text, r"^[0-9]{1,2}([/\-.])", 1)
-    )
+    kept = df.columns
+    df = df.withColumns({f"{n}_text": strip(v) for n, v in values.items()})
+    df = df.withColumns({f"{n}_shape": date_shape(F.col(f"{n}_text")) for n in values})
+    df = df.withColumns({
+        f"{n}_pieces": F.when(F.col(f"{n}_shape").isin("iso", "dm"), F.split(f"{n}_text", r"[^0-9]+")) for n in values
+    })
+    df = df.withColumns({
+        f"{n}_n{i}": F.try_element_at(f"{n}_pieces", F.lit(i)).try_cast("int") for n in values for i in range(1, 7)
+    })
+    return df.select(*kept, *[_parts(n).alias(n) for n in values])
+
+
+def _parts(name: str) -> Column:
+    text, shape, pieces = (F.col(f"{name}_{k}") for k in ("text", "shape", "pieces"))
+    one, two, three, hour, minute, second = (F.col(f"{name}_n{i}") for i in range(1, 7))
+    iso, dm = shape == "iso", shape == "dm"
+    sep_at = F.when(iso, 5).otherwise(F.length(F.try_element_at(pieces, F.lit(1))) + 1)
+    sep_text = F.substring(text, sep_at, F.lit(1))
     sep = F.when(sep_text == "-", 0).when(sep_text == "/", 1).otherwise(2)
-    pieces = F.size(numbers)
-    time_code = F.when(pieces <= 3, 0).when(pieces == 4, 0).when(pieces == 5, 1).otherwise(2)
-    clock = (pieces <= 3) | (
-        (at(4) <= 23) & (at(5) <= 59) & (F.coalesce(at(6), F.lit(0)) <= 59)
-    )
-    year_width = F.when(
-        shape == "dm", F.when(F.length(F.try_element_at(F.split(text, r"[^0-9]+"), F.lit(3))) == 4, 1).otherwise(0)
-    ).otherwise(1)
-    full_year = F.when(year_width == 1, at(3)).otherwise(
-        F.when(at(3) >= 69, at(3) + 1900).otherwise(at(3) + 2000)
-    )
+    time_code = F.when(hour.isNull(), 0).when(second.isNull(), 1).otherwise(2)
+    clock = hour.isNull() | ((hour <= 23) & (minute <= 59) & (F.coalesce(second, F.lit(0)) <= 59))
+    long_year = F.length(F.try_element_at(pieces, F.lit(3))) == 4
+    full_year = F.when(long_year, three).when(three >= 69, three + 1900).otherwise(three + 2000)
     compact_ok = _real_day(
-        F.substring(text, 1, 4).try_cast("int"),
-        F.substring(text, 5, 2).try_cast("int"),
-        F.substring(text, 7, 2).try_cast("int"),
+        F.substring(text, 1, 4).try_cast("int"), F.substring(text, 5, 2).try_cast("int"), F.substring(text, 7, 2).try_cast("int"),
     )
-    dm = shape == "dm"
+    short = F.length(text) <= 9
     return F.struct(
         shape.alias("shape"),
-        F.when(shape.isin("iso", "dm"), sep * 6 + year_width * 3 + time_code).cast("int").alias("code"),
-        F.when(dm, at(1) > 12).alias("first_over"),
-        F.when(dm, at(2) > 12).alias("second_over"),
-        F.when(shape == "iso", _real_day(at(1), at(2), at(3)) & clock)
-        .when(shape == "compact", compact_ok)
-        .alias("iso_ok"),
-        F.when(dm, _real_day(full_year, at(2), at(1)) & clock).alias("day_first_ok"),
-        F.when(dm, _real_day(full_year, at(1), at(2)) & clock).alias("month_first_ok"),
-        F.when(shape == "int", F.length(text) <= 9)
-        .alias("short_int"),
-        F.when((shape == "int") & (F.length(text) <= 9), text.try_cast("bigint")).alias("serial"),
+        F.when(iso | dm, sep * 6 + F.when(iso | long_year, 3).otherwise(0) + time_code).cast("int").alias("code"),
+        F.when(dm, one > 12).alias("first_over"),
+        F.when(dm, two > 12).alias("second_over"),
+        F.when(iso, _real_day(one, two, three) & clock).when(shape == "compact", compact_ok).alias("iso_ok"),
+        F.when(dm, _real_day(full_year, two, one) & clock).alias("day_first_ok"),
+        F.when(dm, _real_day(full_year, one, two) & clock).alias("month_first_ok"),
+        F.when(shape == "int", short & F.coalesce(F.when(short, text.try_cast("int")).between(SERIAL_MIN, SERIAL_MAX), F.lit(False))).alias("serial_ok"),
     )
 
 
@@ -121,12 +121,7 @@ def order_aggregates(parts: Column, row_idx: Column) -> dict[str, Column]:
         "second_over": F.bool_or(parts["second_over"]),
         "day_first_ok": F.bool_and(parts["day_first_ok"]),
         "month_first_ok": F.bool_and(parts["month_first_ok"]),
-        "serial_ok": F.bool_and(
-            F.when(
-                shape == "int",
-                parts["short_int"] & F.coalesce(parts["serial"].between(SERIAL_MIN, SERIAL_MAX), F.lit(False)),
-            )
-        ),
+        "serial_ok": F.bool_and(parts["serial_ok"]),
     }
 
 

@@ -78,17 +78,14 @@ def wanted_cells(rows: DataFrame, wanted: DataFrame | None) -> DataFrame:
 
 def date_evidence(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Order evidence as flat counters; one pass, hash-aggregated."""
-    exploded = wanted_cells(rows, wanted).withColumn("_parts", dates.date_parts(F.col("v")))
-    parts = {name: exploded["_parts"][name] for name in _PART_NAMES}
-    aggregates = dates.order_aggregates(parts, F.col("row_idx"))
-    return exploded.groupBy(*_COLUMN_KEY).agg(
-        *[a.alias(n) for n, a in aggregates.items()], F.count_if(~is_blank(F.col("v"))).alias("n_nonblank")
+    cells = wanted_cells(rows, wanted)
+    staged = dates.with_date_parts(cells.withColumn("_filled", ~is_blank(F.col("v"))), {"_parts": F.col("v")})
+    aggregates = dates.order_aggregates(F.col("_parts"), F.col("row_idx"))
+    return staged.groupBy(*_COLUMN_KEY).agg(
+        *[a.alias(n) for n, a in aggregates.items()], F.count_if("_filled").alias("n_nonblank")
     )
 
 
-_PART_NAMES = ("shape", "code", "first_over", "second_over", "iso_ok", "day_first_ok", "month_first_ok", "short_int", "serial")
-
-
 class _Flat(dict):
     """Evidence columns addressed by name."""
 
@@ -195,10 +192,8 @@ def wide_locales(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def wide_date_orders(df: DataFrame, columns: list[str], row_idx: Column) -> DataFrame:
     """P5 for one wide table: a single aggregate, one row out per column."""
-    staged = df.select(
-        row_idx.cast("bigint").alias("_row"),
-        *[dates.date_parts(F.col(f"`{c}`").cast("string")).alias(f"p{i}") for i, c in enumerate(columns)],
-    )
+    texts = df.select(row_idx.cast("bigint").alias("_row"), *[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(columns)])
+    staged = dates.with_date_parts(texts, {f"p{i}": F.col(f"v{i}") for i in range(len(columns))})
     evidence = staged.agg(*[
         F.struct(*[a.alias(n) for n, a in dates.order_aggregates(F.col(f"p{i}"), F.col("_row")).items()]).alias(f"c{i}")
         for i in range(len(columns))

@@ -50,6 +50,7 @@ def local_session(cpus: int | None = None, app: str = "fieldwise") -> SparkSessi
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FIELDWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cores))
     )
