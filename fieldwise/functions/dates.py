@@ -34,7 +34,11 @@ _TIMES = ["", " %H:%M", " %H:%M:%S"]
 
 def date_shape(c: Column) -> Column:
     """The one shape a value has: iso, compact, dm, int, or null."""
-    text = strip(c)
+    return shape_of(strip(c))
+
+
+def shape_of(text: Column) -> Column:
+    """P4 for already stripped text."""
     year = F.substring(text, 1, 4).try_cast("int")
     return F.when(
         text.rlike("^[0-9]"),
@@ -62,7 +66,7 @@ def with_date_parts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """
     kept = df.columns
     df = df.withColumns({f"{n}_text": strip(v) for n, v in values.items()})
-    df = df.withColumns({f"{n}_shape": date_shape(F.col(f"{n}_text")) for n in values})
+    df = df.withColumns({f"{n}_shape": shape_of(F.col(f"{n}_text")) for n in values})
     df = df.withColumns({
         f"{n}_pieces": F.when(F.col(f"{n}_shape").isin("iso", "dm"), F.split(f"{n}_text", r"[^0-9]+")) for n in values
     })
@@ -89,6 +93,7 @@ def _parts(name: str) -> Column:
     short = F.length(text) <= 9
     return F.struct(
         shape.alias("shape"),
+        (text != "").alias("filled"),
         F.when(iso | dm, sep * 6 + F.when(iso | long_year, 3).otherwise(0) + time_code).cast("int").alias("code"),
         F.when(dm, one > 12).alias("first_over"),
         F.when(dm, two > 12).alias("second_over"),

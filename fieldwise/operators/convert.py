@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numbers
 from ..functions.text import strip
 from ..model import SOURCE_SHEET, Field, FieldSet
+from ..session import settle
 from .evidence import classify_date_order, example_values, parses_all
 
 SPARK_TYPES = {"number": "double", "integer": "bigint", "date": "date", "text": "string", None: "string"}
@@ -194,7 +195,8 @@ def resolve_date_formats(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(formats, conflicts, contradictions) for every mapped column feeding a date field.
 
-    `answers` is (dataset_id, target_field, order). Only the mapped date columns are read.
+    `answers` is (dataset_id, target_field, order). Only the mapped date columns are read; the
+    verdicts, one row per date column, are settled so that the three results share one scan.
     """
     spots = bind(mappings.filter(F.col("source_column").isNotNull()), columns, fields).filter(F.col("type") == "date")
     wanted = spots.filter(F.col("col_idx").isNotNull())
@@ -227,11 +229,11 @@ def resolve_date_formats(
         .when(proven & ~disagrees, F.col("date_format"))
     )
     contradiction = disagrees | (open_question & F.col("declared_format").isNotNull())
-    decided = judged.select(
+    decided = settle(judged.select(
         "dataset_id", "target_field", "source_column", "col_idx", "declared_format", "day_first_format",
         "month_first_format", "n_nonblank", chosen.alias("date_format"),
         open_question.alias("_open"), contradiction.alias("_contradiction"),
-    )
+    ))
     shown = example_values(rows, decided.filter(F.col("_open") | F.col("_contradiction")))
     formats = decided.filter(F.col("date_format").isNotNull()).select("dataset_id", "target_field", "date_format")
     conflicts = (

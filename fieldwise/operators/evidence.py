@@ -79,10 +79,10 @@ def wanted_cells(rows: DataFrame, wanted: DataFrame | None) -> DataFrame:
 def date_evidence(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Order evidence as flat counters; one pass, hash-aggregated."""
     cells = wanted_cells(rows, wanted)
-    staged = dates.with_date_parts(cells.withColumn("_filled", ~is_blank(F.col("v"))), {"_parts": F.col("v")})
+    staged = dates.with_date_parts(cells, {"_parts": F.col("v")})
     aggregates = dates.order_aggregates(F.col("_parts"), F.col("row_idx"))
     return staged.groupBy(*_COLUMN_KEY).agg(
-        *[a.alias(n) for n, a in aggregates.items()], F.count_if("_filled").alias("n_nonblank")
+        *[a.alias(n) for n, a in aggregates.items()], F.count_if(F.col("_parts.filled")).alias("n_nonblank")
     )
 
 

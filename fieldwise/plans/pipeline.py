@@ -1,4 +1,8 @@
-"""The operators composed: map a corpus, review it, confirm it, reconcile a dictionary."""
+"""The operators composed: map a corpus, review it, confirm it, reconcile a dictionary.
+
+Inventories that several stages read (annotated columns, mappings, formats, checked mappings) are
+settled in the checkpoint folder; data rows never are.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,7 @@ from ..operators.matching import (
 )
 from ..operators.reconcile import detect_conflicts, override_index, reconcile_map, undecided
 from ..operators.validate import check_coverage, readiness, validate
+from ..session import settle
 from ..sinks.export import manifests
 
 
@@ -59,18 +64,20 @@ def map_corpus(
     spark = tables.rows.sparkSession
     fields = field_set.frame(spark)
     datasets = tables.datasets.withColumn("schema_name", F.lit(field_set.name))
-    columns, locale_questions, hint_errors = resolve_locales(annotate_locales(tables.columns, tables.rows), hints)
+    annotated = settle(annotate_locales(tables.columns, tables.rows))
+    columns, locale_questions, hint_errors = resolve_locales(annotated, hints)
     targets = targets_for(datasets, fields)
     replayed = None
     if profiles is not None:
         hits = find_profiles(signatures(tables.columns, fields, datasets), profiles)
         replayed = replay_profiles(hits, tables.columns)
     mappings, provenance = resolve_mappings(tables.columns, targets, alias_index(fields, aliases), replayed, proposer)
+    mappings = settle(mappings)
     formats, conflicts, contradictions = resolve_date_formats(tables.rows, columns, mappings, fields, date_answers)
     errors = hint_errors
     if date_answers is not None:
         errors = errors.unionByName(require_date_answers(conflicts, date_answers))
-    checked = validate(mappings, columns, tables.rows, fields, formats, contradictions, strictness, "review")
+    checked = settle(validate(mappings, columns, tables.rows, fields, formats, contradictions, strictness, "review"))
     return Review(columns, checked, provenance, readiness(checked, datasets), formats, locale_questions, conflicts, contradictions, errors)
 
 
@@ -101,9 +108,9 @@ def confirm(
     spark = tables.rows.sparkSession
     fields = field_set.frame(spark)
     gaps = check_coverage(edited, field_set.names, tables.datasets)
-    complete = edited.join(gaps.select("dataset_id").distinct(), "dataset_id", "left_anti")
+    complete = settle(edited.join(gaps.select("dataset_id").distinct(), "dataset_id", "left_anti"))
     formats, conflicts, contradictions = resolve_date_formats(tables.rows, columns, complete, fields, date_answers)
-    checked = validate(complete, columns, tables.rows, fields, formats, contradictions, strictness, "confirm")
+    checked = settle(validate(complete, columns, tables.rows, fields, formats, contradictions, strictness, "confirm"))
     gate = readiness(checked, tables.datasets)
     open_dates = conflicts.select("dataset_id", F.concat(F.lit("date order undecided: "), F.col("target_field")).alias("reason"))
     unready = gate.filter(~F.col("ready")).select(
@@ -151,7 +158,7 @@ def reconcile(
 
     spark = tables.rows.sparkSession
     fields = field_set.frame(spark)
-    columns = annotate_locales(tables.columns, tables.rows)
+    columns = settle(annotate_locales(tables.columns, tables.rows))
     conflicts = detect_conflicts(incoming, master)
     remaining = conflicts if choices is None else undecided(conflicts, choices)
     overrides = None if choices is None else override_index(choices, master, incoming)
@@ -161,7 +168,7 @@ def reconcile(
     targets = targets_for(tables.datasets.join(free, "dataset_id", "left_semi").withColumn("schema_name", F.lit(field_set.name)), fields)
     filled, uncovered = reconcile_map(tables.columns, targets, vendor_alias_index(both), overrides, free)
     answers = proposer(uncovered) if proposer is not None else None
-    mappings = filled.unionByName(close_proposals(answers, tables.columns, uncovered))
+    mappings = settle(filled.unionByName(close_proposals(answers, tables.columns, uncovered)))
     formats, _, contradictions = resolve_date_formats(tables.rows, columns, mappings, fields)
     checked = validate(mappings, columns, tables.rows, fields, formats, contradictions)
     return Reconciled(conflicts, remaining, checked, readiness(checked, tables.datasets))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Every operator assumes these.
 SETTINGS = {
@@ -18,6 +19,8 @@ SETTINGS = {
     # A join on dataset_id feeds a grouping on it: split a hot dataset even at the price of a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods above 8000 bytecodes are never compiled by the JVM; split them instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -43,6 +46,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write an inventory that many branches read into the checkpoint folder, and go on from that table.
+
+    The scan behind it runs once, plans stay small, a lost executor rereads files instead of lineage,
+    and the table's true size decides whether a join may broadcast it.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/fieldwise/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def local_session(cpus: int | None = None, app: str = "fieldwise") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     cores = cpus or os.cpu_count() or 8
@@ -50,6 +65,7 @@ def local_session(cpus: int | None = None, app: str = "fieldwise") -> SparkSessi
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FIELDWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cores))

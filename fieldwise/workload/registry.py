@@ -24,7 +24,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One stored as fewer splits than there are cores is spread out once."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores or name in SMALL else df.repartition(cores)
+
+
+# Fixed-size tables, never worth spreading.
+SMALL = ("region", "nation")
 
 
 # ---- text forms by integer arithmetic, since engines print doubles differently ----------------
