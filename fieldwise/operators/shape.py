@@ -14,7 +14,11 @@ KINDS = ("str", "num", "bool", "date")
 def _row_majority(cells: Column) -> Column:
     """P10 for one row: share of its commonest type, column 0 left out; an empty row counts as one."""
     rest = F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: c["t"] != "blank")
-    counts = F.array(*[F.size(F.filter(rest, lambda c, k=k: c["t"] == k)) for k in KINDS])
+
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter(rest, lambda c: c["t"] == kind))
+
+    counts = F.array(*[of_kind(k) for k in KINDS])
     return F.when(F.size(rest) > 0, F.array_max(counts) / F.size(rest)).otherwise(1.0)
 
 
