@@ -36,6 +36,7 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times[1:]), 3)
+        print(f"{name}: first {times[0]:.2f}s, warm {seconds[name]:.2f}s", file=sys.stderr, flush=True)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total seconds over headline queries, warm median", "value": round(sum(seconds.values()), 3), "unit": "sec",

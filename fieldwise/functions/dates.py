@@ -182,6 +182,8 @@ def order_verdict(e: Column) -> Column:
         date_format.alias("date_format"),
         F.when(order == AMBIGUOUS, day_format).alias("day_first_format"),
         F.when(order == AMBIGUOUS, month_format).alias("month_first_format"),
+        F.coalesce(uniform_dm & e["day_first_ok"], F.lit(False)).alias("day_first_fits"),
+        F.coalesce(uniform_dm & e["month_first_ok"], F.lit(False)).alias("month_first_fits"),
     )
 
 

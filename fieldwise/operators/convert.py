@@ -201,12 +201,20 @@ def resolve_date_formats(
     spots = bind(mappings.filter(F.col("source_column").isNotNull()), columns, fields).filter(F.col("type") == "date")
     wanted = spots.filter(F.col("col_idx").isNotNull())
     verdicts = classify_date_order(rows, wanted)
-    declared = wanted.filter(F.col("declared_format").isNotNull()).select(
-        "dataset_id", "col_idx", F.col("declared_format").alias("date_format")
-    ).distinct()
-    refutes = parses_all(rows, declared).withColumnRenamed("date_format", "declared_format")
     key = ["dataset_id", "col_idx"]
-    judged = wanted.join(verdicts, key, "left").join(refutes, [*key, "declared_format"], "left")
+    seen = settle(wanted.join(verdicts, key, "left"))
+    # Evidence already says whether all values fit the column's own two formats; any other
+    # declared format of an ambiguous column is tried on its values.
+    own = F.col("declared_format").isin(F.col("day_first_format"), F.col("month_first_format"))
+    other = seen.filter((F.col("order") == dates.AMBIGUOUS) & F.col("declared_format").isNotNull() & ~own)
+    tried = parses_all(rows, other.select(*key, F.col("declared_format").alias("date_format")).distinct())
+    fits = F.when(F.col("declared_format") == F.col("day_first_format"), F.col("day_first_fits")).when(
+        F.col("declared_format") == F.col("month_first_format"), F.col("month_first_fits")
+    )
+    judged = (
+        seen.join(tried.withColumnRenamed("date_format", "declared_format"), [*key, "declared_format"], "left")
+        .withColumn("parses_all", F.coalesce(fits, F.col("parses_all")))
+    )
     if answers is None:
         judged = judged.withColumn("answer", F.lit(None).cast("string"))
     else:

@@ -94,9 +94,13 @@ class _Flat(dict):
 
 
 def classify_date_order(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """P5: dataset_id, col_idx, order, date_format, day_first_format, month_first_format, n_nonblank."""
-    return date_evidence(rows, wanted).select(*_COLUMN_KEY, "n_nonblank", dates.order_verdict(_Flat()).alias("_v")).select(
-        *_COLUMN_KEY, "_v.*", "n_nonblank"
+    """P5: dataset_id, col_idx, order, date_format, day_first_format, month_first_format, n_nonblank,
+    and whether every non-blank value fits the one or the other candidate format."""
+    return date_evidence(rows, wanted).select(
+        *_COLUMN_KEY, "n_nonblank", (F.col("n_dm") == F.col("n_nonblank")).alias("_only"), dates.order_verdict(_Flat()).alias("_v")
+    ).select(
+        *_COLUMN_KEY, "_v.order", "_v.date_format", "_v.day_first_format", "_v.month_first_format", "n_nonblank",
+        (F.col("_only") & F.col("_v.day_first_fits")).alias("day_first_fits"), (F.col("_only") & F.col("_v.month_first_fits")).alias("month_first_fits"),
     )
 
 
@@ -202,4 +206,6 @@ def wide_date_orders(df: DataFrame, columns: list[str], row_idx: Column) -> Data
         F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("header"), dates.order_verdict(F.col(f"c{i}")).alias("verdict"))
         for i, c in enumerate(columns)
     ])
-    return evidence.select(F.inline(verdicts)).select("col_idx", "header", "verdict.*")
+    return evidence.select(F.inline(verdicts)).select(
+        "col_idx", "header", "verdict.order", "verdict.date_format", "verdict.day_first_format", "verdict.month_first_format"
+    )

@@ -6,30 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import FLOAT_TEXT
-from ..functions.dates import date_shape
+from ..functions.dates import shape_of
 from ..functions.text import strip
 from ..model import EVIDENCE_ROWS, HEADER_MARGIN, HEADER_SCAN_ROWS, HEADER_TYPE_WINDOW
 
 SHEET_KEY = ["file_id", "sheet"]
 
 
-def infer_type(v: Column) -> Column:
-    """H0 for plain text, which carries no cell types."""
-    text = strip(v)
+def infer_type(text: Column) -> Column:
+    """H0 for stripped text, which carries no cell types. Only text that starts like a number meets a pattern."""
+    first = F.ascii(text)
+    numeric = first.between(48, 57) | first.isin(43, 45, 46)
     return (
-        F.when(v.isNull() | (text == ""), "blank")
-        .when(F.lower(text).isin("true", "false"), "bool")
-        .when(text.rlike(FLOAT_TEXT), "num")
-        .when(date_shape(v).isin("iso", "dm"), "date")
+        F.when(text.isNull() | (text == ""), "blank")
+        .when(numeric, F.when(text.rlike(FLOAT_TEXT), "num").when(shape_of(text).isin("iso", "dm"), "date").otherwise("str"))
+        .when(F.length(text).isin(4, 5) & F.lower(text).isin("true", "false"), "bool")
         .otherwise("str")
     )
 
 
 def type_cells(rows: DataFrame) -> DataFrame:
-    """H0: string cells as typed cells; blanks lose their text."""
+    """H0: string cells as typed cells; blanks lose their text. Each cell is stripped once."""
+    stripped = F.transform("cells", lambda v: F.struct(v.alias("v"), strip(v).alias("s")))
     return rows.withColumn(
-        "cells",
-        F.transform("cells", lambda v: F.struct(F.when(strip(v) != "", v).alias("v"), infer_type(v).alias("t"))),
+        "cells", F.transform(stripped, lambda c: F.struct(F.when(c["s"] != "", c["v"]).alias("v"), infer_type(c["s"]).alias("t")))
     )
 
 

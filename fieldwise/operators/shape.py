@@ -11,24 +11,21 @@ from .header import SHEET_KEY, cell_identity, is_blank_row
 KINDS = ("str", "num", "bool", "date")
 
 
-def _row_majority(cells: Column) -> Column:
-    """P10 for one row: share of its commonest type, column 0 left out; an empty row counts as one."""
-    rest = F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: c["t"] != "blank")
-
-    def of_kind(kind: str) -> Column:
-        return F.size(F.filter(rest, lambda c: c["t"] == kind))
+def row_facts(region: DataFrame, keys: list[str]) -> DataFrame:
+    """P8 and P10 inputs: one aggregate over the region, no cell leaves its row.
 
-    counts = F.array(*[of_kind(k) for k in KINDS])
-    return F.when(F.size(rest) > 0, F.array_max(counts) / F.size(rest)).otherwise(1.0)
+    P10 per row is the share of its commonest type, column 0 left out; an empty rest counts as one.
+    """
+    kinds = region.select(*keys, "row_idx", F.transform("cells", lambda c: c["t"]).alias("_k"), is_blank_row(F.col("cells")).alias("_blank"))
+    rest = kinds.withColumn("_rest", F.array_remove(F.slice("_k", 2, F.greatest(F.size("_k") - 1, F.lit(0))), "blank"))
 
+    def of_kind(kind: str) -> Column:
+        return F.size("_rest") - F.size(F.array_remove("_rest", kind))
 
-def row_facts(region: DataFrame, keys: list[str]) -> DataFrame:
-    """P8 and P10 inputs: one aggregate over the region, no cell leaves its row."""
-    blank = is_blank_row(F.col("cells"))
-    majority = _row_majority(F.col("cells"))
-    first_t = F.try_element_at(F.col("cells"), F.lit(1))["t"]
-    return region.select(
-        *keys, "row_idx", F.size("cells").alias("_width"), blank.alias("_blank"), majority.alias("_majority"), first_t.alias("_t"),
+    counted = rest.withColumn("_most", F.greatest(*[of_kind(k) for k in KINDS]))
+    majority = F.when(F.size("_rest") > 0, F.col("_most") / F.size("_rest")).otherwise(1.0)
+    return counted.select(
+        *keys, "row_idx", F.size("_k").alias("_width"), "_blank", majority.alias("_majority"), F.try_element_at(F.col("_k"), F.lit(1)).alias("_t"),
     ).groupBy(*keys).agg(
         F.max("_width").alias("width"),
         F.min(F.when(F.col("_blank"), F.col("row_idx"))).alias("first_blank"),

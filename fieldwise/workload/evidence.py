@@ -199,7 +199,7 @@ SQL_CHOSEN_FORMAT = "case ord when 'excel_serial' then 'excel_serial' when 'iso'
       case when ord='ambiguous' then day_fmt end as day_first_format, case when ord='ambiguous' then month_fmt end as month_first_format, n_nonblank from verdict""",
 )
 def date_order(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.classify_date_order(date_rows(spark, sf))
+    return evidence.classify_date_order(date_rows(spark, sf)).drop("day_first_fits", "month_first_fits")
 
 
 @query(
