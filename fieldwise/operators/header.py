@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import FLOAT_TEXT
@@ -137,28 +137,40 @@ def header_questions(detected: DataFrame, keys: list[str] = SHEET_KEY) -> DataFr
     )
 
 
+def _spelled(label: Column, k: Column, style: str) -> Column:
+    if style == "paren":
+        return F.when(k == 1, label).otherwise(F.concat(label, F.lit(" ("), k.cast("string"), F.lit(")")))
+    return F.when(k == 1, label).otherwise(F.concat(label, F.lit("."), (k - 1).cast("string")))
+
+
 def disambiguate_labels(columns: DataFrame, style: str = "paren") -> DataFrame:
     """H4: repeated header texts made distinct per dataset, blanks left blank.
 
-    `paren` gives `X (2)` (un-pivoted labels), `dot` gives `X.1` (delimited text). A suffix some
-    genuine label already uses is skipped. Works on header lists, folded left to right.
+    `paren` gives `X (2)` (un-pivoted labels), `dot` gives `X.1` (delimited text). Numbering by
+    occurrence is exact unless a numbered name is also some genuine label; only such datasets
+    fold their list left to right, skipping suffixes already in use.
     """
+    same = Window.partitionBy("dataset_id", "header").orderBy("col_idx")
+    ranked = columns.select("dataset_id", "col_idx", "header", F.row_number().over(same).alias("_k"))
+    named = ranked.withColumn("_name", F.when(F.col("header") == "", "").otherwise(_spelled(F.col("header"), F.col("_k"), style)))
+    made = named.filter((F.col("_k") > 1) & (F.col("header") != "")).select("dataset_id", F.col("_name").alias("header"))
+    clashes = made.join(columns.select("dataset_id", "header"), ["dataset_id", "header"], "left_semi").select("dataset_id").distinct()
+    plain = named.join(clashes, "dataset_id", "left_anti").select("dataset_id", "col_idx", F.col("_name").alias("header"))
+    return plain.unionByName(_fold_labels(columns.join(clashes, "dataset_id", "left_semi"), style))
+
+
+def _fold_labels(columns: DataFrame, style: str) -> DataFrame:
     lists = columns.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "header"))).alias("_h"))
     shape = "array<struct<label:string,k:int,chosen:string>>"
 
-    def spelled(label: Column, k: Column) -> Column:
-        if style == "paren":
-            return F.when(k == 1, label).otherwise(F.concat(label, F.lit(" ("), k.cast("string"), F.lit(")")))
-        return F.when(k == 1, label).otherwise(F.concat(label, F.lit("."), (k - 1).cast("string")))
-
     def fold(state: Column, h: Column) -> Column:
         label = h["header"]
         last = F.coalesce(F.array_max(F.transform(F.filter(state, lambda s: s["label"] == label), lambda s: s["k"])), F.lit(0))
         used = F.transform(state, lambda s: s["chosen"])
         options = F.sequence(last + 1, last + 1 + F.size(state))
-        k = F.element_at(F.filter(options, lambda n: ~F.array_contains(used, spelled(label, n))), 1)
+        k = F.element_at(F.filter(options, lambda n: ~F.array_contains(used, _spelled(label, n, style))), 1)
         blank = F.struct(label.alias("label"), F.lit(0).alias("k"), F.lit("").alias("chosen"))
-        fresh = F.struct(label.alias("label"), k.alias("k"), spelled(label, k).alias("chosen"))
+        fresh = F.struct(label.alias("label"), k.alias("k"), _spelled(label, k, style).alias("chosen"))
         return F.concat(state, F.array(F.when(label == "", blank).otherwise(fresh)))
 
     folded = lists.select("dataset_id", "_h", F.aggregate("_h", F.array().cast(shape), fold).alias("_f"))

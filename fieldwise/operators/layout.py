@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..model import EVIDENCE_LEAD_IN, EVIDENCE_ROWS, LAYOUT_CONFIRMATION_BAR, Tables, dataset_id
+from ..session import settle
 from ..sources.frames import pad_row, stringify_row
 from .header import SHEET_KEY, blank_cell, disambiguate_labels, header_texts
 
@@ -243,8 +244,8 @@ def unreadable_blocks(grid: DataFrame, layouts: DataFrame) -> DataFrame:
 def unpivot_key_value(grid: DataFrame, layouts: DataFrame) -> Tables:
     """Labels become columns, values become one record, or one per value column when melting.
 
-    Rows blank in label and values are skipped; a blank label over a value stays. The frames hold
-    label inventories: a sheet's labels are its columns.
+    Rows blank in label and values are skipped; a blank label over a value stays. A sheet's labels
+    are its columns, so what is settled here is a header inventory with its few values.
     """
     readable = layouts.filter(F.col("kind") == "key_value").join(unreadable_blocks(grid, layouts), SHEET_KEY, "left_anti")
     inside = range_join(grid, _blocks(readable), SHEET_KEY, "row_idx", "first_row", "last_row")
@@ -257,7 +258,7 @@ def unpivot_key_value(grid: DataFrame, layouts: DataFrame) -> Tables:
     ).filter((F.col("label") != "") | F.exists("values", lambda v: strip(v) != ""))
     entries = picked.select("*", F.posexplode("values").alias("value_idx", "v")).drop("values")
     ordered = Window.partitionBy("dataset_id").orderBy("block_idx", "row_idx", F.when(F.col("melt"), 0).otherwise(F.col("value_idx")))
-    placed = entries.withColumn("col_idx", F.dense_rank().over(ordered) - 1)
+    placed = settle(entries.withColumn("col_idx", F.dense_rank().over(ordered) - 1))
     columns = disambiguate_labels(placed.select("dataset_id", "col_idx", F.col("label").alias("header")).distinct())
     records = Window.partitionBy("dataset_id").orderBy(
         F.when(F.col("melt"), F.col("block_idx")).otherwise(0), F.when(F.col("melt"), F.col("value_idx")).otherwise(0)
@@ -272,7 +273,7 @@ def unpivot_key_value(grid: DataFrame, layouts: DataFrame) -> Tables:
             F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(""))).alias("cells"),
         )
     )
-    datasets = picked.select(
+    datasets = placed.select(
         "dataset_id", F.col("file_id").alias("source_file"), "sheet", F.lit(0).alias("table_idx"),
         F.col("sheet").alias("origin_sheet"), F.lit(None).cast("string").alias("label"),
     ).distinct()

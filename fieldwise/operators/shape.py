@@ -40,7 +40,8 @@ def row_facts(region: DataFrame, keys: list[str]) -> DataFrame:
 
 def column_types(region: DataFrame, keys: list[str]) -> DataFrame:
     """P9 and P12 inputs per column: type counts and the numeric range; partial sums before the shuffle."""
-    cells = region.select(*keys, F.posexplode("cells").alias("col_idx", "c"))
+    # The outer form: the plain one adds a filter that would work the cells out a second time.
+    cells = region.select(*keys, F.posexplode_outer("cells").alias("col_idx", "c")).filter(F.col("col_idx").isNotNull())
     number = F.when(F.col("c.t") == "num", F.col("c.v").try_cast("double"))
     counts = [F.count_if(F.col("c.t") == k).alias(f"n_{k}") for k in KINDS]
     grouped = cells.groupBy(*keys, "col_idx").agg(*counts, F.min(number).alias("low"), F.max(number).alias("high"))

@@ -70,8 +70,11 @@ def grid_from_cells(cells: DataFrame) -> DataFrame:
 
 
 def cells_from_rows(rows: DataFrame) -> DataFrame:
-    """Long view of data rows: dataset_id, row_idx, col_idx, v. Narrow."""
-    return rows.select("dataset_id", "row_idx", F.posexplode("cells").alias("col_idx", "v"))
+    """Long view of data rows: dataset_id, row_idx, col_idx, v. Narrow.
+
+    The outer form is used because the plain one adds a filter that works the cells out twice.
+    """
+    return rows.select("dataset_id", "row_idx", F.posexplode_outer("cells").alias("col_idx", "v")).filter(F.col("col_idx").isNotNull())
 
 
 def stringify_row(cells: Column) -> Column:
