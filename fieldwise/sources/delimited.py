@@ -49,9 +49,15 @@ def _error(file_id: Column, text: str | Column) -> Column:
     return F.concat(F.lit("Cannot ingest "), file_name(file_id), F.lit(": "), message)
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, length. File contents are pruned away and never read."""
-    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_id"), "length")
+def inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file_id of every file, empty ones included: Spark's own file listing, no content read.
+
+    Names only. The listing is the one Spark's file index already keeps on the driver for any scan
+    of this path; empty files appear nowhere else, because scans leave them out.
+    """
+    listed = spark.read.format("binaryFile").load(path).inputFiles()
+    names = spark.createDataFrame([(n,) for n in listed], "value string")
+    return names.select(F.regexp_replace("value", "^file:/+", "file:/").alias("file_id"))
 
 
 def classify_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,14 +72,14 @@ def classify_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.filter(known), files.filter(~known).select("file_id", _error(F.col("file_id"), reason).alias("error"))
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Raw lines of every file with their place: file_id, _start (byte split), _id, text.
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """Raw lines of every file with their place: file_id, _start (byte split), _id, valid (UTF-8), text.
 
     Any of CRLF, LF, CR ends a line. One split of a file is one task, its lines in order.
     """
     return spark.read.option("pathGlobFilter", glob).text(path).select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"),
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file_id"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), F.is_valid_utf8("value").alias("valid"), F.col("value").alias("text"),
     )
 
 
@@ -82,7 +88,7 @@ def quote_count(text: Column) -> Column:
 
 
 def mark_lines(raw: DataFrame) -> DataFrame:
-    """file_id, line_no, text, is_comment: line numbers and S3 in one blocked pass.
+    """file_id, line_no, valid, text, is_comment: line numbers and S3 in one blocked pass.
 
     Ranks and quote parities run inside a byte split; splits are then offset by the totals of the
     few splits before them.
@@ -101,7 +107,7 @@ def mark_lines(raw: DataFrame) -> DataFrame:
     text = F.when(F.col("line_no") == 0, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
     closed = (F.col("_quotes") + F.col("_odd")) % 2 == 0
     return placed.select(
-        "file_id", "line_no", text.alias("text"), (closed & strip(F.col("text")).startswith("#")).alias("is_comment"),
+        "file_id", "line_no", "valid", text.alias("text"), (closed & strip(F.col("text")).startswith("#")).alias("is_comment"),
     )
 
 
@@ -262,7 +268,7 @@ def guard_dropped_lines(dropped: DataFrame, widths: DataFrame) -> DataFrame:
 
 def scan_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     hints: DataFrame | None = None,
     na_words: tuple[str, ...] = NA_WORDS,
 ) -> Scan:
@@ -275,7 +281,7 @@ def scan_delimited(
     readable, refused = classify_files(inventory(spark, path))
     lines = mark_lines(read_lines(spark, path)).checkpoint()
     facts = lines.groupBy(*KEY).agg(
-        F.bool_or(~F.is_valid_utf8("text")).alias("_garbled"),
+        F.bool_or(~F.col("valid")).alias("_garbled"),
         F.count_if(~F.col("is_comment") & (strip(F.col("text")) != "")).alias("_n"),
     )
     judged = readable.join(facts, KEY, "left")
