@@ -20,7 +20,7 @@ HEADLINE = [
     "column_signature", "schema_scores", "near_matches", "alias_first_write", "profile_last_write", "reconcile_conflicts",
     "redact_types", "pending_expiry", "readiness_report",
 ]
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def main() -> None:
