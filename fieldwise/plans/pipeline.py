@@ -38,6 +38,19 @@ class Review(NamedTuple):
     errors: DataFrame
 
 
+def date_formats(tables: Tables, columns: DataFrame, mappings: DataFrame, field_set: FieldSet, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C12, or three empty frames without any scan where no declared field is a date."""
+    spark = tables.rows.sparkSession
+    if any(f.type == "date" for f in field_set.fields):
+        return resolve_date_formats(tables.rows, columns, mappings, field_set.frame(spark), answers)
+    key = "dataset_id string, target_field string"
+    return (
+        spark.createDataFrame([], f"{key}, date_format string"),
+        spark.createDataFrame([], f"{key}, source_column string, day_first_format string, month_first_format string, example_values array<string>, ambiguous_row_count bigint"),
+        spark.createDataFrame([], f"{key}, declared_format string, example_value string"),
+    )
+
+
 def signatures(columns: DataFrame, fields: DataFrame, datasets: DataFrame) -> DataFrame:
     """dataset_id, schema_name, field_set_signature, column_signature."""
     return (
@@ -73,7 +86,7 @@ def map_corpus(
         replayed = replay_profiles(hits, tables.columns)
     mappings, provenance = resolve_mappings(tables.columns, targets, alias_index(fields, aliases), replayed, proposer)
     mappings = settle(mappings)
-    formats, conflicts, contradictions = resolve_date_formats(tables.rows, columns, mappings, fields, date_answers)
+    formats, conflicts, contradictions = date_formats(tables, columns, mappings, field_set, date_answers)
     errors = hint_errors
     if date_answers is not None:
         errors = errors.unionByName(require_date_answers(conflicts, date_answers))
@@ -109,7 +122,7 @@ def confirm(
     fields = field_set.frame(spark)
     gaps = check_coverage(edited, field_set.names, tables.datasets)
     complete = settle(edited.join(gaps.select("dataset_id").distinct(), "dataset_id", "left_anti"))
-    formats, conflicts, contradictions = resolve_date_formats(tables.rows, columns, complete, fields, date_answers)
+    formats, conflicts, contradictions = date_formats(tables, columns, complete, field_set, date_answers)
     checked = settle(validate(complete, columns, tables.rows, fields, formats, contradictions, strictness, "confirm"))
     gate = readiness(checked, tables.datasets)
     open_dates = conflicts.select("dataset_id", F.concat(F.lit("date order undecided: "), F.col("target_field")).alias("reason"))
@@ -169,7 +182,7 @@ def reconcile(
     filled, uncovered = reconcile_map(tables.columns, targets, vendor_alias_index(both), overrides, free)
     answers = proposer(uncovered) if proposer is not None else None
     mappings = settle(filled.unionByName(close_proposals(answers, tables.columns, uncovered)))
-    formats, _, contradictions = resolve_date_formats(tables.rows, columns, mappings, fields)
+    formats, _, contradictions = date_formats(tables, columns, mappings, field_set)
     checked = validate(mappings, columns, tables.rows, fields, formats, contradictions)
     return Reconciled(conflicts, remaining, checked, readiness(checked, tables.datasets))
 
