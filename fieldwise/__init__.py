@@ -1 +1,8 @@
-"""Fieldwise: messy tables in, governed canonical tables out, as Spark jobs."""
+"""Messy tables into one governed canonical form, as functions from DataFrames to DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
