@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shards, url_filter
-from .common import table
+from . import bpe, line_rules, rule_ensemble, shards, url_filter
+from .common import id_remainder, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +43,25 @@ def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *(f"url_verdict.{c}" for c in ("host", "path", "rule", "strict_terms", "soft_terms", "verdict")))
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, and whether it stays once the lines that its source repeats are gone."""
+    judged = line_rules.judge_lines(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return judged.select("doc_id", *line_rules.BASE, "removed_words", "base_failed", "kept")
+
+
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labels outside the held-out fold."""
+    docs, stats = rule_ensemble.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = settled(docs.select("doc_id", stats), "statistics")  # a row of numbers a document, read for training and for scoring
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(id_remainder(F.col("doc_id"), 5) != 0)
+    model = rule_ensemble.fit(docs.join(labels, "doc_id"), stats, "quality")
+    scored = docs.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), model.score(stats).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary)
+    for f in (op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op7_line_frequency, op8_rule_ensemble)
 }
 
-ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle()}
