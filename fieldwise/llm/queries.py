@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, rule_ensemble, shards, url_filter
+from . import bpe, language, line_rules, rule_ensemble, shards, url_filter
 from .common import id_remainder, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    profiles = language.prototypes(docs.filter(~held_out).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), profiles, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the 50k byte-level ranks and decoded again, as digests."""
     coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -61,7 +70,7 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op7_line_frequency, op8_rule_ensemble)
+    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op7_line_frequency, op8_rule_ensemble)
 }
 
 ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle()}
