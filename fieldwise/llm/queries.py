@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_rules, rule_ensemble, shards, url_filter
+from . import bpe, jaccard_join, language, line_rules, rule_ensemble, shards, url_filter
 from .common import id_remainder, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,15 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component its near copies form: four-word shingles, 85 of 100."""
+    found = jaccard_join.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, similar=85, of=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op7_line_frequency, op8_rule_ensemble)
+    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op7_line_frequency, op8_rule_ensemble, op10_shingle_links)
 }
 
-ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle()}
+ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle(), "op10_shingle_links": jaccard_join.oracle(4, 85, 100)}
