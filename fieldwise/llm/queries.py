@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, line_rules, rule_ensemble, shards, url_filter
+from . import bpe, decontaminate, jaccard_join, language, licenses, line_rules, rule_ensemble, shards, url_filter
 from .common import id_remainder, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and the licenses whose texts or notices it holds."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component its near copies form: four-word shingles, 85 of 100."""
     found = jaccard_join.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, similar=85, of=100)
@@ -81,7 +87,7 @@ def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op6_template_leaks, op7_line_frequency, op8_rule_ensemble, op10_shingle_links)
+    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op6_template_leaks, op7_line_frequency, op8_rule_ensemble, op9_license_positions, op10_shingle_links)
 }
 
 ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle(), "op10_shingle_links": jaccard_join.oracle(4, 85, 100)}
