@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, licenses, line_rules, rule_ensemble, shards, url_filter
+from . import bpe, decontaminate, jaccard_join, language, licenses, line_rules, rule_ensemble, shards, suffix_tree, url_filter
 from .common import id_remainder, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *(f"url_verdict.{c}" for c in ("host", "path", "rule", "strict_terms", "soft_terms", "verdict")))
 
 
+def op5_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base score and suffix-tree score, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    model, counts = suffix_tree.train(docs.filter(~held_out).select("text"))
+    return suffix_tree.score(docs, model, counts, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, or one with other names and numbers."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -87,7 +95,7 @@ def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op6_template_leaks, op7_line_frequency, op8_rule_ensemble, op9_license_positions, op10_shingle_links)
+    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op5_suffix_tree_score, op6_template_leaks, op7_line_frequency, op8_rule_ensemble, op9_license_positions, op10_shingle_links)
 }
 
 ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle(), "op10_shingle_links": jaccard_join.oracle(4, 85, 100)}
