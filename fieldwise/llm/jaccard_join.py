@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX_A, map_rows, mix, settled, window_hashes
+from .common import MIX_A, fresh, map_rows, mix, settled, window_hashes
 from .graph import components
 
 WORDS, SIMILAR, OF = 5, 80, 100  # shingles of five words; 100 * intersection >= 80 * union
@@ -268,7 +268,7 @@ def _tile_pairs(rows: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, similar: int = SIMILAR, of: int = OF) -> DataFrame:
-    """One row per row of `df`: doc_id, xh (hash of the text), n_shingles, component_id.
+    """One row per row of `df`: doc_id, xh (hash of the text), n_shingles, component (a name, null without shingles), component_id.
 
     Two rows are linked when `of` x shared shingles >= `similar` x shingles of either; component_id is the least doc_id
     reachable by links. Links hold between texts, so ids may repeat or be null (a null id is never a component's, unless all are).
@@ -297,10 +297,9 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     nodes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = named.join(least, "root").select("node", "component_id")
-    return members.join(answer, "node", "left").select(
-        "doc_id", "xh", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    answer = named.join(least, "root").select("node", "root", "component_id")
+    named_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return members.join(answer, "node", "left").select("doc_id", "xh", "n_shingles", F.col("root").alias("component"), named_id.alias("component_id"))
 
 
 
@@ -319,3 +318,25 @@ reach(r, root) as (select r, r from docs union select e.b, reach.root from reach
 select d.doc_id, coalesce(n, 0) as n_shingles, min(o.doc_id) as component_id
 from reach join docs d on d.r = reach.root join docs o on o.r = reach.r left join sizes on sizes.r = d.r
 group by d.r, d.doc_id, n"""
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, similar: int = SIMILAR, of: int = OF) -> DataFrame:
+    """One row of each group of near copies, all columns unchanged: the least id's, nulls last, the least hash of a text among equal ids.
+
+    A text without shingles is in no group: such rows all stay. Of rows that repeat in id and text one stays.
+    """
+    found = near_copies(df, doc_id, text, n, similar, of)
+    ranked = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("xh"))
+    groups = found.filter("n_shingles > 0").groupBy("component").agg(F.min(ranked).alias("best"))
+    copies = found.filter("n_shingles > 0").groupBy("doc_id", "xh").agg(F.count("*").alias("copies"))
+    best = groups.select("best.doc_id", "best.xh")
+    same = (F.col("b.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("b.xh") == F.col("c.xh"))
+    chosen = settled(best.alias("b").join(copies.alias("c"), same).select("b.doc_id", "b.xh", "copies"), "chosen")
+    key, times = fresh(df, "_xh"), fresh(df, "_times")
+    chosen = chosen.select(F.col("doc_id").alias("_chosen_id"), F.col("xh").alias(key), F.col("copies").alias(times))
+    keyed = df.withColumn(key, F.xxhash64(F.col(text)))
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    met = keyed.filter(~blank).join(chosen, key).filter(F.col(doc_id).eqNullSafe(F.col("_chosen_id"))).drop("_chosen_id", key)
+    single = met.filter(F.col(times) == 1)
+    repeated = met.filter(F.col(times) > 1).dropDuplicates([doc_id, text])
+    return df.filter(blank).unionByName(single.unionByName(repeated).drop(times).select(*df.columns))
