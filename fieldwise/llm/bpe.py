@@ -148,7 +148,7 @@ def round_trip(
 
     whole = map_rows(df.filter(short), encode_rows, schema)
 
-    row = fresh(df, "_row")
+    row, parts_name = fresh(df, "_row"), fresh(df, "_parts")
     long = settled(df.filter(~short).withColumn(row, F.monotonically_increasing_id()), "long-texts")
     spans = long.select(F.col(row).alias("row"), F.col(text).alias("text"))
 
@@ -193,14 +193,14 @@ def round_trip(
 
     cut = spread(map_rows(spans.join(cuts, "row"), cut_pieces, "row bigint, k int, size bigint, part string"))
     encoded = map_rows(cut, encode_pieces, "row bigint, k int, part_ids binary")
-    joined = encoded.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "part_ids"))), lambda p: p["part_ids"]).alias("_parts"))
+    joined = encoded.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "part_ids"))), lambda p: p["part_ids"]).alias(parts_name))
 
     def join_pieces(piece: pa.RecordBatch) -> pa.Table:
         coder = Coder.of(name, *shared.value)
-        all_ids = [np.frombuffer(b"".join(p), dtype="<u4") for p in piece.column("_parts").to_pylist()]
-        return _with_ids(pa.Table.from_batches([piece]).drop_columns(["_parts"]), all_ids, coder)
+        all_ids = [np.frombuffer(b"".join(p), dtype="<u4") for p in piece.column(parts_name).to_pylist()]
+        return _with_ids(pa.Table.from_batches([piece]).drop_columns([parts_name]), all_ids, coder)
 
-    parts = long.join(joined.withColumnRenamed("row", row), row).select(*df.columns, "_parts")
+    parts = long.join(joined.withColumnRenamed("row", row), row).select(*df.columns, parts_name)
     return whole.unionByName(map_rows(parts, join_pieces, schema))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import fresh, settled
 
 WINDOW = 8  # tokens
 MIN_LITERALS = 4  # tokens of an indexed window that are no placeholders
@@ -145,5 +145,6 @@ def without_leaks(documents: DataFrame, items: DataFrame, text: str = "text", **
     """The documents that hold no benchmark item, all columns and repeated rows unchanged."""
     key = F.xxhash64(F.lit(3), text)
     leaks = find_leaks(documents.select(F.col(text).alias("text"), key.alias("doc_id")), items, **kwargs)
-    bad = settled(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "leaking-texts")
-    return documents.join(bad, key == F.col("_leak"), "left_anti")
+    leak = fresh(documents, "_leak")
+    bad = settled(leaks.select(F.col("doc_id").alias(leak)).distinct(), "leaking-texts")
+    return documents.join(bad, key == F.col(leak), "left_anti")

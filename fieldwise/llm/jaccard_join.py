@@ -332,11 +332,11 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     best = groups.select("best.doc_id", "best.xh")
     same = (F.col("b.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("b.xh") == F.col("c.xh"))
     chosen = settled(best.alias("b").join(copies.alias("c"), same).select("b.doc_id", "b.xh", "copies"), "chosen")
-    key, times = fresh(df, "_xh"), fresh(df, "_times")
-    chosen = chosen.select(F.col("doc_id").alias("_chosen_id"), F.col("xh").alias(key), F.col("copies").alias(times))
+    key, times, its_id = fresh(df, "_xh"), fresh(df, "_times"), fresh(df, "_id")
+    chosen = chosen.select(F.col("doc_id").alias(its_id), F.col("xh").alias(key), F.col("copies").alias(times))
     keyed = df.withColumn(key, F.xxhash64(F.col(text)))
     blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    met = keyed.filter(~blank).join(chosen, key).filter(F.col(doc_id).eqNullSafe(F.col("_chosen_id"))).drop("_chosen_id", key)
+    met = keyed.filter(~blank).join(chosen, key).filter(F.col(doc_id).eqNullSafe(F.col(its_id))).drop(its_id, key)
     single = met.filter(F.col(times) == 1)
     repeated = met.filter(F.col(times) > 1).dropDuplicates([doc_id, text])
     return df.filter(blank).unionByName(single.unionByName(repeated).drop(times).select(*df.columns))

@@ -57,7 +57,7 @@ TEMPLATES = (
 
 RARE = 3  # index words of a template: its rarest
 MIN_ALIGNED = 0.6  # share of the index words that must meet at one relative position
-MIN_SHARE = 0.7  # share of a template's words that must then stand in place
+MIN_SHARE = 0.6  # share of a template's words that must then stand in place
 PHRASE_SCORE = 0.5  # the score that a phrase alone gives
 
 

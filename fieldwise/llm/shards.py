@@ -37,11 +37,12 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = SEED, bloc
     they hold: equal ids, texts or repeated rows spread like any others. Only blocks x shards counts
     reach the driver, whatever the input's size. Block b's rows, in random order, fill its counts in the matrix (local
     permutation); after the exchange each shard's rows are put in random order by random pieces of it.
-    Nulls are ordinary values; an empty table gives an empty result. Columns named `shard` or `slot` are replaced.
+    Nulls are ordinary values; an empty table gives an empty result. Columns named
+    `shard` or `slot` are replaced.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    row, block = fresh(df, "_row"), fresh(df, "_block")
+    row, block, until_, at_, piece, start, in_, count = (fresh(df, c) for c in ("_row", "_block", "_until", "_at", "_piece", "_start", "_in", "_count"))
     numbered = df.withColumn(row, F.monotonically_increasing_id())
     base = settled(numbered.withColumn(block, F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(blocks)).cast("int")), "shard-rows")
 
@@ -49,23 +50,23 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = SEED, bloc
     matrix = communication_matrix([counted.get(b, 0) for b in range(blocks)], n_shards, seed)
     until = matrix.cumsum(axis=1)
     lines = [(b, [int(x) for x in until[b]]) for b in range(blocks)]
-    dealt = spark.createDataFrame(lines, f"{block} int, _until array<bigint>")  # blocks x shards numbers
+    dealt = spark.createDataFrame(lines, f"{block} int, {until_} array<bigint>")  # blocks x shards numbers
 
     at = Window.partitionBy(block).orderBy(F.xxhash64(row, F.lit(seed + 1)), row)
     placed = (
-        base.withColumn("_at", F.row_number().over(at))
+        base.withColumn(at_, F.row_number().over(at))
         .join(F.broadcast(dealt), block)
-        .withColumn("shard", F.size(F.filter("_until", lambda u: u < F.col("_at"))))
-        .withColumn("_piece", F.pmod(F.xxhash64(row, F.lit(seed + 2)), F.lit(blocks)).cast("int"))
-        .drop("_until", "_at", block)
+        .withColumn("shard", F.size(F.filter(until_, lambda u: u < F.col(at_))))
+        .withColumn(piece, F.pmod(F.xxhash64(row, F.lit(seed + 2)), F.lit(blocks)).cast("int"))
+        .drop(until_, at_, block)
     )
-    counts = placed.groupBy("shard", "_piece").count()
-    before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # shards x blocks rows
-    inside = Window.partitionBy("shard", "_piece").orderBy(F.xxhash64(row, F.lit(seed + 3)), row)
+    counts = placed.groupBy("shard", piece).agg(F.count("*").alias(count))
+    before = Window.partitionBy("shard").orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn(start, F.coalesce(F.sum(count).over(before), F.lit(0))).drop(count)  # shards x blocks rows
+    inside = Window.partitionBy("shard", piece).orderBy(F.xxhash64(row, F.lit(seed + 3)), row)
     return (
-        placed.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts), ["shard", "_piece"])
-        .withColumn("slot", (F.col("_start") + F.col("_in")).cast("bigint"))
+        placed.withColumn(in_, F.row_number().over(inside) - 1)
+        .join(F.broadcast(starts), ["shard", piece])
+        .withColumn("slot", (F.col(start) + F.col(in_)).cast("bigint"))
         .select(*df.columns, "shard", "slot")
     )
