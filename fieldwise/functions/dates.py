@@ -249,7 +249,7 @@ def parse_date(c: Column, fmt: Column) -> Column:
 
 def serial_to_date(c: Column) -> Column:
     """A bare integer in the plausible range as a date."""
-    text = strip(c)
+    text = F.regexp_replace(strip(c), "^0+(?=[0-9])", "")
     days = F.when(text.rlike("^[0-9]{1,9}$"), text.try_cast("int"))
     return F.when(
         days.between(SERIAL_MIN, SERIAL_MAX), F.date_add(F.lit("1899-12-30").cast("date"), days)

@@ -16,9 +16,6 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Characters whose casefold differs from lower(), or that NFC may change, start here.
-_ASCII_ONLY = r"^[\x00-\x7f]*$"
-
 
 def strip(c: Column) -> Column:
     """Strip Unicode white space from both ends; Spark's own trim stops at U+0020."""
@@ -60,10 +57,6 @@ def normalise_loose(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), r"[^\p{L}\p{N}\s]", "")
 
 
-def needs_unicode_folding(c: Column) -> Column:
-    return ~c.rlike(_ASCII_ONLY)
-
-
 def optimal_alignment(a: str, b: str) -> int:
     """Edit distance with adjacent transposition at cost one, for one already pruned pair."""
     rows, cols = len(a) + 1, len(b) + 1

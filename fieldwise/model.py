@@ -64,10 +64,6 @@ HINT = (
     "struct<kind:string,confidence:double,header_row_index:bigint,first_data_row:bigint,last_data_row:bigint,"
     f"key_value_blocks:array<{BLOCK}>,one_record_per_value_column:boolean,tables:array<{TABLE}>>>"
 )
-QUESTION_COLUMNS = (
-    "dataset_id string, kind string, unsure_about string, reason string, confidence double, "
-    "answerable_by_hint boolean, evidence_first_row bigint, evidence_rows array<array<string>>"
-)
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,8 @@ def close_proposals(proposals: DataFrame | None, columns: DataFrame, targets: Da
     """Exactly one mapping row per wanted (dataset, field).
 
     Silence is a flagged row at confidence zero; a column the dataset does not have is flagged;
-    an optional field that nothing supplies is cleared.
+    an optional field that nothing supplies is cleared. Of repeated answers the one with the greatest
+    `position` counts; without that column, the least by text.
     """
     key = ["dataset_id", "target_field"]
     wanted = targets.select(*key, F.coalesce("required", F.lit(True)).alias("_required"))
@@ -30,7 +31,8 @@ def close_proposals(proposals: DataFrame | None, columns: DataFrame, targets: Da
             F.lit(None).cast("boolean").alias("_real"),
         )
     else:
-        last = first_per_key(proposals.select(*key, "source_column", "confidence", "reasoning", "needs_confirmation", "inferred_value", "alternatives"), key, [])
+        given = proposals.select(*key, "source_column", "confidence", "reasoning", "needs_confirmation", "inferred_value", "alternatives", *(["position"] if "position" in proposals.columns else []))
+        last = first_per_key(given, key, [-F.col("position")] if "position" in given.columns else []).drop("position")
         real = columns.select("dataset_id", F.col("header").alias("source_column")).distinct().withColumn("_real", F.lit(True))
         joined = wanted.join(last.withColumn("_answered", F.lit(True)), key, "left").join(real, ["dataset_id", "source_column"], "left")
     answered = F.coalesce(F.col("_answered"), F.lit(False))

@@ -51,11 +51,6 @@ def running_parity(df: DataFrame, keys: Sequence[str], position: str, odd: Colum
     return running_sum(df, keys, position, odd.cast("int"), name, block_rows).withColumn(name, F.col(name) % 2 == 1)
 
 
-def dense_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    """Row numbers from 1; only for inventories (sheets, schemas, headers), never for data rows."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     result = frames[0]
     for frame in frames[1:]:

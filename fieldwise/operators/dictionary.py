@@ -277,6 +277,9 @@ MASTER_FIELD = (
 MASTER_MAP = f"struct<schema_version:int,id:string,name:string,created_by:string,created_at:string,fields:array<{MASTER_FIELD}>>"
 
 
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def export_master_map(schemas: DataFrame, fields: DataFrame, aliases: DataFrame) -> DataFrame:
     """schema_name, envelope: one JSON document per live schema, fields and aliases in order.
 
@@ -284,7 +287,7 @@ def export_master_map(schemas: DataFrame, fields: DataFrame, aliases: DataFrame)
     """
     alias = F.struct("seq", F.struct(
         "vendor", "source_column", "provenance_kind", "provenance_actor",
-        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "confidence", "note",
+        F.date_format("created_at", ISO_TIME).alias("created_at"), "confidence", "note",
     ).alias("a"))
     grouped = live_aliases(aliases, fields).groupBy("field_id").agg(F.array_sort(F.collect_list(alias)).alias("_a"))
     none = F.array().cast(f"array<{MASTER_ALIAS}>")
@@ -295,7 +298,7 @@ def export_master_map(schemas: DataFrame, fields: DataFrame, aliases: DataFrame)
     nested = live(fields).join(grouped, "field_id", "left").groupBy("schema_id").agg(F.array_sort(F.collect_list(entry)).alias("_f"))
     envelope = F.struct(
         F.lit(1).alias("schema_version"), F.col("schema_id").alias("id"), F.col("schema_name").alias("name"), "created_by",
-        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        F.date_format("created_at", ISO_TIME).alias("created_at"),
         F.coalesce(F.transform("_f", lambda x: x["f"]), F.array().cast(f"array<{MASTER_FIELD}>")).alias("fields"),
     )
     return live(schemas).join(nested, "schema_id", "left").select("schema_name", F.to_json(envelope, {"ignoreNullFields": "true"}).alias("envelope"))
@@ -322,7 +325,7 @@ def master_map_aliases(map_fields: DataFrame) -> DataFrame:
     """The aliases inside parsed maps: map_id, schema_name, field_name, field_seq, vendor, source_column, seq."""
     return map_fields.select("map_id", "schema_name", F.col("name").alias("field_name"), F.col("pos").alias("field_seq"), F.posexplode("aliases").alias("seq", "a")).select(
         "map_id", "schema_name", "field_name", "field_seq", "seq", "a.vendor", "a.source_column", "a.provenance_actor",
-        F.try_to_timestamp(F.substring("a.created_at", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("created_at"),
+        F.col("a.created_at").try_cast("timestamp").alias("created_at"),  # fraction and offset where they are given
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import SHEET_MARGIN, SHEET_MIN_ROWS, SHEET_WIDTH_SATURATION
 from .header import SHEET_KEY, blank_cell, cell_identity, detect_header, header_texts
+from .layout import unpivot_key_value
 from .matching import column_signature
 from .shape import classify_shape
 
@@ -14,8 +15,9 @@ from .shape import classify_shape
 def sheet_scores(grid: DataFrame) -> DataFrame:
     """P14 signals and score per sheet."""
     filled = F.size(F.filter("cells", lambda c: ~blank_cell(c)))
-    sizes = grid.select(*SHEET_KEY, "row_idx", F.size("cells").alias("_w"), filled.alias("_f")).groupBy(*SHEET_KEY).agg(
-        (F.max("row_idx") + 1).alias("n_rows"), F.max("_w").alias("n_cols"), F.sum("_f").alias("n_filled")
+    placed = ["sheet_idx"] if "sheet_idx" in grid.columns else []
+    sizes = grid.select(*SHEET_KEY, *placed, "row_idx", F.size("cells").alias("_w"), filled.alias("_f")).groupBy(*SHEET_KEY).agg(
+        *(F.min(c).alias(c) for c in placed), (F.max("row_idx") + 1).alias("n_rows"), F.max("_w").alias("n_cols"), F.sum("_f").alias("n_filled")
     )
     first = F.try_element_at(F.col("cells"), F.lit(1))
     firsts = (
@@ -32,13 +34,14 @@ def sheet_scores(grid: DataFrame) -> DataFrame:
         + 0.2 * F.least(F.col("n_rows") / SHEET_MIN_ROWS, F.lit(1.0))
         + 0.1 * F.coalesce("uniqueness", F.lit(0.0))
     )
-    return joined.select(*SHEET_KEY, "n_rows", "n_cols", score.alias("score"))
+    return joined.select(*SHEET_KEY, *placed, "n_rows", "n_cols", score.alias("score"))
 
 
 def rank_sheets(grid: DataFrame) -> DataFrame:
     """file_id, sheet, score, rank, confident (true on every row of a clearly won file)."""
     scored = sheet_scores(grid)
-    order = Window.partitionBy("file_id").orderBy(F.col("score").desc(), "sheet")
+    place = "sheet_idx" if "sheet_idx" in scored.columns else "sheet"  # workbook order where the grid tells it
+    order = Window.partitionBy("file_id").orderBy(F.col("score").desc(), place)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     top, second = F.nth_value("score", 1).over(whole), F.nth_value("score", 2).over(whole)
     return scored.select(
@@ -72,7 +75,8 @@ def choose_sheet(ranking: DataFrame, answers: DataFrame | None = None) -> tuple[
 def describe_sheets(grid: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """file_id, sheet, status, headers, row_count for every sheet; none is dropped.
 
-    Gates in order: shape (or the given verdict), then header confidence. Unreadable shapes claim no headers.
+    Gates in order: shape (or the given verdict), then header confidence. A key-value sheet's headers are its
+    labels; unreadable shapes claim none.
     """
     detected = detect_header(grid)
     cut = detected.select(*SHEET_KEY, F.coalesce("header_row", F.lit(-1)).alias("_h"))
@@ -104,7 +108,14 @@ def describe_sheets(grid: DataFrame, layouts: DataFrame | None = None) -> DataFr
             .when(kind.isin("wide_matrix", "multiple_tables", "not_a_table"), "unsupported_shape")
             .otherwise("layout_unknown")
         )
-        named = F.when((kind == "row_per_record") & index.isNotNull(), header_texts(header_at(index)))
+        labelled = unpivot_key_value(grid, layouts)
+        labels = labelled.datasets.select("dataset_id", F.col("source_file").alias("file_id"), "sheet").join(
+            labelled.columns.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", "header"))).alias("_labels")), "dataset_id"
+        ).drop("dataset_id")
+        joined = joined.join(labels, SHEET_KEY, "left")
+        named = F.when((kind == "row_per_record") & index.isNotNull(), header_texts(header_at(index))).when(
+            (kind == "key_value") & blocks, F.transform("_labels", lambda x: x["header"])
+        )
         records = F.when(
             F.col("one_record_per_value_column"),
             F.aggregate("key_value_blocks", F.lit(0), lambda a, b: a + F.size(b["value_columns"])),

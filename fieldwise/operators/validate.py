@@ -14,10 +14,15 @@ STRICTNESS = ("strict", "lenient")
 STAGES = ("review", "confirm")
 
 
+def fold_case(c: Column) -> Column:
+    """One form of a text whatever its case: upper first, so that characters with one capital (micro sign and mu, sharp s and ss) meet."""
+    return F.lower(F.upper(c))
+
+
 def check_allowed(v: Column, f: Column) -> Column:
     """V1: message for a value outside the allowed set, or blank in a required field; else null."""
     text = strip(v)
-    allowed = F.transform(f["allowed_values"], lambda a: F.lower(a))
+    allowed = F.transform(f["allowed_values"], fold_case)
     listed = F.array_join(f["allowed_values"], ", ")
     return F.when(
         f["allowed_values"].isNotNull(),
@@ -25,7 +30,7 @@ def check_allowed(v: Column, f: Column) -> Column:
             text == "",
             F.when(F.coalesce(f["required"], F.lit(True)), F.concat(F.lit("'"), v, F.lit("' is blank in a required field"))),
         ).when(
-            ~F.array_contains(allowed, F.lower(text)),
+            ~F.array_contains(allowed, fold_case(text)),
             F.concat(F.lit("'"), v, F.lit("' is outside the allowed values ("), listed, F.lit(")")),
         ),
     )

@@ -69,6 +69,7 @@ def local_session(cpus: int | None = None, app: str = "fieldwise") -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FIELDWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.files.maxPartitionBytes", "4m")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -43,15 +43,6 @@ def export(tidy: DataFrame, ready: DataFrame, keys: DataFrame, field_set: FieldS
     return ready.filter(~F.col("ready")).select("dataset_id")
 
 
-def with_raw_text(tidy: DataFrame, field_set: FieldSet) -> DataFrame:
-    """Text form of a tidy frame with the original text where a value did not convert."""
-    return tidy.select(
-        "dataset_id", "row_idx",
-        *[F.coalesce(F.try_element_at(F.col("__raw"), F.lit(n)), F.col(f"`{n}`").cast("string")).alias(n) for n in field_set.names],
-        *([SOURCE_SHEET] if SOURCE_SHEET in tidy.columns else []),
-    )
-
-
 def absent_fields(mappings: DataFrame) -> DataFrame:
     """Fields the source had no column for and nothing was inferred for."""
     return mappings.filter(value_source(F.col("source_column"), F.col("inferred_value")) == "absent").select("dataset_id", "target_field")

@@ -86,11 +86,3 @@ def pad_row(cells: Column, width: Column) -> Column:
     """Exactly `width` strings per row; short rows padded, long ones cut."""
     padding = F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0)))
     return F.slice(F.concat(cells, padding), F.lit(1), width)
-
-
-def stringify_rows(grid: DataFrame) -> DataFrame:
-    return grid.withColumn("cells", stringify_row(F.col("cells")))
-
-
-def pad_rows(grid: DataFrame, width: Column) -> DataFrame:
-    return grid.withColumn("cells", pad_row(F.col("cells"), width))

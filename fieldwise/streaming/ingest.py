@@ -78,10 +78,3 @@ def stream_ingest(
 
     writer = arriving_files(spark, landing, max_files).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def seen_files(spark: SparkSession, out: str) -> DataFrame:
-    """Files that already produced tidy or review output."""
-    tidy = spark.read.parquet(f"{out}/tidy").select("source_file")
-    review = spark.read.parquet(f"{out}/review").select("source_file")
-    return tidy.unionByName(review).select(F.col("source_file")).distinct()

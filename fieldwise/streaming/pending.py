@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..model import PENDING_TTL_HOURS
 
 
-def review_ready(entries: DataFrame) -> DataFrame:
-    """Entries that persist: mapped, and with no question left open."""
-    return entries.filter(F.col("mapped") & (F.col("open_questions") == 0))
-
-
 def expire_pending(pending: DataFrame, confirmations: DataFrame, now: Column, ttl_hours: int = PENDING_TTL_HOURS) -> DataFrame:
     """T2 in batch: token, created_at, confirmed_at, state.
 

@@ -312,15 +312,17 @@ def reconcile_overrides(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "reconcile_mapping",
-    f"""with {SQL_PAIRS}, ix as (select vendor, p_name, seq, kind from pr where seq%5<>0), hit as (select vendor, kind, arg_min(p_name, seq) as p_name from ix group by all)
-      select replace(vendor,'vendor ','supplier-') as dataset_id, kind as target_field, p_name as source_column, 1.0::double as confidence, false as needs_confirmation from hit where kind in ('ECONOMY','SMALL','LARGE')""",
+    f"""with {SQL_PAIRS}, ix as (select vendor, p_name, seq, case when seq%4=0 and seq%7<>0 and seq%3=0 then 'OTHER' else kind end as kind from pr where seq%5<>0),
+      hit as (select vendor, kind, arg_min(p_name, seq) as p_name from ix group by all)
+      select replace(vendor,'vendor ','supplier-') as dataset_id, kind as target_field, p_name as source_column, 1.0::double as confidence, false as needs_confirmation from hit""",
 )
 def reconcile_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """Each supplier's part names as headers, mapped by that vendor's own aliases."""
-    master, _ = dictionaries(spark, sf)
+    """Each supplier's part names as headers, mapped by that vendor's own aliases onto every field of both dictionaries, decisions first."""
+    master, incoming = dictionaries(spark, sf)
     ident = F.regexp_replace("vendor", "vendor ", "supplier-")
     columns = master.select(ident.alias("dataset_id"), F.col("seq").cast("int").alias("col_idx"), F.col("source_column").alias("header"))
     vendors = master.select(ident.alias("dataset_id"), "vendor").distinct()
-    targets = vendors.select("dataset_id", F.explode(F.array(*[F.lit(x) for x in ("ECONOMY", "SMALL", "LARGE")])).alias("target_field")).withColumn("required", F.lit(True))
-    mappings, _ = r.reconcile_map(columns, targets, vendor_alias_index(master), None, vendors)
+    fields = master.unionByName(incoming).groupBy("schema_name", F.col("field_name").alias("target_field")).agg(F.lit(True).alias("required"))
+    targets = vendors.withColumn("schema_name", F.lit("s")).join(fields, "schema_name").select("dataset_id", "target_field", "required")
+    mappings, _ = r.reconcile_map(columns, targets, vendor_alias_index(master), r.override_index(choices(spark, sf), master, incoming), vendors)
     return mappings.select("dataset_id", "target_field", "source_column", "confidence", "needs_confirmation")

@@ -119,8 +119,8 @@ def near_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Part names with two letters swapped, one lost or one added, against the brand's own names."""
     part = table(spark, sf, "part")
     k, name = F.col("p_partkey") % 4, F.col("p_name")
-    swapped = F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substring(name, 3, 100))
-    header = F.when(k == 0, swapped).when(k == 1, F.substring(name, 2, 100)).when(k == 2, F.concat(name, F.lit("s"))).otherwise(name)
+    swapped = F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substr(name, F.lit(3)))
+    header = F.when(k == 0, swapped).when(k == 1, F.substr(name, F.lit(2))).when(k == 2, F.concat(name, F.lit("s"))).otherwise(name)
     columns = part.select(F.col("p_brand").alias("dataset_id"), F.col("p_partkey").cast("int").alias("col_idx"), header.alias("header"))
     fields = part.groupBy(F.col("p_type").alias("schema_name"), name.alias("name")).agg(F.min("p_partkey").alias("pos"))
     index = matching.alias_index(fields, None)
@@ -142,7 +142,9 @@ def near_matches(spark: SparkSession, sf: str) -> DataFrame:
 def vendor_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Vendors are nations with aliases on segment names; customers of one nation have a saved profile."""
     customer, supplier = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    pairs = supplier.join(customer, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("c_custkey") % 20 == F.col("s_suppkey") % 20)).select("s_nationkey", "c_mktsegment").distinct()
+    asked = customer.select("c_nationkey", (F.col("c_custkey") % 20).alias("k"), "c_mktsegment").distinct()
+    supplied = supplier.select("s_nationkey", (F.col("s_suppkey") % 20).alias("k")).distinct()
+    pairs = supplied.join(asked, (F.col("s_nationkey") == F.col("c_nationkey")) & (supplied["k"] == asked["k"])).select("s_nationkey", "c_mktsegment").distinct()
     aliases = pairs.select(
         F.concat(F.lit("vendor "), F.col("s_nationkey").cast("string")).alias("vendor"), F.concat_ws(" ", F.col("c_mktsegment"), (F.col("s_nationkey") % 7).cast("string")).alias("source_column")
     )
@@ -174,6 +176,9 @@ def proposal_closure(spark: SparkSession, sf: str) -> DataFrame:
         "dataset_id", "target_field", F.when(k == 0, "ghost").when(k == 1, "a").alias("source_column"), F.lit(0.7).alias("confidence"), F.lit("r").alias("reasoning"),
         F.lit(False).alias("needs_confirmation"), F.lit(None).cast("string").alias("inferred_value"), F.array().cast("array<struct<source_column:string,confidence:double>>").alias("alternatives"),
     )
+    # A second opinion that came first: the last answer is the one that counts.
+    earlier = answers.filter((F.col("target_field") == "key") & F.col("dataset_id").rlike("[05]$")).withColumns({"source_column": F.lit("b"), "confidence": F.lit(0.9)})
+    answers = answers.withColumn("position", F.lit(1)).unionByName(earlier.withColumn("position", F.lit(0)))
     return closures.close_proposals(answers, columns, wanted).select("dataset_id", "target_field", "source_column", "confidence", "needs_confirmation")
 
 

@@ -119,10 +119,13 @@ def _fresh_folder(spark: SparkSession) -> str:
 
 @query(
     "pending_stream",
-    f"""with {SQL_TOKENS} select p.token, p.ts as created_at, c.ts as confirmed_at from tk p join tk c on p.token=c.token and p.event_type='signup' and c.event_type='purchase' and c.ts>=p.ts and c.ts<p.ts+interval 24 hour""",
+    f"""with {SQL_TOKENS}, s as (select token, ts from tk where event_type='signup'), b as (select token, ts from tk where event_type='purchase'),
+      w as (select least((select max(ts) from s), (select max(ts) from b)) - interval 10 minute as seen),
+      j as (select s.token, s.ts as created_at, b.ts as confirmed_at from s left join b on s.token=b.token and b.ts>=s.ts and b.ts<s.ts+interval 24 hour)
+      select token, created_at, confirmed_at, case when confirmed_at is null then 'expired' else 'confirmed' end as state from j, w where confirmed_at is not null or created_at+interval 24 hour<=seen""",
 )
 def pending_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same as a stream-stream join over the event files, run until all input is read."""
+    """The same as a stream-stream join over the event files, run until all input is read: entries confirmed in time, and those whose day has passed."""
     source = table(spark, sf, "events")
     folder = _fresh_folder(spark)
     source.write.parquet(f"{folder}/in")
@@ -131,8 +134,7 @@ def pending_stream(spark: SparkSession, sf: str) -> DataFrame:
     closed = _tokens(stream, "purchase").withColumnRenamed("ts", "confirmed_at")
     run = watch_pending(opened, closed).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
-    result = spark.read.schema("token string, created_at timestamp, confirmed_at timestamp, state string").parquet(f"{folder}/out")
-    return result.filter("state = 'confirmed'").select("token", "created_at", "confirmed_at")
+    return spark.read.schema("token string, created_at timestamp, confirmed_at timestamp, state string").parquet(f"{folder}/out")
 
 
 # ---- files in, tables out ---------------------------------------------------------------------

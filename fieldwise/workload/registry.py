@@ -24,15 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One stored as fewer splits than there are cores is spread out once."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores or name in SMALL else df.repartition(cores)
-
-
-# Fixed-size tables, never worth spreading.
-SMALL = ("region", "nation")
+    """A given table, as stored; the session's split size sets how many tasks read it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- text forms by integer arithmetic, since engines print doubles differently ----------------
@@ -82,11 +75,6 @@ def day(c: Column) -> Column:
     return F.dayofmonth(c)
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """A small declared inventory (dictionary entries, hints) as a frame."""
-    return spark.createDataFrame(rows, ddl)
-
-
 def sql_values(rows: list[tuple], names: list[str]) -> str:
     """The same inventory as a VALUES list."""
 

@@ -172,16 +172,6 @@ def test_malformed_maps_are_error_rows(spark):
     assert {r.map_id for r in errors.collect()} == {"nameless", "shape", "field", "text"}
 
 
-def test_versions_count_only_when_complete(spark, tmp_path):
-    from fieldwise.sources.tables import current_version, read_table, write_version
-
-    path = str(tmp_path / "t")
-    assert read_table(spark, path, "a int").count() == 0
-    write_version(spark.range(3).select(F.col("id").cast("int").alias("a")), path)
-    os.makedirs(f"{path}/v=2")
-    assert current_version(spark, path) == 1 and read_table(spark, path, "a int").count() == 3
-
-
 # ---- gate -------------------------------------------------------------------------------------
 
 FIELDS = FieldSet("lab", (
