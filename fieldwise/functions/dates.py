@@ -235,18 +235,45 @@ def _accepted_text(fmt: Column) -> Column:
     return F.concat(F.lit("^"), _rewrite(dots, _TEXT_PARTS), F.lit("$"))
 
 
-def parse_date(c: Column, fmt: Column) -> Column:
-    """C4: text under a strptime format as a date; null on any mismatch.
+_PLAIN_FORMAT = r"^%[dmYy]([-/. :,_])%[dmYy]\1%[dmYy]$"
 
-    `%y` follows the POSIX window (69-99 are the 1900s), which Spark's `yy` does not.
-    """
-    text = F.regexp_replace(strip(c), r"\s+", " ")
+
+def _from_pieces(text: Column, fmt: Column) -> Column:
+    """A day, a month and a year with one separator, by position: no pattern is built or compiled for a row."""
+    sep = F.substring(fmt, 3, 1)
+
+    def piece(directive: str) -> Column:
+        return F.split_part(text, sep, ((F.instr(fmt, directive) + 2) / 3).cast("int"))
+
+    day, month = piece("%d"), piece("%m")
+    short = F.instr(fmt, "%y") > 0
+    year = F.when(short, piece("%y")).otherwise(piece("%Y"))
+    whole = (
+        (F.instr(fmt, "%d") > 0) & (F.instr(fmt, "%m") > 0) & (F.split_part(text, sep, F.lit(4)) == "")
+        & (F.length(text) == F.length(day) + F.length(month) + F.length(year) + 2)
+        & day.rlike("^[0-9]{1,2}$") & month.rlike("^[0-9]{1,2}$") & F.when(short, year.rlike("^[0-9]{2}$")).otherwise(year.rlike("^[0-9]{4}$") & (year != "0000"))
+    )
+    century = F.when(short, F.when(year >= "69", "19").otherwise("20")).otherwise("")
+    return F.when(whole, F.concat(century, year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date"))
+
+
+def _from_pattern(text: Column, fmt: Column) -> Column:
     parsed = F.try_to_timestamp(text, java_pattern(fmt)).cast("date")
     two_digit = fmt.contains("%y") & (F.year(parsed) >= 2069)
     fixed = F.when(two_digit, F.add_months(parsed, -1200)).otherwise(parsed)
     return F.when(F.rlike(text, _accepted_text(fmt)), fixed)
 
 
+def parse_date(c: Column, fmt: Column) -> Column:
+    """C4: text under a strptime format as a date; null on any mismatch.
+
+    `%y` follows the POSIX window (69-99 are the 1900s), which Spark's `yy` does not. Formats with month names, times or
+    no separator go by a pattern.
+    """
+    text = F.regexp_replace(strip(c), r"\s+", " ")
+    return F.when(fmt.rlike(_PLAIN_FORMAT), _from_pieces(text, fmt)).otherwise(_from_pattern(text, fmt))
+
+
 def serial_to_date(c: Column) -> Column:
     """A bare integer in the plausible range as a date."""
     text = F.regexp_replace(strip(c), "^0+(?=[0-9])", "")
