@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import NEAR_MAX_EDITS, NEAR_MAX_RATIO
 from ..operators import closures, matching, near
 from .registry import query, sql_values, table
 
@@ -114,7 +115,18 @@ def schema_preselect(spark: SparkSession, sf: str) -> DataFrame:
     return matching.preselect(matching.score_schemas(part_columns(spark, sf), fields, matching.alias_index(fields, None)))
 
 
-@query("near_matches")
+SQL_NEAR = f"""with hp as (select p_brand as dataset_id, case p_partkey%4 when 0 then substr(p_name,2,1)||substr(p_name,1,1)||substr(p_name,3) when 1 then substr(p_name,2) when 2 then p_name||'s' else p_name end as header from part),
+  h as (select distinct dataset_id, header from hp), k as (select distinct p_type as schema_name, p_name as known from part),
+  dist as (select needle, known, damerau_levenshtein(needle, known) as edits from (select distinct header as needle from h) join (select distinct known from k) on abs(length(needle)-length(known))<={NEAR_MAX_EDITS}),
+  near as (select schema_name, needle, k.known, edits from dist join k using (known) where edits<=least({NEAR_MAX_EDITS}, floor(length(k.known)*{NEAR_MAX_RATIO})) and not exists (select 1 from k e where e.schema_name=k.schema_name and e.known=needle)),
+  top as (select schema_name, needle, min(edits) as edits from near group by all),
+  one as (select schema_name, needle, edits, min(known) as known from near join top using (schema_name, needle, edits) group by all having min(known)=max(known)),
+  cov as (select distinct dataset_id, schema_name, known from h join k on known=header)
+  select h.dataset_id, o.schema_name, h.header, o.known as field_name, o.known as resembles, cast(o.edits as int) as edits from one o join h on h.header=o.needle
+  where not exists (select 1 from cov where cov.dataset_id=h.dataset_id and cov.schema_name=o.schema_name and cov.known=h.header) and not exists (select 1 from cov where cov.dataset_id=h.dataset_id and cov.schema_name=o.schema_name and cov.known=o.known)"""
+
+
+@query("near_matches", SQL_NEAR)
 def near_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Part names with two letters swapped, one lost or one added, against the brand's own names."""
     part = table(spark, sf, "part")
@@ -198,7 +210,15 @@ def ranking_closure(spark: SparkSession, sf: str) -> DataFrame:
     return closures.close_rankings(rankings, schemas)
 
 
-@query("draft_closure")
+@query(
+    "draft_closure",
+    """with recursive d as (select 'order-'||cast(l_orderkey as varchar) as dataset_id, l_partkey*10000+l_suppkey as position, l_linenumber-2 as ci, case when l_quantity>45 then '' else l_returnflag||cast(cast(floor(l_quantity/5) as bigint) as varchar) end as name, l_linestatus as reason,
+        row_number() over (partition by l_orderkey order by l_partkey*10000+l_suppkey, l_linenumber) as r from lineitem),
+      f as (select distinct dataset_id, 0::bigint as r, []::bigint[] as cols, []::varchar[] as names, false as kept from d
+        union all select d.dataset_id, d.r, case when ok then list_append(cols, ci::bigint) else cols end, case when ok then list_append(names, d.name) else names end, ok
+        from (select d.*, f.cols, f.names, d.ci between 0 and 3 and d.name<>'' and not list_contains(f.cols, d.ci::bigint) and not list_contains(f.names, d.name) as ok from f join d on d.dataset_id=f.dataset_id and d.r=f.r+1) d)
+      select dataset_id, position, ['a','b','c','d'][ci+1] as source_header, name, 'text' as type, true as required, reason from d join (select dataset_id, r from f where kept) using (dataset_id, r)""",
+)
 def draft_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as draft fields of their order: one ordered pass drops repeats and bad indexes."""
     li = table(spark, sf, "lineitem")
