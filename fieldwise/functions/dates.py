@@ -235,26 +235,31 @@ def _accepted_text(fmt: Column) -> Column:
     return F.concat(F.lit("^"), _rewrite(dots, _TEXT_PARTS), F.lit("$"))
 
 
-_PLAIN_FORMAT = r"^%[dmYy]([-/. :,_])%[dmYy]\1%[dmYy]$"
+PLAIN_SEPARATORS = ("-", "/", ".", ":", ",", "_")
+
+
+def _is_plain(fmt: Column) -> Column:
+    """Day, month and year in any order, with one separator that is no space."""
+    sep = F.substring(fmt, 3, 1)
+    named = (F.instr(fmt, "%d") > 0) & (F.instr(fmt, "%m") > 0) & ((F.instr(fmt, "%Y") > 0) | (F.instr(fmt, "%y") > 0))
+    return (F.length(fmt) == 8) & sep.isin(*PLAIN_SEPARATORS) & (sep == F.substring(fmt, 6, 1)) & named
+
+
+def _digits(c: Column, least: int, most: int) -> Column:
+    return F.length(c).between(least, most) & (F.translate(c, "0123456789", "") == "")
 
 
 def _from_pieces(text: Column, fmt: Column) -> Column:
-    """A day, a month and a year with one separator, by position: no pattern is built or compiled for a row."""
+    """A plain format by position: no pattern is built or compiled for a row."""
     sep = F.substring(fmt, 3, 1)
 
     def piece(directive: str) -> Column:
         return F.split_part(text, sep, ((F.instr(fmt, directive) + 2) / 3).cast("int"))
 
-    day, month = piece("%d"), piece("%m")
-    short = F.instr(fmt, "%y") > 0
-    year = F.when(short, piece("%y")).otherwise(piece("%Y"))
-    whole = (
-        (F.instr(fmt, "%d") > 0) & (F.instr(fmt, "%m") > 0) & (F.split_part(text, sep, F.lit(4)) == "")
-        & (F.length(text) == F.length(day) + F.length(month) + F.length(year) + 2)
-        & day.rlike("^[0-9]{1,2}$") & month.rlike("^[0-9]{1,2}$") & F.when(short, year.rlike("^[0-9]{2}$")).otherwise(year.rlike("^[0-9]{4}$") & (year != "0000"))
-    )
-    century = F.when(short, F.when(year >= "69", "19").otherwise("20")).otherwise("")
-    return F.when(whole, F.concat(century, year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date"))
+    day, month, short = piece("%d"), piece("%m"), F.instr(fmt, "%y") > 0
+    year = F.when(~short, piece("%Y")).when(piece("%y") >= "69", F.concat(F.lit("19"), piece("%y"))).otherwise(F.concat(F.lit("20"), piece("%y")))
+    whole = _digits(day, 1, 2) & _digits(month, 1, 2) & _digits(year, 4, 4) & (year != "0000") & (F.length(text) == F.length(day) + F.length(month) + F.length(year) + F.when(short, 0).otherwise(2))
+    return F.when(whole, F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date"))
 
 
 def _from_pattern(text: Column, fmt: Column) -> Column:
@@ -270,8 +275,7 @@ def parse_date(c: Column, fmt: Column) -> Column:
     `%y` follows the POSIX window (69-99 are the 1900s), which Spark's `yy` does not. Formats with month names, times or
     no separator go by a pattern.
     """
-    text = F.regexp_replace(strip(c), r"\s+", " ")
-    return F.when(fmt.rlike(_PLAIN_FORMAT), _from_pieces(text, fmt)).otherwise(_from_pattern(text, fmt))
+    return F.when(_is_plain(fmt), _from_pieces(strip(c), fmt)).otherwise(_from_pattern(F.regexp_replace(strip(c), r"\s+", " "), fmt))
 
 
 def serial_to_date(c: Column) -> Column:

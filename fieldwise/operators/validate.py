@@ -15,8 +15,11 @@ STAGES = ("review", "confirm")
 
 
 def fold_case(c: Column) -> Column:
-    """One form of a text whatever its case: upper first, so that characters with one capital (micro sign and mu, sharp s and ss) meet."""
-    return F.lower(F.upper(c))
+    """One form of a text whatever its case: capitals, in which the micro sign meets mu and sharp s meets ss.
+
+    Lower case of them would not do: the optimizer turns lower(upper(x)) into lower(x).
+    """
+    return F.upper(c)
 
 
 def check_allowed(v: Column, f: Column) -> Column:
@@ -42,7 +45,7 @@ def check_bounds(v: Column, locale: Column, f: Column) -> Column:
     infinite = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     return F.when(
         (f["min"].isNotNull() | f["max"].isNotNull()) & x.isNotNull(),
-        F.when(infinite, F.concat(F.lit("'"), v, F.lit("' is not a finite number")))
+        F.when(infinite, F.concat(F.lit("'"), v, F.lit("' has no finite value")))
         .when(x < f["min"], F.concat(x.cast("string"), F.lit(" is below the minimum "), f["min"].cast("string")))
         .when(x > f["max"], F.concat(x.cast("string"), F.lit(" is above the maximum "), f["max"].cast("string"))),
     )
@@ -163,7 +166,7 @@ def validate(
     )
     scope = first_rows(rows, LENIENT_ROWS) if strictness == "lenient" else rows
     found = first_violations(scope, judged.filter(F.col("allowed_values").isNotNull() | F.col("min").isNotNull() | F.col("max").isNotNull()))
-    label = F.when(F.col("source_column") == "", "(blank header)").otherwise(F.col("source_column"))
+    label = F.when(F.col("source_column") == "", "(no header)").otherwise(F.col("source_column"))
     per_field = found.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("column '"), label, F.lit("': "), F.col("message")).alias("note")))).alias("_n")
     ).select(*key, F.transform("_n", lambda n: n["note"]).alias("_column_notes"))
@@ -183,7 +186,7 @@ def validate(
         F.col("n_flagged").isNotNull(),
         F.when(
             (F.col("type") == "date") & F.col("declared_format").isNull(),
-            "no date format is declared for this field and none could be derived; declare one, another column will not help",
+            "this date field has no format, declared or found in its values; mapping it elsewhere does not mend that",
         ).otherwise("a value failed its number, date or unit conversion"),
     )
     inferred_note = F.concat(F.lit("inferred value: "), inferred_violation(F.col("_whole")))

@@ -17,7 +17,7 @@ from ..functions.text import clean_header, strip
 from ..model import Tables, dataset_id
 from ..operators.common import BLOCK_ROWS, running_parity, union_all
 from ..operators.header import disambiguate_labels
-from ..session import ensure_checkpoint_dir
+from ..session import settle
 from .frames import pad_row
 
 # Suffixes, delimiters in order of preference, words that read as missing.
@@ -274,20 +274,19 @@ def scan_delimited(
 ) -> Scan:
     """Every readable file below `path` as a dataset, every other one as an error row.
 
-    `hints` is (file_id, delimiter). Runs two jobs that stage marked lines and split records in the
-    checkpoint folder; everything returned is lazy over those two tables.
+    `hints` is (file_id, delimiter). Marked lines and split records are each worked out once and written
+    as columns into the checkpoint folder; everything returned is lazy over those two tables.
     """
-    ensure_checkpoint_dir(spark)
     readable, refused = classify_files(inventory(spark, path))
-    lines = mark_lines(read_lines(spark, path)).checkpoint()
+    lines = settle(mark_lines(read_lines(spark, path)))
     facts = lines.groupBy(*KEY).agg(
         F.bool_or(~F.col("valid")).alias("_garbled"),
         F.count_if(~F.col("is_comment") & (strip(F.col("text")) != "")).alias("_n"),
     )
     judged = readable.join(facts, KEY, "left")
-    garbled = judged.filter("_garbled").select("file_id", _error(F.col("file_id"), "the file is not UTF-8 text; save it as UTF-8").alias("error"))
+    garbled = judged.filter("_garbled").select("file_id", _error(F.col("file_id"), "its bytes are no UTF-8").alias("error"))
     empty = judged.filter(~F.coalesce("_garbled", F.lit(False)) & (F.coalesce("_n", F.lit(0)) == 0)).select(
-        "file_id", _error(F.col("file_id"), "the file is empty; there is no table to read").alias("error")
+        "file_id", _error(F.col("file_id"), "it holds no line of data").alias("error")
     )
     usable = facts.filter(~F.col("_garbled") & (F.col("_n") > 0)).select("file_id")
     kept = lines.filter(~F.col("is_comment")).select("file_id", "line_no", "text")
@@ -296,10 +295,10 @@ def scan_delimited(
     placed = place_records(ready)
     ends = placed.groupBy(*KEY).agg(F.max_by("ends_inside", "line_no").alias("_open"))
     whole = placed.join(ends.filter(~F.col("_open")), KEY, "left_semi")
-    parsed = join_records(whole).select(
+    parsed = settle(join_records(whole).select(
         "file_id", "record_no", "delimiter", (strip(F.col("text")) == "").alias("blank"),
         split_fields(F.col("text"), F.col("delimiter")).alias("cells"),
-    ).checkpoint()
+    ))
     unclosed = usable.join(parsed.select("file_id").distinct(), KEY, "left_anti").select(
         "file_id", _error(F.col("file_id"), "a quoted cell is never closed").alias("error")
     )
@@ -318,8 +317,8 @@ def scan_delimited(
         "file_id",
         _error(
             F.col("file_id"),
-            F.when(F.col("_one") == F.col("_n"), "every row has one value more than the header names")
-            .otherwise("the rows do not form a single consistent table (columns per row disagree)"),
+            F.when(F.col("_one") == F.col("_n"), "each row has one more value than the header has names")
+            .otherwise("some rows have more values than the header has names"),
         ).alias("error"),
     )
     guarded = guard_dropped_lines(lines.filter("is_comment"), heads.select("file_id", "delimiter", "n_cols"))

@@ -420,3 +420,80 @@ def field_set_signatures(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("double").alias("max"), none.alias("date_format"),
     )
     return field_set_signature(fields)
+
+
+# ---- flags from outside, lenient reading, the gate, and a map file --------------------------------
+
+
+@query(
+    "contradicted_fields",
+    """with ids as (select distinct o_orderpriority as dataset_id from orders), f as (select unnest(['order_id','order_date']) as target_field)
+      select dataset_id, target_field, target_field='order_date' and dataset_id<'3' as needs_confirmation,
+        case when target_field='order_date' and dataset_id<'3' then 'declared format %Y-%m-%d disagrees with values such as ''01/02/2024''' else 'no violation found' end as validator_note from ids cross join f""",
+)
+def contradicted_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """A declared date format that a column's values contradict raises the field's flag, though every value converts."""
+    fields = FieldSet("dated", (Field("order_id", "integer"), Field("order_date", "date", date_format="%Y-%m-%d")))
+    orders = table(spark, sf, "orders")
+    rows = orders.select(
+        F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderkey").alias("row_idx"), F.array(F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("cells")
+    )
+    ids = rows.select("dataset_id").distinct()
+    columns = ids.select("dataset_id", F.posexplode(F.array(*map(F.lit, fields.names))).alias("col_idx", "header"))
+    mappings = ids.select("dataset_id", F.explode(F.array(*map(F.lit, fields.names))).alias("target_field")).select(
+        "dataset_id", "target_field", F.col("target_field").alias("source_column"), F.lit(0.9).alias("confidence"), F.lit("given").alias("reasoning"), F.lit(False).alias("needs_confirmation"),
+        F.lit(None).cast("string").alias("inferred_value"), F.array().cast("array<struct<source_column:string,confidence:double>>").alias("alternatives"),
+    )
+    told = ids.filter("dataset_id < '3'").select("dataset_id", F.lit("order_date").alias("target_field"), F.lit("%Y-%m-%d").alias("declared_format"), F.lit("01/02/2024").alias("example_value"))
+    checked = validate.validate(mappings, annotate_locales(columns, rows), rows, fields.frame(spark), None, told)
+    return checked.select("dataset_id", "target_field", "needs_confirmation", "validator_note")
+
+
+@query(
+    "notes_lenient",
+    f"""{SQL_NOTES.replace('from orders)', 'from orders), lines as (select *, row_number() over (partition by dataset_id order by row_idx) as rn from rowsx)', 1).replace(_FIRST, _FIRST.replace('from rowsx', 'from lines').replace('where lower', 'where rn<=6 and lower').replace('where total<1000 or total>450000', 'where rn<=6 and (total<1000 or total>450000)').replace('where balance<1000 or balance>450000', 'where rn<=6 and (balance<1000 or balance>450000)').replace('where balance<0', 'where rn<=6 and balance<0'))}
+      select ids.dataset_id, f.target_field, case when f.target_field='free' then 'no constraints declared for this field' else coalesce({_NOTE}, 'no violation found') end as validator_note,
+      {_NOTE} is not null as needs_confirmation from ids cross join f left join flagged fl on fl.dataset_id=ids.dataset_id and fl.target_field=f.target_field left join notes n on n.dataset_id=ids.dataset_id and n.target_field=f.target_field""",
+)
+def notes_lenient(spark: SparkSession, sf: str) -> DataFrame:
+    """Lenient strictness: constraints from the first six rows of each dataset, conversions from all."""
+    corpus = split_corpus(spark, sf)
+    columns = annotate_locales(corpus.columns, corpus.rows)
+    checked = validate.validate(split_mappings(corpus), columns, corpus.rows, SPLIT_FIELDS.frame(spark), strictness="lenient")
+    return checked.select("dataset_id", "target_field", "validator_note", "needs_confirmation")
+
+
+GATE_FIELDS = FieldSet("gate", (Field("key", "integer"), Field("segment", "text", allowed_values=("Automobile", "building µ", "Furniture", "household", "Machinery")), Field("balance", "number")))
+
+
+@query(
+    "confirm_gate",
+    """with c as (select 'nation-'||cast(c_nationkey as varchar) as dataset_id, c_custkey, c_mktsegment, c_acctbal, c_nationkey from customer)
+      select dataset_id, 'tidy' as outcome, count(*) as n, cast(sum(round(c_acctbal*100)) as bigint) as cents from c where c_nationkey%5<>0 and c_nationkey%7<>0 group by 1
+      union all select distinct dataset_id, case when c_nationkey%7=0 then 'missing field: balance' else 'needs confirmation: segment' end, 0, 0 from c where c_nationkey%5=0 or c_nationkey%7=0""",
+)
+def confirm_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of a nation as one dataset: some lack a mapping, some hold a segment that is not allowed, the rest become records.
+
+    One allowed value is written with a micro sign, the cells with a mu.
+    """
+    customer = table(spark, sf, "customer")
+    ident = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"))
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", "BUILDING μ").otherwise(F.col("c_mktsegment"))
+    off = (F.col("c_nationkey") % 5 == 0).alias("off")
+    rows = customer.select(
+        ident.alias("dataset_id"), F.col("c_custkey").alias("row_idx"),
+        F.array(F.col("c_custkey").cast("string"), F.when(F.col("c_nationkey") % 5 == 0, "boats").otherwise(segment), comma_money(F.col("c_acctbal"))).alias("cells"),
+    )
+    ids = customer.select(ident.alias("dataset_id"), "c_nationkey", off).distinct()
+    columns = ids.select("dataset_id", F.posexplode(F.array(F.lit("key"), F.lit("segment"), F.lit("balance"))).alias("col_idx", "header"))
+    datasets = ids.select("dataset_id", F.concat("dataset_id", F.lit(".csv")).alias("source_file"), F.col("dataset_id").alias("sheet"), F.lit(0).alias("table_idx"), F.col("dataset_id").alias("origin_sheet"), F.lit(None).cast("string").alias("label"))
+    names = F.when(F.col("c_nationkey") % 7 == 0, F.array(F.lit("key"), F.lit("segment"))).otherwise(F.array(F.lit("key"), F.lit("segment"), F.lit("balance")))
+    edited = ids.select("dataset_id", F.explode(names).alias("target_field")).select(
+        "dataset_id", "target_field", F.col("target_field").alias("source_column"), F.lit(0.9).alias("confidence"), F.lit("edited").alias("reasoning"), F.lit(False).alias("needs_confirmation"),
+        F.lit(None).cast("string").alias("inferred_value"), F.array().cast("array<struct<source_column:string,confidence:double>>").alias("alternatives"),
+    )
+    done = pipeline.confirm(Tables(datasets, columns, rows), annotate_locales(columns, rows), edited, GATE_FIELDS, F.lit("2024-01-01 00:00:00"))
+    cents = F.sum(F.round(F.col("balance") * 100)).cast("bigint")
+    tidy = done.tidy.groupBy("dataset_id").agg(F.lit("tidy").alias("outcome"), F.count("*").alias("n"), cents.alias("cents"))
+    return tidy.unionByName(done.rejected.select("dataset_id", F.col("reason").alias("outcome"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("cents")))
