@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Field, FieldSet, Tables
-from ..operators import convert, validate
+from ..operators import convert, dictionary, validate
 from ..operators.evidence import annotate_locales
 from ..operators.matching import alias_index, field_set_signature, prefill, resolve_mappings, targets_for
 from ..plans import pipeline
+from ..plans.learning import learn
 from ..sinks import export
 from ..sources.frames import from_dataframe
 from .registry import comma_money, query, sql_comma_money, sql_values, table
@@ -497,3 +498,48 @@ def confirm_gate(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.sum(F.round(F.col("balance") * 100)).cast("bigint")
     tidy = done.tidy.groupBy("dataset_id").agg(F.lit("tidy").alias("outcome"), F.count("*").alias("n"), cents.alias("cents"))
     return tidy.unionByName(done.rejected.select("dataset_id", F.col("reason").alias("outcome"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("cents")))
+
+
+LOOP_FIELDS = FieldSet("loop", (Field("key", "integer"), Field("segment", "text"), Field("balance", "number")))
+
+
+@query(
+    "learning_loop",
+    """select distinct 'nation-'||cast(c_nationkey as varchar) as dataset_id, 'proposer' as first_run, 'auto-applied-from-profile' as second_run, 0 as n_open, 3 as n_aliases from customer""",
+)
+def learning_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """Map with a proposer's help, confirm, save, and map again: the second run asks nothing."""
+    customer = table(spark, sf, "customer")
+    ident = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"))
+    rows = customer.select(ident.alias("dataset_id"), F.col("c_custkey").alias("row_idx"), F.array(F.col("c_custkey").cast("string"), F.col("c_mktsegment"), comma_money(F.col("c_acctbal"))).alias("cells"))
+    ids = customer.select(ident.alias("dataset_id"), "c_nationkey").distinct()
+    odd = [F.lit("Nr"), F.concat(F.lit("Gruppe "), F.col("c_nationkey").cast("string")), F.lit("Saldo")]
+    columns = ids.select("dataset_id", F.posexplode(F.array(*odd)).alias("col_idx", "header"))
+    datasets = ids.select("dataset_id", F.concat("dataset_id", F.lit(".csv")).alias("source_file"), F.col("dataset_id").alias("sheet"), F.lit(0).alias("table_idx"), F.col("dataset_id").alias("origin_sheet"), F.lit(None).cast("string").alias("label"))
+    corpus = Tables(datasets, columns, rows)
+
+    def proposer(uncovered: DataFrame) -> DataFrame:
+        place = F.when(F.col("target_field") == "key", 0).when(F.col("target_field") == "segment", 1).otherwise(2).alias("col_idx")
+        return uncovered.select("dataset_id", "target_field", place).join(columns, ["dataset_id", "col_idx"]).select(
+            "dataset_id", "target_field", F.col("header").alias("source_column"), F.lit(0.8).alias("confidence"), F.lit("looks like it").alias("reasoning"), F.lit(True).alias("needs_confirmation"),
+            F.lit(None).cast("string").alias("inferred_value"), F.array().cast("array<struct<source_column:string,confidence:double>>").alias("alternatives"),
+        )
+
+    first = pipeline.map_corpus(corpus, LOOP_FIELDS, proposer=proposer)
+    edited = first.mappings.withColumn("needs_confirmation", F.lit(False))
+    done = pipeline.confirm(corpus, first.columns, edited, LOOP_FIELDS, F.lit("2024-01-01 00:00:00"))
+    at, null = F.lit("2024-01-01").cast("timestamp"), F.lit(None).cast("string")
+    declared = LOOP_FIELDS.frame(spark).select(
+        F.concat(F.lit("f "), F.col("name")).alias("field_id"), F.lit("loop").alias("schema_id"), F.col("pos").cast("bigint").alias("seq"), "name", null.alias("description"), "type", "allowed_values",
+        "unit", "required", "min", "max", "date_format", F.lit(None).cast("timestamp").alias("removed_at"), null.alias("removed_by"),
+    )
+    stored = spark.createDataFrame([], dictionary.PROFILES), spark.createDataFrame([], dictionary.ALIASES)
+    learned = learn(corpus, done.mappings, LOOP_FIELDS, *stored, declared, ids.select("dataset_id", F.concat(F.lit("vendor "), F.col("dataset_id")).alias("vendor")), F.lit("user"), at)
+    second = pipeline.map_corpus(corpus, LOOP_FIELDS, profiles=learned.profiles)
+    still_open = second.mappings.groupBy("dataset_id").agg(F.count_if("needs_confirmation").cast("int").alias("n_open"))
+    spelled = learned.aliases.groupBy(F.regexp_replace("vendor", "^vendor ", "").alias("dataset_id")).agg(F.count("*").cast("int").alias("n_aliases"))
+    return (
+        first.provenance.select("dataset_id", F.col("provenance").alias("first_run"))
+        .join(second.provenance.select("dataset_id", F.col("provenance").alias("second_run")), "dataset_id")
+        .join(still_open, "dataset_id").join(spelled, "dataset_id")
+    )

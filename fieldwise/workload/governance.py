@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import Field, FieldSet, Tables
 from ..operators import dictionary as d
 from ..operators import reconcile as r
 from ..operators.matching import field_set_from_schema, vendor_alias_index
+from ..plans import pipeline
 from .registry import query, table
 
 EPOCH = "2024-01-01 00:00:00"
@@ -326,3 +328,31 @@ def reconcile_mapping(spark: SparkSession, sf: str) -> DataFrame:
     targets = vendors.withColumn("schema_name", F.lit("s")).join(fields, "schema_name").select("dataset_id", "target_field", "required")
     mappings, _ = r.reconcile_map(columns, targets, vendor_alias_index(master), r.override_index(choices(spark, sf), master, incoming), vendors)
     return mappings.select("dataset_id", "target_field", "source_column", "confidence", "needs_confirmation")
+
+
+TYPES = FieldSet("s", tuple(Field(n, "text") for n in ("ECONOMY", "LARGE", "MEDIUM", "OTHER", "PROMO", "SMALL", "STANDARD")))
+
+
+@query(
+    "reconcile_plan",
+    f"""with {SQL_PAIRS}, held as (select distinct vendor from cf where cast(substr(vendor,8) as int)%2=1), free as (select distinct vendor from pr where vendor not in (select vendor from held)),
+      ix as (select vendor, p_name, seq, case when seq%5<>0 then case when seq%4=0 and seq%7<>0 and seq%3=0 then 'OTHER' else kind end when seq%3=0 then 'OTHER' else kind end as kind from pr where seq%5<>0 or seq%7<>0),
+      hit as (select vendor, kind, arg_min(p_name, seq) as p_name from ix group by all), f as (select unnest(['ECONOMY','LARGE','MEDIUM','OTHER','PROMO','SMALL','STANDARD']) as kind)
+      select replace(free.vendor,'vendor ','supplier-') as dataset_id, f.kind as target_field, p_name as source_column, p_name is null as needs_confirmation from free cross join f left join hit on hit.vendor=free.vendor and hit.kind=f.kind""",
+)
+def reconcile_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Two dictionaries reconciled: vendors with an open conflict stay unmapped, the others are mapped by master, map file and decisions."""
+    master, incoming = dictionaries(spark, sf)
+    ident = F.regexp_replace("vendor", "vendor ", "supplier-").alias("dataset_id")
+    part = table(spark, sf, "part")
+    pairs = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_name").agg(F.min("p_partkey").alias("seq"))
+    named = pairs.select(F.concat(F.lit("vendor "), F.col("l_suppkey").cast("string")).alias("vendor"), "p_name", "seq")
+    columns = named.select(ident, F.col("seq").cast("int").alias("col_idx"), F.col("p_name").alias("header"))
+    vendors = named.select(ident, "vendor").distinct()
+    ids = vendors.select("dataset_id")
+    datasets = ids.select("dataset_id", F.col("dataset_id").alias("source_file"), F.col("dataset_id").alias("sheet"), F.lit(0).alias("table_idx"), F.col("dataset_id").alias("origin_sheet"), F.lit(None).cast("string").alias("label"))
+    rows = ids.select("dataset_id", F.lit(0).cast("bigint").alias("row_idx"), F.array(F.lit("x")).alias("cells"))
+    even = F.regexp_extract("vendor", "([0-9]+)$", 1).cast("bigint") % 2 == 0
+    decided = master.filter(even).select("vendor", "source_column", F.when(F.col("seq") % 4 == 0, "take_map_file").otherwise("keep_master").alias("decision"))
+    done = pipeline.reconcile(Tables(datasets, columns, rows), TYPES, master, incoming, vendors, decided)
+    return done.mappings.select("dataset_id", "target_field", "source_column", "needs_confirmation")
