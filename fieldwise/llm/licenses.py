@@ -72,13 +72,13 @@ def idf(templates: Sequence[Template]) -> dict[str, float]:
     return {w: math.log(len(sets) / sum(w in s for s in sets)) for w in set().union(*sets)} if sets else {}
 
 
-def postings(templates: Sequence[Template], rare: int = RARE) -> list[tuple[str, int, int]]:
-    """(word, template, position) of each template's words of highest IDF, the first by position among equals."""
+def postings(templates: Sequence[Template], rare: int = RARE) -> list[tuple[str, int, int, int]]:
+    """(word, template, position, rank) of each template's words of highest IDF; among equals the longer word, then the first."""
     weight, rows = idf(templates), []
     for k, t in enumerate(templates):
         words = t.text.split()
-        best = sorted(range(len(words)), key=lambda i: (-weight[words[i]], i))[:rare]
-        rows += [(words[i], k, i) for i in best]
+        best = sorted(range(len(words)), key=lambda i: (-weight[words[i]], -len(words[i]), i))[:rare]
+        rows += [(words[i], k, i, r) for r, i in enumerate(best)]
     return rows
 
 
@@ -108,33 +108,33 @@ def phrase_columns(p: Column, phrases: Sequence[tuple[str, str]]) -> dict[str, C
 def template_hits(spark: SparkSession, df: DataFrame, text: str, templates: Sequence[Template], rare: int = RARE) -> DataFrame:
     """(k1, k2, found, share): the labels of the templates that stand in each text, and the best share of a template's words in place.
 
-    A text with an index word gives its places and the words about them; the places are looked up in the postings (as small as the templates), and
-    what agrees in relative position is grouped. The words in place and the key phrases then decide. Copies of a text are one text.
+    Places of index words are looked up in the postings (as small as the templates) and grouped by the place where the template would
+    begin; a row is a place, and a group's index words are bits of one number, so that copies of a text count once. Only texts in which enough of
+    them agree are read again: the words in place and the key phrases decide.
     """
     words = [t.text.split() for t in templates]
-    reach = max(map(len, words))
     index = postings(templates, rare)
-    rarest = sorted({w for w, _, _ in index})
-    found = spark.createDataFrame(index, "word string, template int, at int")
-    rows = [(k, t.label, words[k], [f" {m} " for m in t.must], sum(1 for _, j, _ in index if j == k)) for k, t in enumerate(templates)]
-    table = spark.createDataFrame(rows, "template int, label string, words array<string>, must array<string>, indexed int")
-
-    keyed = df.select(F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2"), F.split(F.trim(padded(F.col(text))), " ").alias("w"))
-    likely = keyed.filter(F.arrays_overlap("w", F.array(*map(F.lit, rarest))))
-    spots = F.filter(F.transform("w", lambda w, i: F.when(w.isin(rarest), i)), lambda i: i.isNotNull())
-    start = lambda i: F.greatest(i - reach, F.lit(0))
-    about = F.transform(spots, lambda i: F.struct(i.alias("i"), start(i).alias("from"), F.slice("w", start(i) + 1, F.lit(2 * reach + 1)).alias("near")))
-    hits = likely.select("k1", "k2", F.explode(about).alias("s")).select("k1", "k2", "s.*")
-    hits = hits.withColumn("word", F.get("near", F.col("i") - F.col("from")))
-    met = hits.join(F.broadcast(found), "word").withColumn("base", F.col("i") - F.col("at"))  # bounded by the templates
-    aligned = met.groupBy("k1", "k2", "template", "base").agg(F.count_distinct("at").alias("n"), F.min(F.struct("i", "from", "near")).alias("c"))
-    aligned = aligned.join(F.broadcast(table), "template").filter(F.col("n") >= F.col("indexed") * MIN_ALIGNED)
-    here = F.col("base") - F.col("c.from")  # where the template's first word would stand in the words about the place
-    there = F.slice("c.near", F.greatest(here, F.lit(0)) + 1, F.size("words") + F.least(here, F.lit(0)))
-    ours = F.slice("words", F.lit(1) - F.least(here, F.lit(0)), F.size("words"))
+    rarest = sorted({w for w, *_ in index})
+    found = F.broadcast(spark.createDataFrame(index, "word string, template int, at int, rank int"))  # bounded by the templates
+    rows = [(k, t.label, words[k], [f" {m} " for m in t.must], sum(1 for _, j, *_ in index if j == k)) for k, t in enumerate(templates)]
+    table = F.broadcast(spark.createDataFrame(rows, "template int, label string, words array<string>, must array<string>, indexed int"))
+
+    keys = [F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2")]
+    keyed = df.select(*keys, F.split(F.trim(padded(F.col(text))), " ").alias("w")).filter(F.arrays_overlap("w", F.array(*map(F.lit, rarest))))
+    spots = F.filter(F.transform("w", lambda w, i: F.when(w.isin(rarest), F.struct(i.alias("i"), w.alias("word")))), lambda s: s.isNotNull())
+    met = keyed.select("k1", "k2", F.explode(spots).alias("s")).select("k1", "k2", "s.*").join(found, "word")
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("rank")))
+    aligned = met.groupBy("k1", "k2", "template", (F.col("i") - F.col("at")).alias("base")).agg(F.bit_count(bits).alias("n")).join(table, "template")
+    begun = settled(aligned.filter(F.col("n") >= F.col("indexed") * MIN_ALIGNED).select("k1", "k2", "template", "base"), "license-places")
+
+    again = df.select(F.col(text).alias("text"), *keys).join(begun.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    held = again.select("k1", "k2", F.split(F.trim(padded(F.col("text"))), " ").alias("w")).join(begun, ["k1", "k2"]).join(table, "template")
+    before = F.least(F.col("base"), F.lit(0))  # words of the template that would stand before the text
+    there = F.slice("w", F.greatest(F.col("base"), F.lit(0)) + 1, F.greatest(F.size("words") + before, F.lit(0)))
+    ours = F.slice("words", F.lit(1) - before, F.size("words"))
     same = F.size(F.filter(F.zip_with(there, ours, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     line = F.concat(F.lit(" "), F.array_join(there, " "), F.lit(" "))
-    judged = aligned.withColumn("share", same / F.size("words")).withColumn("keyed", F.forall("must", lambda m: F.contains(line, m)))
+    judged = held.withColumn("share", same / F.size("words")).withColumn("keyed", F.forall("must", lambda m: F.contains(line, m)))
     kept = judged.filter(F.col("keyed") & (F.col("share") >= MIN_SHARE))
     return kept.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
