@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..model import EVIDENCE_LEAD_IN, EVIDENCE_ROWS, LAYOUT_CONFIRMATION_BAR, Tables, dataset_id
 from ..session import settle
-from ..sources.frames import pad_row, stringify_row
+from ..sources.frames import filled_row, pad_row, stringify_row
 from .header import SHEET_KEY, blank_cell, disambiguate_labels, header_texts
 
 LAYOUT_KINDS = ("row_per_record", "key_value", "wide_matrix", "multiple_tables", "not_a_table", "unknown")
@@ -266,12 +266,9 @@ def unpivot_key_value(grid: DataFrame, layouts: DataFrame) -> Tables:
     keyed = placed.withColumn("record", F.dense_rank().over(records) - 1)
     widths = columns.groupBy("dataset_id").agg((F.max("col_idx") + 1).alias("_width"))
     rows = (
-        keyed.groupBy("dataset_id", "record").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "v"))).alias("_m"))
+        keyed.groupBy("dataset_id", "record").agg(F.array_sort(F.collect_list(F.struct("col_idx", F.col("v").alias("cell")))).alias("_e"))
         .join(widths, "dataset_id")
-        .select(
-            "dataset_id", F.col("record").cast("bigint").alias("row_idx"),
-            F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(""))).alias("cells"),
-        )
+        .select("dataset_id", F.col("record").cast("bigint").alias("row_idx"), pad_row(filled_row("_e", F.lit("")), F.col("_width")).alias("cells"))
     )
     datasets = placed.select(
         "dataset_id", F.col("file_id").alias("source_file"), "sheet", F.lit(0).alias("table_idx"),

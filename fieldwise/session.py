@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +49,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_RUN: ContextVar[str | None] = ContextVar("fieldwise_run", default=None)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where settled tables go: the open workspace, or the shared part of the checkpoint folder."""
+    run = _RUN.get()
+    return f"{ensure_checkpoint_dir(spark)}/fieldwise" + (f"/{run}" if run else "")
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Owns what is settled inside it: the folder goes when the block ends, so write results before that."""
+    token = _RUN.set(f"run-{uuid.uuid4().hex}")
+    folder = run_folder(spark)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an inventory that many branches read into the checkpoint folder, and go on from that table.
 
@@ -53,7 +78,7 @@ def settle(df: DataFrame) -> DataFrame:
     and the table's true size decides whether a join may broadcast it.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/fieldwise/{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

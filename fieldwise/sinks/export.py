@@ -98,9 +98,19 @@ def safe_name(name: Column, index: Column) -> Column:
 def safe_names(members: DataFrame) -> DataFrame:
     """file_id, idx, name -> safe, unique inside a file by an index suffix.
 
-    A file's members fold in order; members are sheets, so the list is an inventory.
+    The first of equal names keeps it, later ones take their index. Only files in which such a name meets another
+    fold their list in order, trying longer suffixes.
     """
-    lists = members.select("file_id", F.struct("idx", safe_name(F.col("name"), F.col("idx")).alias("safe")).alias("_m")).groupBy("file_id").agg(
+    same = Window.partitionBy("file_id", "_safe").orderBy("idx")
+    safe = members.select("file_id", "idx", safe_name(F.col("name"), F.col("idx")).alias("_safe")).withColumn("_k", F.row_number().over(same))
+    named = safe.withColumn("safe", F.when(F.col("_k") == 1, F.col("_safe")).otherwise(F.concat_ws("_", "_safe", F.col("idx").cast("string"))))
+    clashes = named.groupBy("file_id", "safe").agg(F.count("*").alias("_n")).filter("_n > 1").select("file_id").distinct()
+    plain = named.join(clashes, "file_id", "left_anti").select("file_id", "idx", "safe")
+    return plain.unionByName(_fold_names(safe.join(clashes, "file_id", "left_semi")))
+
+
+def _fold_names(safe: DataFrame) -> DataFrame:
+    lists = safe.select("file_id", F.struct("idx", F.col("_safe").alias("safe")).alias("_m")).groupBy("file_id").agg(
         F.array_sort(F.collect_list("_m")).alias("_ms")
     )
 
@@ -116,15 +126,17 @@ def safe_names(members: DataFrame) -> DataFrame:
 
 def member_names(members: DataFrame) -> DataFrame:
     """file_id, sheet, table_idx, title, label -> member name; a repeated title gets its rows."""
-    same = F.count("*").over(Window.partitionBy("file_id", "sheet", "title"))
     titled = F.coalesce(F.col("title"), F.lit("")) != ""
+    counts = members.filter(titled).groupBy("file_id", "sheet", "title").agg(F.count("*").alias("_same"))  # untitled rows are no key
+    members = members.join(counts, ["file_id", "sheet", "title"], "left").select(*members.columns, "_same")
+    same = F.col("_same")
     name = (
         F.when(F.col("table_idx").isNull(), F.col("sheet"))
         .when(titled & (same == 1), F.concat_ws(" — ", "sheet", "title"))
         .when(titled, F.concat(F.concat_ws(" — ", "sheet", "title"), F.lit(" ("), F.col("label"), F.lit(")")))
         .otherwise(F.concat_ws(" — ", "sheet", "label"))
     )
-    return members.withColumn("member", name)
+    return members.withColumn("member", name).drop("_same")
 
 
 def apply_selections(manifest: DataFrame, selections: DataFrame, schemas: DataFrame) -> tuple[DataFrame, DataFrame]:

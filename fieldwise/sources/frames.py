@@ -55,18 +55,15 @@ def grid_from_cells(cells: DataFrame) -> DataFrame:
     Grouped by single row; rows that hold no cell at all come back as empty arrays.
     """
     keys = ["file_id", "sheet", "row_idx"]
-    wide = cells.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("col_idx", F.struct("v", "t")))).alias("_m"),
-        F.max("col_idx").alias("_last"),
-    )
+    wide = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col_idx", F.struct("v", "t").alias("cell")))).alias("_e"))
     empty = F.struct(F.lit(None).cast("string").alias("v"), F.lit("blank").alias("t"))
-    return wide.select(
-        *keys,
-        F.transform(
-            F.sequence(F.lit(0), F.col("_last")),
-            lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), empty),
-        ).alias("cells"),
-    )
+    return wide.select(*keys, filled_row("_e", empty).alias("cells"))
+
+
+def filled_row(entries: str, empty: Column) -> Column:
+    """A row's sorted (col_idx, cell) entries as its cells, gaps filled: each entry brings the gap before it, so a row costs its width."""
+    before = lambda i: F.when(i > 0, F.get(F.col(entries), i - 1)["col_idx"]).otherwise(-1)
+    return F.flatten(F.transform(F.col(entries), lambda e, i: F.concat(F.array_repeat(empty, e["col_idx"] - before(i) - 1), F.array(e["cell"]))))
 
 
 def cells_from_rows(rows: DataFrame) -> DataFrame:

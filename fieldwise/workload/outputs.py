@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Field, FieldSet
 from ..operators.layout import sample_rows
-from ..session import ensure_checkpoint_dir
+from ..session import run_folder
 from ..sinks import export
 from ..sources.delimited import scan_delimited
 from ..streaming.ingest import stream_ingest
@@ -114,7 +114,7 @@ def pending_expiry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fresh_folder(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/fieldwise/{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query(
