@@ -14,7 +14,7 @@ from ..sinks import export
 from ..sources.delimited import scan_delimited
 from ..streaming.ingest import stream_ingest
 from ..streaming.pending import expire_pending, watch_pending
-from .registry import comma_money, query, table
+from .registry import comma_money, query, sql_values, table
 
 _SLUG = "trim(regexp_replace(lower({0}),'[^a-z0-9]+','-','g'),'-')"
 
@@ -188,3 +188,47 @@ def export_tidy(spark: SparkSession, sf: str) -> DataFrame:
     export.export(tidy, ready, keys, fields, path, "csv")
     back = spark.read.option("header", True).schema("c_custkey bigint, c_name string, c_acctbal double, export_key string").csv(path)
     return back.select("c_custkey", "c_name", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"), "export_key")
+
+
+# Each kind of file, and the error it must give.
+FILE_KINDS = {
+    "good": None,
+    "ragged": "some rows have more values than the header has names",
+    "wider": "each row has one more value than the header has names",
+    "open": "a quoted cell is never closed",
+    "comments": "it holds no line of data",
+    "hashed": "a line starting with '#' has as many columns as the table, so it may be its header",
+    "text": "unsupported format '.txt'",
+}
+
+
+@query(
+    "scan_errors",
+    f"""with k as (select * from {sql_values([(a, b) for a, b in FILE_KINDS.items() if b], ['kind', 'error'])}), n as (select distinct c_nationkey from customer)
+      select kind, c_nationkey, error from k cross join n""",
+)
+def scan_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of a nation as one file of every kind: good ones give no error, each other kind its own, named."""
+    folder = f"{_fresh_folder(spark)}/kinds"
+    kind, k = F.col("kind"), F.col("c_custkey").cast("string")
+    plain = F.concat_ws(",", k, F.col("c_mktsegment"), F.lit("x"))
+    line = (
+        F.when((kind == "wider") | ((kind == "ragged") & (F.col("c_custkey") == F.col("least"))), F.concat_ws(",", plain, F.lit("more")))
+        .when((kind == "open") & (F.col("c_custkey") == F.col("least")), F.concat(k, F.lit(',"never,closed')))
+        .when(kind == "comments", F.concat(F.lit("\u00a0# "), plain))
+        .otherwise(plain)
+    )
+    heading = F.when(kind == "comments", "\u00a0# only").when(kind == "hashed", "\u00a0#key,segment,note").otherwise("key,segment,note")
+    customer = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_mktsegment", F.explode(F.array(*map(F.lit, FILE_KINDS))).alias("kind"))
+    firsts = customer.groupBy("kind", "c_nationkey").agg(F.min("c_custkey").alias("least"))
+    data = customer.join(firsts, ["kind", "c_nationkey"]).select("kind", "c_nationkey", F.col("c_custkey").alias("at"), line.alias("value"))
+    heads = firsts.select("kind", "c_nationkey", F.lit(-1).cast("bigint").alias("at"), heading.alias("value"))
+    lines = data.unionByName(heads).repartition("kind", "c_nationkey").sortWithinPartitions("kind", "c_nationkey", "at")
+    raw = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "escapeQuotes": "false", "emptyValue": ""}
+    lines.filter("kind <> 'text'").select("kind", "c_nationkey", "value").write.partitionBy("kind", "c_nationkey").options(**raw).csv(folder)
+    lines.filter("kind = 'text'").select("kind", "c_nationkey", "value").write.mode("append").partitionBy("kind", "c_nationkey").text(folder)
+    scan = scan_delimited(spark, folder)
+    return scan.errors.select(
+        F.regexp_extract("file_id", "kind=([a-z]+)", 1).alias("kind"), F.regexp_extract("file_id", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey"),
+        F.regexp_replace("error", "^Cannot ingest [^:]*: ", "").alias("error"),
+    )
