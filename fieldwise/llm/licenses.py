@@ -6,10 +6,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settled
+from .common import ascii_lower
 
 # Phrases that alone give a label, by exact words.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -105,38 +105,53 @@ def phrase_columns(p: Column, phrases: Sequence[tuple[str, str]]) -> dict[str, C
     }
 
 
-def template_hits(spark: SparkSession, df: DataFrame, text: str, templates: Sequence[Template], rare: int = RARE) -> DataFrame:
-    """(k1, k2, found, share): the labels of the templates that stand in each text, and the best share of a template's words in place.
+def _table(rows: Sequence[Sequence[str]]) -> Column:
+    """Lists of words as one constant."""
+    return F.array(*[F.array(*map(F.lit, r)).cast("array<string>") for r in rows]).cast("array<array<string>>")
 
-    Places of index words are looked up in the postings (as small as the templates) and grouped by the place where the template would
-    begin; a row is a place, and a group's index words are bits of one number, so that copies of a text count once. Only texts in which enough of
-    them agree are read again: the words in place and the key phrases decide.
+
+def with_places(rows: DataFrame, templates: Sequence[Template], rare: int = RARE) -> DataFrame:
+    """Adds `places`, the (template, base) at which enough of a template's index words agree, to rows with the array `w` of a text's words.
+
+    Each place of an index word is looked up in the postings and says where the template would begin (`base`). Sorted, equal beginnings stand
+    side by side, so agreement is seen in one run over them, however many places a very long text has. The postings are constants of the plan.
     """
-    words = [t.text.split() for t in templates]
     index = postings(templates, rare)
-    rarest = sorted({w for w, *_ in index})
-    found = F.broadcast(spark.createDataFrame(index, "word string, template int, at int, rank int"))  # bounded by the templates
-    rows = [(k, t.label, words[k], [f" {m} " for m in t.must], sum(1 for _, j, *_ in index if j == k)) for k, t in enumerate(templates)]
-    table = F.broadcast(spark.createDataFrame(rows, "template int, label string, words array<string>, must array<string>, indexed int"))
-
-    keys = [F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2")]
-    keyed = df.select(*keys, F.split(F.trim(padded(F.col(text))), " ").alias("w")).filter(F.arrays_overlap("w", F.array(*map(F.lit, rarest))))
+    need = {k: max(1, math.ceil(MIN_ALIGNED * sum(j == k for _, j, *_ in index))) for k in range(len(templates))}
+    by_word: dict[str, list[Column]] = {}
+    for word, k, at, _ in index:
+        by_word.setdefault(word, []).append(F.struct(F.lit(k).alias("template"), F.lit(at).alias("at"), F.lit(need[k]).alias("need")))
+    rarest = sorted(by_word)
+    looked_up = F.create_map(*[x for w in rarest for x in (F.lit(w), F.array(*by_word[w]))])
     spots = F.filter(F.transform("w", lambda w, i: F.when(w.isin(rarest), F.struct(i.alias("i"), w.alias("word")))), lambda s: s.isNotNull())
-    met = keyed.select("k1", "k2", F.explode(spots).alias("s")).select("k1", "k2", "s.*").join(found, "word")
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("rank")))
-    aligned = met.groupBy("k1", "k2", "template", (F.col("i") - F.col("at")).alias("base")).agg(F.bit_count(bits).alias("n")).join(table, "template")
-    begun = settled(aligned.filter(F.col("n") >= F.col("indexed") * MIN_ALIGNED).select("k1", "k2", "template", "base"), "license-places")
-
-    again = df.select(F.col(text).alias("text"), *keys).join(begun.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    held = again.select("k1", "k2", F.split(F.trim(padded(F.col("text"))), " ").alias("w")).join(begun, ["k1", "k2"]).join(table, "template")
-    before = F.least(F.col("base"), F.lit(0))  # words of the template that would stand before the text
-    there = F.slice("w", F.greatest(F.col("base"), F.lit(0)) + 1, F.greatest(F.size("words") + before, F.lit(0)))
-    ours = F.slice("words", F.lit(1) - before, F.size("words"))
-    same = F.size(F.filter(F.zip_with(there, ours, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    line = F.concat(F.lit(" "), F.array_join(there, " "), F.lit(" "))
-    judged = held.withColumn("share", same / F.size("words")).withColumn("keyed", F.forall("must", lambda m: F.contains(line, m)))
-    kept = judged.filter(F.col("keyed") & (F.col("share") >= MIN_SHARE))
-    return kept.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    begun = F.transform(
+        "spots", lambda s: F.transform(F.element_at(looked_up, s["word"]), lambda p: F.struct(p["template"].alias("template"), (s["i"] - p["at"]).alias("base"), p["need"].alias("need")))
+    )
+    agreed = F.filter(F.transform("begun", lambda x, i: F.when(F.get(F.col("begun"), i + x["need"] - 1) == x, x)), lambda x: x.isNotNull())
+    return (
+        rows.withColumn("spots", F.when(F.arrays_overlap("w", F.array(*map(F.lit, rarest))), spots))
+        .withColumn("begun", F.array_sort(F.flatten(begun)))
+        .withColumn("places", F.array_distinct(agreed))
+        .drop("spots", "begun")
+    )
+
+
+def judged_places(templates: Sequence[Template]) -> Column:
+    """The (label, share) of those `places` at which the words in place and the key phrases bear the template out."""
+    texts, musts = _table([t.text.split() for t in templates]), _table([[f" {m} " for m in t.must] for t in templates])
+    labels = F.array(*[F.lit(t.label) for t in templates])
+
+    def judge(x: Column) -> Column:
+        words = F.get(texts, x["template"])
+        before = F.least(x["base"], F.lit(0))  # words of the template that would stand before the text
+        there = F.slice("w", F.greatest(x["base"], F.lit(0)) + 1, F.greatest(F.size(words) + before, F.lit(0)))
+        ours = F.slice(words, F.lit(1) - before, F.size(words))
+        same = F.size(F.filter(F.zip_with(there, ours, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda y: y))
+        line = F.concat(F.lit(" "), F.array_join(there, " "), F.lit(" "))
+        keyed = F.forall(F.get(musts, x["template"]), lambda m: F.contains(line, m))
+        return F.struct(F.get(labels, x["template"]).alias("label"), F.when(keyed, same / F.size(words)).otherwise(0.0).alias("share"))
+
+    return F.filter(F.transform("places", judge), lambda j: j["share"] >= MIN_SHARE)
 
 
 def scan_licenses(
@@ -150,14 +165,13 @@ def scan_licenses(
 
     Phrases give base labels wherever their words stand consecutively. Templates add labels where enough of their rarest words
     agree in relative position, most of their words stand in place and their key phrases are there. The score is the best such share, PHRASE_SCORE at
-    least where a phrase is, else 0. A null text counts as empty: no words, no labels, score 0. Overlapping phrases all count. Repeated rows get equal results.
+    least where a phrase is, else 0. A null text counts as empty: no words, no labels, score 0. Overlapping phrases all count.
+    Repeated rows get equal results. One pass over the rows, no shuffle: a template collection must fit the plan, some hundreds do.
     """
-    base = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2"), padded(F.col(text)).alias("p"))
-    base = base.select("doc_id", "k1", "k2", *(c.alias(n) for n, c in phrase_columns(F.col("p"), phrases).items()))
-    hits = settled(template_hits(df.sparkSession, df, text, templates), "license-hits")
-    labels = F.array_sort(F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>"))))
+    rows = df.select(F.col(doc_id).alias("doc_id"), padded(F.col(text)).alias("p"))
+    rows = rows.select("doc_id", *(c.alias(n) for n, c in phrase_columns(F.col("p"), phrases).items()), F.split(F.trim("p"), " ").alias("w"))
+    held = with_places(rows, templates).withColumn("held", F.coalesce(judged_places(templates), F.array().cast("array<struct<label:string,share:double>>")))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("held", lambda j: j["label"])))
+    best = F.coalesce(F.array_max(F.transform("held", lambda j: j["share"])), F.lit(0.0))
     floor = F.when(F.col("n_base") > 0, PHRASE_SCORE).otherwise(0.0)
-    return base.join(hits, ["k1", "k2"], "left").select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"),
-        F.greatest(F.coalesce("share", F.lit(0.0)), floor).alias("score"),
-    )
+    return held.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), F.greatest(best, floor).alias("score"))
