@@ -10,7 +10,7 @@ from .common import fresh, map_rows, settled
 from .text_stats import counts_of, words_of
 
 MIN_DOCS = 20  # a line in no more documents of a host than this always stays
-MAX_SHARE = 0.01  # nor does a line go that stands in no more than this share of the host's documents
+MAX_SHARE = 0.05  # nor does a line go that stands in no more than this share of the host's documents
 MIN_LEFT = 0.5  # a document must keep more than this share of its words
 MIN_WORDS = 20
 MAX_REPEAT = 0.3
