@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwise.session import ensure_checkpoint_dir
+from fieldwise.session import run_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +24,17 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     Lost executors then reread files, every later reader sees the same rows, and the table's true
     size decides whether a join may broadcast it.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/fieldwise/{what}-{uuid.uuid4().hex}"
+    folder = f"{run_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files that only settled tables needed; it does so when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Exchange by a hash of the row, for few but costly rows: the same rows in the same partitions on every run."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 3, F.xxhash64(*df.columns))

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX_A, fresh, map_rows, mix, settled, window_hashes
+from .common import MIX_A, fresh, map_rows, mix, release, settled, window_hashes
 from .graph import components
 
 WORDS, SIMILAR, OF = 5, 80, 100  # shingles of five words; 100 * intersection >= 80 * union
 BLOCK = 512  # rows of a tile's side
+BITS = 8  # bits of a bitmap for each shingle two sets may differ in
+YIELD = 50_000  # pairs a task holds before it hands them on
 
 
 class Bands:
@@ -106,7 +108,7 @@ def bitmap(found: np.ndarray, bands: Bands) -> bytes:
     """A hashed bitmap, each shingle flipping one bit: two sets differ in at least as many shingles as their bitmaps in bits."""
     differ = 2 * len(found) * (bands.q - bands.p) // (bands.q + bands.p) + 1
     bits = 256
-    while bits < 6 * differ:
+    while bits < BITS * differ:
         bits *= 2
     at = (mix(found ^ np.uint64(0x5DEECE66D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -152,19 +154,20 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield left
 
 
-def member_rows(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(doc_id, xh, node, h, n_shingles) of every row: `node` names its set, `h` is half of the name, `xh` a hash of the text."""
-    inside = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("xh"))
+def member_rows(df: DataFrame, doc_id: str, text: str, n: int, p: int, q: int) -> DataFrame:
+    """(doc_id, xh, dk, node, h, n_shingles, bits) of every row: `node` names its set, `h` is half of the name, `xh` a hash of the text, `dk` of the id."""
+    inside = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("xh"), F.xxhash64(doc_id).alias("dk"))
 
     def name(piece: pa.RecordBatch) -> pa.Table:
-        sets = [shingles(t, n) for t in piece.column("text").to_pylist()]
+        bands, sets = Bands(p, q), [shingles(t, n) for t in piece.column("text").to_pylist()]
         out = pa.Table.from_batches([piece]).drop_columns(["text"])
         names = [set_name(s) if len(s) else None for s in sets]
         out = out.append_column("node", pa.array(names, pa.binary()))
         out = out.append_column("h", pa.array([None if x is None else half_name(x) for x in names], pa.int64()))
-        return out.append_column("n_shingles", pa.array([len(s) for s in sets], pa.int64()))
+        out = out.append_column("n_shingles", pa.array([len(s) for s in sets], pa.int64()))
+        return out.append_column("bits", pa.array([bitmap(s, bands) if len(s) else None for s in sets], pa.binary()))
 
-    return map_rows(inside, name, f"doc_id {dict(inside.dtypes)['doc_id']}, xh bigint, node binary, h bigint, n_shingles bigint")
+    return map_rows(inside, name, f"doc_id {dict(inside.dtypes)['doc_id']}, xh bigint, dk bigint, node binary, h bigint, n_shingles bigint, bits binary")
 
 
 def _tile_rows(df: DataFrame, text: str, n: int, p: int, q: int) -> DataFrame:
@@ -188,23 +191,27 @@ def _tile_rows(df: DataFrame, text: str, n: int, p: int, q: int) -> DataFrame:
     return map_rows(df.select(F.col(text).alias("text")), tiles, "tile bigint, h bigint")
 
 
-def _sets(df: DataFrame, wanted: DataFrame, text: str, n: int, p: int, q: int) -> DataFrame:
-    """(h, node, n, bits, items) of the sets whose texts have a hash in `wanted`, once each."""
-    inside = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("xh")).join(wanted, "xh", "left_semi").select("text")
+def _sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
+    """(h, node, items) of the sets of the texts in `wanted` (xh, dk), one text for each set.
+
+    The id's hash in the key spreads copies of one text; of rows that repeat in both one is taken, where the join has dealt them.
+    """
+    inside = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("xh"), F.xxhash64(doc_id).alias("dk"))
+    inside = inside.join(wanted, ["xh", "dk"], "left_semi").dropDuplicates(["xh", "dk"]).select("text")
 
     def build(piece: pa.RecordBatch) -> pa.Table:
-        bands, out = Bands(p, q), []
+        out = []
         for t in piece.column("text").to_pylist():
             found = shingles(t, n)
             if len(found):
                 name = set_name(found)
-                out.append({"h": half_name(name), "node": name, "n": len(found), "bits": bitmap(found, bands), "items": found.tobytes()})
+                out.append({"h": half_name(name), "node": name, "items": found.tobytes()})
         return pa.Table.from_pylist(out, SETS)
 
-    return map_rows(inside, build, "h bigint, node binary, n bigint, bits binary, items binary").dropDuplicates(["node"])
+    return map_rows(inside, build, "h bigint, node binary, items binary")
 
 
-SETS = pa.schema([("h", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bits", pa.binary()), ("items", pa.binary())])
+SETS = pa.schema([("h", pa.int64()), ("node", pa.binary()), ("items", pa.binary())])
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -223,10 +230,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return map_rows(both, verify, "a binary, b binary")
 
 
-def _tile_pairs(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """(x, y): pairs of different components in one tile that the size and bitmap bounds let pass.
+def _within_bounds(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """The (x, y) pairs that the size and bitmap bounds let pass."""
+    left = nodes.select(F.col("h").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    right = nodes.select(F.col("h").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+
+    def test(piece: pa.RecordBatch) -> pa.Table:
+        keep = []
+        for a, b, s, t in zip(*(piece.column(c).to_pylist() for c in ("nx", "ny", "bx", "by")), strict=True):
+            size = min(len(s), len(t))
+            apart = int(np.bitwise_count(fold(s, size) ^ fold(t, size)).sum())
+            keep.append(q * min(a, b) >= p * max(a, b) and apart * (p + q) <= (a + b) * (q - p))
+        return pa.Table.from_batches([piece]).select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_rows(pairs.join(left, "x").join(right, "y"), test, "x bigint, y bigint")
+
+
+def _tile_pairs(rows: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
+    """(tile, x, y): pairs of different components in one tile that the size and bitmap bounds let pass.
 
-    A tile with many rows is cut into blocks, and each pair of blocks is a task's work of its own.
+    With `nearest`, of each set's pairs with another component in the tile only the one whose bitmaps differ least; a tile that gives none has none. A
+    tile with many rows is cut into blocks, and each pair of blocks is a piece of work of its own.
     """
     of_tile = Window.partitionBy("tile")
     rows = rows.withColumn("lo", F.min("root").over(of_tile)).withColumn("hi", F.max("root").over(of_tile)).filter("lo < hi")
@@ -236,35 +260,49 @@ def _tile_pairs(rows: DataFrame, p: int, q: int) -> DataFrame:
     tiles = sized.select("tile", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "root", "n", "bits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for rows in _runs(batches, ["tile", "i", "j"]):
-            tile, i, j = (rows.column(c).to_numpy() for c in ("tile", "i", "j"))
+            tile, i, j, h, n, mine, root = (rows.column(c).to_numpy() for c in ("tile", "i", "j", "h", "n", "mine", "root"))
             edges = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-            h, n, mine = (rows.column(c).to_numpy() for c in ("h", "n", "mine"))
-            roots, bits = rows.column("root").to_pylist(), rows.column("bits").to_pylist()
-            out_x, out_y = [], []
+            bits = rows.column("bits").to_pylist()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a < 2:
+                if b - a < 2 or (root[a:b] == root[a]).all():
                     continue
-                size = min(len(x) for x in bits[a:b])
-                m = np.stack([fold(x, size) for x in bits[a:b]])
-                codes = {r: k for k, r in enumerate(dict.fromkeys(roots[a:b]))}
-                code = np.array([codes[r] for r in roots[a:b]])
-                nn, hh, side = n[a:b], h[a:b], mine[a:b]
-                for u in range(b - a - 1):
-                    v = np.arange(u + 1, b - a)
-                    v = v[(code[v] != code[u]) & ((side[v] != side[u]) | (i[a] == j[a]))]
-                    small, large = np.minimum(nn[v], nn[u]), np.maximum(nn[v], nn[u])
-                    v = v[q * small >= p * large]
-                    if not len(v):
-                        continue
-                    apart = np.bitwise_count(m[v] ^ m[u]).sum(axis=1, dtype=np.int64)
-                    v = v[apart * (p + q) <= (nn[v] + nn[u]) * (q - p)]
-                    out_x += np.minimum(hh[v], hh[u]).tolist()
-                    out_y += np.maximum(hh[v], hh[u]).tolist()
-            yield from pa.table({"x": pa.array(out_x, pa.int64()), "y": pa.array(out_y, pa.int64())}).to_batches()
+                size = min(map(len, bits[a:b]))
+                m = np.stack([fold(x, size) for x in bits[a:b]]).view(np.uint64)
+                for u, v in _passing(m, n[a:b], root[a:b], mine[a:b], bool(i[a] == j[a]), p, q, nearest):
+                    x, y = h[a:b][u], h[a:b][v]
+                    held.append(np.stack([np.full(len(x), tile[a]), np.minimum(x, y), np.maximum(x, y)]))
+                if sum(k.shape[1] for k in held) > YIELD:
+                    yield _pair_batch(held)
+                    held = []
+        yield _pair_batch(held)
 
     dealt = tiles.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    return dealt.mapInArrow(compare, "x bigint, y bigint").distinct()
+    return dealt.mapInArrow(compare, "tile bigint, x bigint, y bigint")
+
+
+def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.concatenate(held, axis=1) if held else np.empty((3, 0), dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["tile", "x", "y"])
+
+
+def _passing(m, n, root, side, within: bool, p: int, q: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of the pairs within the bounds, a row of the tile against those behind it at a time."""
+    for u in range(len(n) - 1):
+        v = np.arange(u + 1, len(n))
+        v = v[(root[v] != root[u]) & ((side[v] != side[u]) | within)]
+        v = v[q * np.minimum(n[v], n[u]) >= p * np.maximum(n[v], n[u])]
+        if not len(v):
+            continue
+        apart = np.bitwise_count(m[v] ^ m[u]).sum(axis=1, dtype=np.int64)
+        good = apart * (p + q) <= (n[v] + n[u]) * (q - p)
+        v, apart = v[good], apart[good]
+        if nearest and len(v) > 1:  # the least apart of each component
+            order = np.lexsort((apart, root[v]))
+            v = v[order][np.r_[True, np.diff(root[v][order]) != 0]]
+        if len(v):
+            yield np.full(len(v), u), v
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, similar: int = SIMILAR, of: int = OF) -> DataFrame:
@@ -274,25 +312,47 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     reachable by links. Links hold between texts, so ids may repeat or be null (a null id is never a component's, unless all are).
     A null or empty text has no shingles and is linked with nothing: it is its own component. Repeated rows are copies.
 
-    Equal sets are one node however many rows have them. In each tile every set is first compared with one other only,
-    the tile's least, and each set over all its tiles with the least of those; what is linked by then needs no further comparison,
-    and the rest of a tile is compared completely, block by block. So a group of thousands of near copies costs about one comparison a member.
+    Equal sets are one node however many rows have them. Sets that share many tiles with others are central to their group. Each set is paired
+    with the most central one of all its tiles, and where the bounds let that pass, the two form a first group; across first groups, tiles are
+    compared by bitmaps. Sets within the bounds of no other are done with then, and only the others' texts are read again, for their arrays.
+    Those verify the first pairs; of what is still apart in a tile the nearest pairs are verified, then all. So a group of thousands of near copies
+    costs about one comparison a member, and no pair of different components goes untested.
     """
-    p, q = similar, of
-    members = settled(member_rows(df, doc_id, text, n), "set-members")
+    p, q, spark = similar, of, df.sparkSession
+    members = settled(member_rows(df, doc_id, text, n, p, q), "set-members")
     of_tile = Window.partitionBy("tile")
-    tiles = _tile_rows(df, text, n, p, q).withColumn("lo", F.min("h").over(of_tile)).withColumn("hi", F.max("h").over(of_tile))
-    tiles = settled(tiles.filter("lo < hi").select("tile", "h", "lo").distinct(), "tiles")
-    wanted = members.filter("node is not null").groupBy("node", "h").agg(F.min("xh").alias("xh")).join(tiles.select("h").distinct(), "h", "left_semi")
-    sets = settled(_sets(df, wanted.select("xh").distinct(), text, n, p, q), "sets")
-
-    first = tiles.filter("h > lo").groupBy("h").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("x"), F.col("h").alias("y"))
+    tiles = _tile_rows(df, text, n, p, q).withColumns({"lo": F.min("h").over(of_tile), "hi": F.max("h").over(of_tile), "m": F.count("*").over(of_tile)})
+    tiles = settled(tiles.filter("lo < hi").select("tile", "h", "m").distinct(), "tiles")
+    release(spark)
+    places, degrees = tiles.select("tile", "h"), tiles.groupBy("h").agg(F.sum("m").alias("degree"))
+    drawn = members.filter("node is not null").groupBy("node", "h").agg(
+        F.min(F.struct("xh", "dk")).alias("t"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")
+    )
+    drawn = settled(drawn.join(degrees, "h", "left_semi"), "tile-nodes")
+
+    central = F.max(F.struct("degree", "h")).over(of_tile)
+    first = places.join(degrees, "h").select("h", central.alias("c")).filter("h <> c.h").groupBy("h").agg(F.max("c").alias("c"))
+    first = settled(_within_bounds(first.select(F.col("c.h").alias("x"), F.col("h").alias("y")), drawn, p, q), "first-pairs")
+    groups = components(first, "x", "y").withColumnsRenamed({"node": "h", "root": "group"})
+    small = drawn.join(groups, "h", "left").select("h", F.coalesce("group", "h").alias("root"), "n", "bits")
+    across = settled(_tile_pairs(places.join(small, "h"), p, q, True), "apart")
+    release(spark)
+    ends = first.unionByName(across.select("x", "y"))
+    near = settled(ends.select(F.col("x").alias("h")).unionByName(ends.select(F.col("y").alias("h"))).distinct(), "near")
+
+    drawn = drawn.join(near, "h", "left_semi")
+    sets = settled(_sets(df, drawn.select("t.*"), doc_id, text, n), "sets")
+    release(spark)
     links = settled(_verified(first, sets, p, q), "near-links")
-    roots = components(links)
-    small = sets.select("h", "node", "n", "bits").join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("root"), "n", "bits")
-    rest = _tile_pairs(tiles.select("tile", "h").join(small, "h"), p, q)
-    more = settled(_verified(rest, sets, p, q), "near-links")
-    roots = components(links.unionByName(more))
+    roots, places = components(links), settled(places.join(near, "h", "left_semi"), "near-tiles")
+    for nearest in (True, False):
+        small = drawn.join(roots, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("root"), "n", "bits")
+        apart = settled(_tile_pairs(places.join(small, "h"), p, q, nearest), "apart")
+        places = places.join(apart.select("tile").distinct(), "tile", "left_semi")  # what else is within the bounds is in these
+        more = settled(_verified(apart.select("x", "y").distinct(), sets, p, q), "near-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
 
     nodes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
