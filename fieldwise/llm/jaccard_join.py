@@ -194,10 +194,11 @@ def _tile_rows(df: DataFrame, text: str, n: int, p: int, q: int) -> DataFrame:
 def _sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """(h, node, items) of the sets of the texts in `wanted` (xh, dk), one text for each set.
 
-    The id's hash in the key spreads copies of one text; of rows that repeat in both one is taken, where the join has dealt them.
+    The id's hash in the key spreads copies of one text; of rows that repeat in both one is taken, where the join has dealt them
+    (by a merge at every size, so that the deduplication needs no exchange of its own).
     """
     inside = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("xh"), F.xxhash64(doc_id).alias("dk"))
-    inside = inside.join(wanted, ["xh", "dk"], "left_semi").dropDuplicates(["xh", "dk"]).select("text")
+    inside = inside.join(wanted.hint("merge"), ["xh", "dk"], "left_semi").dropDuplicates(["xh", "dk"]).select("text")
 
     def build(piece: pa.RecordBatch) -> pa.Table:
         out = []
@@ -249,7 +250,7 @@ def _within_bounds(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFr
 def _tile_pairs(rows: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
     """(tile, x, y): pairs of different components in one tile that the size and bitmap bounds let pass.
 
-    With `nearest`, of each set's pairs with another component in the tile only the one whose bitmaps differ least; a tile that gives none has none. A
+    With `nearest`, of each set's pairs only the one whose bitmaps differ least (see _passing); a tile that gives none has none. A
     tile with many rows is cut into blocks, and each pair of blocks is a piece of work of its own.
     """
     of_tile = Window.partitionBy("tile")
@@ -288,7 +289,14 @@ def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _passing(m, n, root, side, within: bool, p: int, q: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, places) of the pairs within the bounds, a row of the tile against those behind it at a time."""
+    """(places, places) of the pairs within the bounds, a row of the tile against those behind it at a time.
+
+    With `nearest`, each row's least-apart partner, given by the row of the component with fewer rows here: of every pair within
+    the bounds at least one side is then heard, and a large component does not answer for each of its rows.
+    """
+    _, code, size = np.unique(root, return_inverse=True, return_counts=True)
+    least = np.full(len(n), np.iinfo(np.int64).max)
+    partner = np.full(len(n), -1)
     for u in range(len(n) - 1):
         v = np.arange(u + 1, len(n))
         v = v[(root[v] != root[u]) & ((side[v] != side[u]) | within)]
@@ -298,11 +306,20 @@ def _passing(m, n, root, side, within: bool, p: int, q: int, nearest: bool) -> I
         apart = np.bitwise_count(m[v] ^ m[u]).sum(axis=1, dtype=np.int64)
         good = apart * (p + q) <= (n[v] + n[u]) * (q - p)
         v, apart = v[good], apart[good]
-        if nearest and len(v) > 1:  # the least apart of each component
-            order = np.lexsort((apart, root[v]))
-            v = v[order][np.r_[True, np.diff(root[v][order]) != 0]]
-        if len(v):
+        if not len(v):
+            continue
+        if not nearest:
             yield np.full(len(v), u), v
+            continue
+        mine, theirs = size[code[u]], size[code[v]]
+        if (own := mine <= theirs).any():
+            k = int(np.argmin(np.where(own, apart, np.iinfo(np.int64).max)))
+            if apart[k] < least[u]:
+                least[u], partner[u] = apart[k], v[k]
+        other = (theirs <= mine) & (apart < least[v])
+        least[v[other]], partner[v[other]] = apart[other], u
+    if nearest and (found := np.flatnonzero(partner >= 0)).size:
+        yield found, partner[found]
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, similar: int = SIMILAR, of: int = OF) -> DataFrame:
