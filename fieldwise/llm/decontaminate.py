@@ -1,25 +1,29 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so that a question with other numbers or names has the windows of the
-original. Windows meet by hash, and what stood in the placeholders must map one to one.
+original. Windows meet by hash, and each name or number of the question must stand for one of the text in one of its occurrences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, settled
 
 WINDOW = 8  # tokens
 MIN_LITERALS = 4  # tokens of an indexed window that are no placeholders
-MIN_COVER = 0.5  # share of an item's indexed windows that a text must hold
+MIN_COVER = 0.5  # share of an item's indexed windows that an occurrence must hold
+PASSAGE = 13  # literal tokens of an unbroken passage that is a leak however long its item is
+NEAR = 4  # windows that follow each other with at most so many tokens put in or left out belong to one occurrence
 BROADCAST_WINDOWS = 500_000  # up to so many benchmark windows (24 bytes each) are broadcast; more are joined by a shuffle
 
 # Placeholders are private-use characters, which are neither letters nor digits.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
+OPENER = "\ue004"  # marks any other capitalised word: a name where a sentence starts, or only its first word
 # A capitalised word within a sentence: behind a lower-case letter, comma or semicolon and one space.
 NAME_FORM = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+OPENER_FORM = rf"(?<![\p{{L}}\p{{N}}{NAME}])\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
 NUMBER_FORM = r"(?<![\p{L}\p{N}])\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 UNITS = (
     "kilometers", "kilometres", "centimeters", "centimetres", "millimeters", "meters", "metres", "miles", "inches", "feet", "yards", "kilograms",
@@ -27,26 +31,38 @@ UNITS = (
     "euros", "percent", "degrees", "mile", "inch", "foot", "yard", "pound", "ounce", "liter", "gallon", "second", "minute", "hour", "day", "week",
     "month", "year", "dollar", "cent", "euro", "degree", "km", "cm", "mm", "kg", "mg", "lb", "oz", "ml", "mph", "kwh", "m", "g", "l", "s", "h",
 )
-UNIT_FORM = NUMBER + r"\s*(?i:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
+UNIT_FORM = NUMBER + rf"\s*{OPENER}?(?i:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
+
+
+# A text is read in three forms, token by token alike: names within sentences as placeholders, all capitalised words as placeholders, none.
+WITHIN, ALL, NONE = 1, 2, 4
 
 
 def tokens_of(text: Column) -> Column:
-    """A text's canonical tokens: lower-case runs of letters, and placeholders. Empty for a text without either."""
-    named = F.regexp_replace(text, NAME_FORM, f" {NAME} ")
+    """A text's tokens: lower-case runs of letters, those of capitalised words behind the mark NAME or OPENER, and placeholders. Empty for a
+    text without either."""
+    named = F.regexp_replace(F.regexp_replace(text, NAME_FORM, f" {NAME}$0 "), OPENER_FORM, f" {OPENER}$0 ")
     numbered = F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(F.regexp_replace(named, NUMBER_FORM, f" {NUMBER} "), UNIT_FORM, f"{NUMBER} {UNIT} ")).otherwise(named)
-    plain = F.trim(F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}{OPENER}]+", " "))
     return F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def slots_of(text: Column) -> Column:
-    """What stood in the names and numbers of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(f"(?:{NAME_FORM})|(?:{NUMBER_FORM})"), F.lit(0))
+def _in_form(t: Column, form: int) -> Column:
+    mark = F.substring(t, 1, 1)  # of a capitalised word
+    plain = F.when(mark.isin(NAME, OPENER), F.substr(t, F.lit(2))).otherwise(t)
+    if form == NONE:
+        return plain
+    return F.when(mark.isin(*((NAME,) if form == WITHIN else (NAME, OPENER))), F.lit(NAME)).otherwise(plain)
+
 
+def _read(tokens: Column, form: int) -> Column:
+    return F.transform(tokens, lambda t: _in_form(t, form))
 
-def windows_of(tokens: Column, n: int) -> Column:
-    """The hashes of all runs of n tokens, in order."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, n)))
+
+def windows_of(hashes: Column, n: int) -> Column:
+    """The hashes of all runs of n tokens, given the tokens' hashes, in order."""
+    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, n)))
 
 
 def _is_slot(t: Column) -> Column:
@@ -54,19 +70,56 @@ def _is_slot(t: Column) -> Column:
 
 
 def _literals(tokens: Column) -> Column:
-    return F.size(F.array_distinct(F.filter(tokens, lambda t: (t != NUMBER) & (t != NAME) & (t != UNIT))))
+    return F.filter(tokens, lambda t: (t != NUMBER) & (t != NAME) & (t != UNIT))
 
 
-def index_of(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
-    """(item, at, size, h, total): the indexed windows of each item. An item of fewer than n tokens is one window; windows with fewer than
-    MIN_LITERALS different literal words say too little and are left out, unless the item has no more."""
+def index_of(items: DataFrame, item_id: str, text: str, n: int, forms: tuple[int, ...] = (WITHIN, ALL)) -> DataFrame:
+    """(item, form, at, size, h, total, exact): the indexed windows of each item. An item of fewer than n tokens is one window; windows with fewer than
+    MIN_LITERALS different literal words say too little and are left out. An item that has no other is indexed by the one with most literals, and
+    `exact`: its whole text must stand in a document."""
     rows = items.select(F.col(item_id).alias("item"), tokens_of(F.col(text)).alias("tokens")).filter(F.size("tokens") > 0)
     rows = rows.withColumn("size", F.least(F.size("tokens"), F.lit(n)))
     starts = F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)
     at = rows.select("item", "size", "tokens", F.explode(starts).alias("at"))
-    cut = at.select("item", "size", (F.col("at") - 1).alias("at"), F.slice("tokens", F.col("at"), F.col("size")).alias("w"))
-    kept = cut.filter(_literals(F.col("w")) >= MIN_LITERALS).select("item", "at", "size", F.xxhash64("w").alias("h")).distinct()
-    return kept.join(kept.groupBy("item").agg(F.count("*").alias("total")), "item")
+    cut = at.select("item", "size", (F.col("at") - 1).alias("at"), F.slice("tokens", F.col("at"), F.col("size")).alias("raw"))
+    read = F.array(*(F.struct(F.lit(f).alias("form"), _read(F.col("raw"), f).alias("w")) for f in forms))
+    literals = F.size(F.array_distinct(_literals(_read(F.col("raw"), WITHIN))))
+    cut = cut.select("item", "size", "at", literals.alias("literals"), F.explode(read).alias("read")).select("item", "size", "at", "literals", "read.*")
+    said = F.size(F.array_distinct(_literals(F.col("w"))))
+    hashed = F.xxhash64(F.transform("w", lambda t: F.xxhash64(t))).alias("h")
+    kept = cut.filter((F.col("literals") >= MIN_LITERALS) & (said >= MIN_LITERALS)).select("item", "form", "at", "size", hashed).distinct()
+    total = kept.filter(F.col("form") == WITHIN).groupBy("item").agg(F.count("*").alias("total"))
+    rich = kept.join(total, "item").withColumn("exact", F.lit(False))
+    best = cut.filter(F.col("literals") > 0).groupBy("item").agg(F.max("literals").alias("most"), F.max_by("at", F.struct("literals", -F.col("at"))).alias("at"))
+    poor = cut.join(best.filter(F.col("most") < MIN_LITERALS), ["item", "at"]).select("item", "form", "at", "size", hashed, F.lit(1).cast("bigint").alias("total"), F.lit(True).alias("exact"))
+    return rich.select(poor.columns).unionByName(poor.distinct())
+
+
+def _document_windows(tokens: DataFrame, size: int, forms: tuple[int, ...]) -> DataFrame:
+    """(k1, k2, i, h, forms): the windows of each text; one that reads alike in several forms is one row that bears them all."""
+    hashed = tokens.select("k1", "k2", *(F.transform(_read(F.col("tokens"), f), lambda t: F.xxhash64(t)).alias(f"t{f}") for f in forms))
+    hashed = hashed.select("k1", "k2", *(windows_of(F.col(f"t{f}"), size).alias(f"w{f}") for f in forms))
+
+    def row(h: Column, i: Column, borne: Column) -> Column:
+        return F.struct(i.alias("i"), h.alias("h"), borne.alias("forms"))
+
+    def first(h: Column, i: Column) -> Column:
+        borne = F.lit(WITHIN)
+        for f in forms[1:]:
+            borne = borne + F.when(F.get(F.col(f"w{f}"), i) == h, f).otherwise(0)
+        return row(h, i, borne)
+
+    def other(form: int) -> Column:
+        rows = F.transform(f"w{form}", lambda h, i: F.when(F.get(F.col(f"w{WITHIN}"), i) != h, row(h, i, F.lit(form))))
+        return F.filter(rows, lambda x: x.isNotNull())
+
+    lists = [F.transform(f"w{WITHIN}", first), *map(other, forms[1:])]
+    return hashed.select("k1", "k2", F.explode(F.concat(*lists)).alias("x")).select("k1", "k2", "x.*")
+
+
+def _words(text: Column) -> Column:
+    """A text's letters and digits in lower case, each run between single spaces."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def find_leaks(
@@ -78,67 +131,118 @@ def find_leaks(
     item_text: str = "text",
     n: int = WINDOW,
     min_cover: float = MIN_COVER,
+    any_case: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, covered, windows, slots, consistent): one row for each row of `documents` and benchmark item it holds.
 
-    A text holds an item when it has at least `min_cover` of the item's indexed template windows and the slots are consistent: each
-    name or number of the item stands for one name or number of the text throughout the windows that meet, and never two of the item's for one
-    of the text's. A plain copy is the case where each stands for itself. Nulls and empty texts hold nothing and are held by nothing; a null id
+    A text holds an item when one occurrence has at least `min_cover` of the item's indexed template windows, or an unbroken passage of PASSAGE
+    literal tokens, and its slots are consistent: each name or number of the item stands for one name or number of the text. Windows at one
+    offset are an occurrence; so are those at offsets NEAR each other, and all of the text. A plain copy is the case where each stands for itself.
+    `any_case` also finds copies in which names have another case. An item without a window of MIN_LITERALS words is held where its whole text
+    stands, word by word. Nulls and empty texts hold nothing and are held by nothing; a null id
     is an id like any other; repeated rows give repeated results; copies of a text are compared once. Empty tables give no rows.
 
     Windows of all documents pass by the benchmark's, which are broadcast while their counted number is small and shuffled by hash otherwise. Only
     texts with a meeting window are read again for their slots.
     """
+    forms = (WITHIN, ALL, NONE) if any_case else (WITHIN, ALL)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2"))
-    index = settled(index_of(items, item_id, item_text, n), "benchmark-windows")
+    index = settled(index_of(items, item_id, item_text, n, forms), "benchmark-windows")
     sizes = index.groupBy("size").count().collect()  # at most n rows
-    lookup = index.select("h", "item", "at", "total")
+    lookup = index.select("h", "item", "form", "at", "total", "exact")
     if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
         lookup = F.broadcast(lookup)
     tokens = docs.filter("text is not null").select("k1", "k2", tokens_of(F.col("text")).alias("tokens"))
     hits = None
     for size in sorted(r["size"] for r in sizes) or [n]:
-        windows = tokens.select("k1", "k2", F.posexplode(windows_of(F.col("tokens"), size)).alias("i", "h"))
-        met = windows.join(lookup, "h").select("k1", "k2", "i", "item", "at", F.lit(size).alias("size"), "total")
+        met = _document_windows(tokens, size, forms).join(lookup, "h").filter(F.col("forms").bitwiseAND(F.col("form")) != 0)
+        met = met.select("k1", "k2", "item", "form", "at", "i", F.lit(size).alias("size"), "total", "exact")
         hits = met if hits is None else hits.unionByName(met)
-    hits = settled(hits, "template-hits").distinct()
-    enough = hits.groupBy("k1", "k2", "item", "total").agg(F.count_distinct("at").alias("covered")).filter(F.col("covered") >= F.col("total") * min_cover)
-    enough = settled(enough, "covered-items")
-
-    # The slots of the texts and items that met.
-    keys = enough.select("k1", "k2").distinct()
-    held = docs.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", *_slot_table(F.col("text"), "d"))
-    asked = items.select(F.col(item_id).alias("item"), *_slot_table(F.col(item_text), "q"))
-    pairs = hits.join(enough.select("k1", "k2", "item"), ["k1", "k2", "item"], "left_semi").join(held, ["k1", "k2"]).join(asked, "item")
-    span = F.sequence(F.lit(0), F.col("size") - 1)
-    slots = F.filter(span, lambda j: F.try_element_at("q_rank", F.col("at") + j).isNotNull())
-    value = F.transform(
-        slots,
-        lambda j: F.struct(
-            F.get("q_slots", F.try_element_at("q_rank", F.col("at") + j) - 1).alias("q"),
-            F.get("d_slots", F.try_element_at("d_rank", F.col("i") + j) - 1).alias("d"),
-        ),
-    )
-    named = pairs.select("k1", "k2", "item", F.explode_outer(value).alias("slot"))
-    asks = (
-        named.groupBy("k1", "k2", "item", "slot").agg(F.lit(1).alias("one"))
-        .groupBy("k1", "k2", "item")
-        .agg(F.count("slot").alias("slots"), F.count_distinct("slot.q").alias("of_q"), F.count_distinct("slot.d").alias("of_d"))
-    )
-    asks = asks.withColumn("consistent", (F.col("slots") == F.col("of_q")) & (F.col("slots") == F.col("of_d")))
-    found = enough.join(asks, ["k1", "k2", "item"]).filter("consistent")
+    hits = settled(hits, "template-hits")
+    found = _occurrences(docs, items.select(F.col(item_id).alias("item"), F.col(item_text).alias("asked")), hits.filter("not exact").distinct(), min_cover)
+    whole = _whole_texts(docs, items.select(F.col(item_id).alias("item"), F.col(item_text).alias("asked")), hits.filter("exact"))
     return (
         docs.select("doc_id", "k1", "k2")
-        .join(settled(found, "leaks"), ["k1", "k2"])
-        .select("doc_id", F.col("item").alias("item_id"), F.col("covered"), F.col("total").alias("windows"), "slots", "consistent")
+        .join(settled(found.unionByName(whole), "leaks"), ["k1", "k2"])
+        .select("doc_id", F.col("item").alias("item_id"), "covered", F.col("total").alias("windows"), "slots", F.lit(True).alias("consistent"))
+    )
+
+
+def _whole_texts(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+    """(k1, k2, item, total, covered, slots) of the items that stand in a text as they are."""
+    met = hits.select("k1", "k2", "item", "total").distinct()
+    held = docs.join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    pairs = met.join(held, ["k1", "k2"]).join(items, "item").filter(F.contains(_words(F.col("text")), _words(F.col("asked"))))
+    slots = F.size(F.array_distinct(F.regexp_extract_all("asked", F.lit(f"(?:{NAME_FORM})|(?:{NUMBER_FORM})"), F.lit(0))))
+    return pairs.select("k1", "k2", "item", "total", F.lit(1).cast("bigint").alias("covered"), slots.cast("bigint").alias("slots")).distinct()
+
+
+def _occurrences(docs: DataFrame, items: DataFrame, hits: DataFrame, min_cover: float) -> DataFrame:
+    """(k1, k2, item, total, covered, slots) of the items that a text holds in a consistent occurrence."""
+    pair = ["k1", "k2", "item", "form"]
+    # The windows at one offset, and whether they or the text's others can be enough.
+    lines = hits.groupBy(*pair, "total", "size", (F.col("i") - F.col("at")).alias("offset")).agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    covers = hits.groupBy(*pair).agg(F.count_distinct("at").alias("all_covered"))
+    long = F.array_max("ats") + F.col("size") - F.array_min("ats") >= PASSAGE
+    lines = lines.join(covers, pair).filter((F.col("all_covered") >= F.col("total") * min_cover) | long)
+    lines = settled(lines, "template-lines")
+
+    # What stood in the slots of the windows that met, as pairs of (place in the item, the item's value, the text's).
+    held = docs.join(lines.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", *_slot_table(F.col("text"), "d"))
+    asked = items.join(lines.select("item").distinct(), "item", "left_semi").select("item", *_slot_table(F.col("asked"), "q"))
+    both = lines.join(held, ["k1", "k2"]).join(asked, "item")
+    met = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
+    both = both.withColumn("places", met)
+
+    def slot(p: Column) -> Column:
+        q, d = F.get("q_tokens", p), F.get("d_tokens", p + F.col("offset"))
+        named = F.when(F.col("form") == WITHIN, F.substring(q, 1, 1) == NAME).when(F.col("form") == ALL, F.substring(q, 1, 1).isin(NAME, OPENER)).otherwise(False)
+        number = F.struct(
+            p.alias("p"),
+            F.get("q_numbers", F.try_element_at("q_rank", p) - 1).alias("q"),
+            F.get("d_numbers", F.try_element_at("d_rank", p + F.col("offset")) - 1).alias("d"),
+        )
+        return F.when(q == NUMBER, number).when(named, F.struct(p.alias("p"), _in_form(q, NONE).alias("q"), _in_form(d, NONE).alias("d")))
+
+    both = both.withColumn("slots", F.filter(F.transform("places", slot), lambda v: v.isNotNull()))
+    # The literal places of the item in this form, and the shortest passages of PASSAGE of them.
+    token = F.when(F.col("form") == WITHIN, _read(F.col("q_tokens"), WITHIN)).when(F.col("form") == ALL, _read(F.col("q_tokens"), ALL)).otherwise(_read(F.col("q_tokens"), NONE))
+    both = both.withColumn("literal", F.filter(F.transform(token, lambda t, i: F.when(~(_is_slot(t) | (t == UNIT)), i)), lambda x: x.isNotNull()))
+    ends = F.filter(F.transform("literal", lambda a, r: F.struct(a.alias("a"), F.get("literal", r + PASSAGE - 1).alias("b"))), lambda s: s["b"].isNotNull())
+    passage = F.exists(
+        ends,
+        lambda s: (F.size(F.array_intersect(F.sequence(s["a"], s["b"]), "places")) == s["b"] - s["a"] + 1)
+        & _consistent(F.filter("slots", lambda v: (v["p"] >= s["a"]) & (v["p"] <= s["b"]))),
     )
+    bare = F.array_distinct(F.transform("slots", lambda v: F.struct(v["q"].alias("q"), v["d"].alias("d"))))
+    lines = both.select(*pair, "total", "offset", "ats", bare.alias("values"), passage.alias("passage"))
+    lines = settled(lines, "template-slots")
+
+    by_offset = lines.select(*pair, "total", "ats", "values", "passage")
+    step = F.col("offset") - F.lag("offset").over(Window.partitionBy(*pair).orderBy("offset"))
+    chained = lines.withColumn("break", F.when(step <= NEAR, 0).otherwise(1))
+    chained = chained.withColumn("chain", F.sum("break").over(Window.partitionBy(*pair).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)))
+    together = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("ats", "values")]
+    near = chained.groupBy(*pair, "total", "chain").agg(*together, F.lit(False).alias("passage")).drop("chain")
+    everywhere = lines.groupBy(*pair, "total").agg(*together, F.lit(False).alias("passage"))
+    tried = by_offset.unionByName(near).unionByName(everywhere)
+    good = F.col("passage") | ((F.size("ats") >= F.col("total") * min_cover) & _consistent(F.col("values")))
+    best = F.max(F.struct(F.size("ats").cast("bigint").alias("covered"), F.size("values").cast("bigint").alias("slots"))).alias("best")
+    return tried.filter(good).groupBy("k1", "k2", "item", "total").agg(best).select("k1", "k2", "item", "total", "best.covered", "best.slots")
+
+
+def _consistent(values: Column) -> Column:
+    """Whether each value of the item stands for one of the text."""
+    pairs = F.array_distinct(F.transform(values, lambda v: F.struct(v["q"].alias("q"), v["d"].alias("d"))))
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda v: v["q"])))
 
 
 def _slot_table(text: Column, prefix: str) -> list[Column]:
-    """For each token its rank among the slots (null for other tokens), and the slots' values."""
-    places = F.filter(F.transform(tokens_of(text), lambda t, i: F.when(_is_slot(t), i)), lambda x: x.isNotNull())
+    """The tokens, for each number among them its rank, and the numbers' values."""
+    places = F.filter(F.transform(tokens_of(text), lambda t, i: F.when(t == NUMBER, i)), lambda x: x.isNotNull())
     ranks = F.when(F.size(places) > 0, F.sequence(F.lit(1), F.size(places))).otherwise(F.array().cast("array<int>"))
-    return [F.map_from_arrays(places, ranks).alias(f"{prefix}_rank"), slots_of(text).alias(f"{prefix}_slots")]
+    numbers = F.regexp_extract_all(text, F.lit(NUMBER_FORM), F.lit(0))
+    return [tokens_of(text).alias(f"{prefix}_tokens"), F.map_from_arrays(places, ranks).alias(f"{prefix}_rank"), numbers.alias(f"{prefix}_numbers")]
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, text: str = "text", **kwargs) -> DataFrame:

@@ -62,7 +62,7 @@ def op5_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, or one with other names and numbers."""
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,11 @@ def words(r, n, size=400):
     return [f"w{r.randrange(size)}x" for _ in range(n)]
 
 
+def spelled(w):
+    """A word of letters for one with digits."""
+    return w.translate(str.maketrans("0123456789", "abcdefghij"))
+
+
 ODD = [None, "", " \n\t ", "a", "Ünïcode  wörds\u2003here", "one two three", "x" * 70_000, "spam " * 5_000]
 
 
@@ -225,6 +230,36 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     assert [(r.doc_id, r.consistent) for r in decontaminate.find_leaks(df, items).collect()] == [(1, True)]
 
 
+def held_by(spark, item, *texts, **options):
+    """The numbers of the texts that hold the item."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    return sorted(r.doc_id for r in decontaminate.find_leaks(df, items, **options).collect())
+
+
+def test_each_occurrence_has_its_own_slots(spark):
+    variant, other = QUESTION.replace("12 loaves", "99 loaves"), QUESTION.replace("12 loaves", "45 loaves")
+    stray = "the baker called Anna sells 77 loaves for 3.50 dollars each"
+    equal = QUESTION.replace("12 loaves", "4 loaves").replace("5 km", "4 km")
+    mixed = QUESTION.replace("then Anna", "then Clara").replace("does Anna", "does Sofia")
+    texts = [f"{QUESTION} And then. {variant}", f"{variant} And then. {other}", f"{QUESTION} Once more, {stray}.", equal, mixed]
+    assert held_by(spark, QUESTION, *texts) == [0, 1, 2, 3]
+
+
+def test_long_passages_and_items_of_numbers(spark):
+    r = rng(3)
+    item = " ".join(spelled(w) for w in words(r, 250, 10_000))
+    part = " ".join(item.split()[60:160])
+    assert held_by(spark, item, f"before it {part} behind it", " ".join(item.split()[60:68])) == [0]
+    assert held_by(spark, "What is 12 times 15?", "They ask: what is 12 times 15", "what is 12 times 16", "what is 15 times 12") == [0]
+
+
+def test_names_that_start_sentences_and_copies_in_any_case(spark):
+    item = "Tom has 3 apples and some pears. Tom gives 2 apples to his old friend. Tom eats the other apples today. Tom then buys 5 more."
+    assert held_by(spark, item, item.replace("Tom", "Ann"), item, item.replace("Tom eats", "Ann eats").replace("Tom gives", "Bob gives")) == [0, 1]
+    assert held_by(spark, QUESTION, QUESTION.lower(), QUESTION.upper(), QUESTION.title(), any_case=True) == [0, 1, 2]
+
+
 # ---- quality rules ----
 
 
