@@ -23,7 +23,7 @@ NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 OPENER = "\ue004"  # marks any other capitalised word: a name where a sentence starts, or only its first word
 # A capitalised word within a sentence: behind a lower-case letter, comma or semicolon and one space.
 NAME_FORM = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
-OPENER_FORM = rf"(?<![\p{{L}}\p{{N}}{NAME}])\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
+OPENER_FORM = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{NAME}]\p{{Lu}})\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
 NUMBER_FORM = r"(?<![\p{L}\p{N}])\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 UNITS = (
     "kilometers", "kilometres", "centimeters", "centimetres", "millimeters", "meters", "metres", "miles", "inches", "feet", "yards", "kilograms",
@@ -41,10 +41,23 @@ WITHIN, ALL, NONE = 1, 2, 4
 def tokens_of(text: Column) -> Column:
     """A text's tokens: lower-case runs of letters, those of capitalised words behind the mark NAME or OPENER, and placeholders. Empty for a
     text without either."""
+    plain = _line_of(text)
+    return F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
+def _line_of(text: Column) -> Column:
+    """The tokens of a text, one space apart."""
     named = F.regexp_replace(F.regexp_replace(text, NAME_FORM, f" {NAME}$0 "), OPENER_FORM, f" {OPENER}$0 ")
     numbered = F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(F.regexp_replace(named, NUMBER_FORM, f" {NUMBER} "), UNIT_FORM, f"{NUMBER} {UNIT} ")).otherwise(named)
-    plain = F.trim(F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}{OPENER}]+", " "))
-    return F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.trim(F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}{OPENER}]+", " "))
+
+
+def _line_in_form(line: Column, form: int) -> Column:
+    """What `_in_form` makes of each token, over all tokens of a text at once."""
+    if form == NONE:
+        return F.translate(line, NAME + OPENER, "")
+    named = F.regexp_replace(line, rf"{NAME}\p{{L}}+" if form == WITHIN else rf"[{NAME}{OPENER}]\p{{L}}+", NAME)
+    return F.translate(named, OPENER, "") if form == WITHIN else named
 
 
 def _in_form(t: Column, form: int) -> Column:
@@ -97,7 +110,7 @@ def index_of(items: DataFrame, item_id: str, text: str, n: int, forms: tuple[int
 
 def _document_windows(tokens: DataFrame, size: int, forms: tuple[int, ...]) -> DataFrame:
     """(k1, k2, i, h, forms): the windows of each text; one that reads alike in several forms is one row that bears them all."""
-    hashed = tokens.select("k1", "k2", *(F.transform(_read(F.col("tokens"), f), lambda t: F.xxhash64(t)).alias(f"t{f}") for f in forms))
+    hashed = tokens.select("k1", "k2", *(F.transform(F.split(_line_in_form(F.col("line"), f), " "), lambda t: F.xxhash64(t)).alias(f"t{f}") for f in forms))
     hashed = hashed.select("k1", "k2", *(windows_of(F.col(f"t{f}"), size).alias(f"w{f}") for f in forms))
 
     def row(h: Column, i: Column, borne: Column) -> Column:
@@ -152,7 +165,7 @@ def find_leaks(
     lookup = index.select("h", "item", "form", "at", "total", "exact")
     if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
         lookup = F.broadcast(lookup)
-    tokens = docs.filter("text is not null").select("k1", "k2", tokens_of(F.col("text")).alias("tokens"))
+    tokens = docs.filter("text is not null").select("k1", "k2", _line_of(F.col("text")).alias("line")).filter("line <> ''")
     hits = None
     for size in sorted(r["size"] for r in sizes) or [n]:
         met = _document_windows(tokens, size, forms).join(lookup, "h").filter(F.col("forms").bitwiseAND(F.col("form")) != 0)
