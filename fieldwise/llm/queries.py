@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, licenses, line_rules, rule_ensemble, shards, suffix_tree, url_filter
+from . import bpe, chat, decontaminate, filter_audit, jaccard_join, language, licenses, line_rules, rule_ensemble, shards, suffix_tree, url_filter, whitening
 from .common import id_remainder, settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,9 +93,24 @@ def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, as digests of what is read back from the formatted text and its loss spans."""
+    return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in each order of the five filters, for each source."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along its first 16 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op5_suffix_tree_score, op6_template_leaks, op7_line_frequency, op8_rule_ensemble, op9_license_positions, op10_shingle_links)
+    for f in (op1_hyperdimensional_language, op2_bpe_round_trip, op3_hypergeometric_shards, op4_url_vocabulary, op5_suffix_tree_score, op6_template_leaks, op7_line_frequency, op8_rule_ensemble, op9_license_positions, op10_shingle_links, op11_relational_chat, op12_filter_audit, op13_embedding_whitening)
 }
 
-ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle(), "op10_shingle_links": jaccard_join.oracle(4, 85, 100)}
+ORACLES: dict[str, str] = {"op4_url_vocabulary": url_filter.oracle(), "op7_line_frequency": line_rules.oracle(), "op10_shingle_links": jaccard_join.oracle(4, 85, 100), "op11_relational_chat": chat.oracle(), "op12_filter_audit": filter_audit.oracle()}
