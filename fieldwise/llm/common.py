@@ -5,13 +5,14 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwise.session import run_folder
+from fieldwise.session import remove_folder, run_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,18 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     """
     folder = f"{run_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    return out
+
+
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more: what was made of them is settled itself."""
+    for df in tables:
+        remove_folder(df.sparkSession, _FOLDERS.pop(df))
 
 
 def release(spark: SparkSession) -> None:

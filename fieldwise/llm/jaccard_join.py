@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX_A, fresh, map_rows, mix, release, settled, window_hashes
+from .common import MIX_A, discard, fresh, map_rows, mix, release, settled, window_hashes
 from .graph import components
 
 WORDS, SIMILAR, OF = 5, 80, 100  # shingles of five words; 100 * intersection >= 80 * union
@@ -247,31 +247,48 @@ def _within_bounds(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFr
     return map_rows(pairs.join(left, "x").join(right, "y"), test, "x bigint, y bigint")
 
 
-def _tile_pairs(rows: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
+def _tile_pairs(places: DataFrame, roots: DataFrame, shapes: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
     """(tile, x, y): pairs of different components in one tile that the size and bitmap bounds let pass.
 
-    With `nearest`, of each set's pairs only the one whose bitmaps differ least (see _passing); a tile that gives none has none. A
-    tile with many rows is cut into blocks, and each pair of blocks is a piece of work of its own.
+    `places` has (tile, h), `roots` (h, root), `shapes` (h, n, bits). Tiles of one component are left out while their rows are still narrow; sizes and
+    bitmaps join what is left. In a tile every row outside its largest component asks, all rows answer: of two rows of different components at least
+    one asks, and a stray row in a tile of a large group costs one comparison a row. Many rows are cut into blocks on both sides, and each pair
+    of blocks is a piece of work of its own. With `nearest`, of an asking row's pairs in a piece only the one whose bitmaps differ least; a
+    tile that gives none has none.
     """
-    of_tile = Window.partitionBy("tile")
-    rows = rows.withColumn("lo", F.min("root").over(of_tile)).withColumn("hi", F.max("root").over(of_tile)).filter("lo < hi")
-    sized = rows.withColumn("blocks", F.ceil(F.count("*").over(of_tile) / F.lit(BLOCK)).cast("int"))
-    block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    sized = sized.select("tile", "h", "root", "n", "bits", block.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = sized.select("tile", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "root", "n", "bits")
+    rows = places.join(roots, "h")
+    parts = rows.groupBy("tile", "root").agg(F.count("*").alias("size"))
+    open_tiles = parts.groupBy("tile").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    open_tiles = open_tiles.select("tile", F.col("most.root").alias("major"), F.col("all"), (F.col("all") - F.col("most.size")).alias("asking"))
+    met = rows.join(open_tiles, "tile")
+    asks = F.col("root") != F.col("major")
+
+    def blocks(rows: str) -> Column:
+        return F.ceil(F.col(rows) / F.lit(BLOCK)).cast("int")
+
+    def every(rows: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(rows) - 1))
+
+    def mine(rows: str) -> Column:
+        return F.pmod(F.xxhash64("h"), blocks(rows)).cast("int")
+
+    asking = met.filter(asks).select("tile", "h", "root", F.lit(True).alias("minor"), F.lit(True).alias("ask"), mine("asking").alias("i"), every("all").alias("j"))
+    answering = met.select("tile", "h", "root", asks.alias("minor"), F.lit(False).alias("ask"), every("asking").alias("i"), mine("all").alias("j"))
+    tiles = asking.unionByName(answering).join(shapes, "h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for rows in _runs(batches, ["tile", "i", "j"]):
-            tile, i, j, h, n, mine, root = (rows.column(c).to_numpy() for c in ("tile", "i", "j", "h", "n", "mine", "root"))
+            tile, i, j, h, n, root = (rows.column(c).to_numpy() for c in ("tile", "i", "j", "h", "n", "root"))
+            minor, ask = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("minor", "ask"))
             edges = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
             bits = rows.column("bits").to_pylist()
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a < 2 or (root[a:b] == root[a]).all():
+                if not ask[a:b].any() or ask[a:b].all():
                     continue
                 size = min(map(len, bits[a:b]))
                 m = np.stack([fold(x, size) for x in bits[a:b]]).view(np.uint64)
-                for u, v in _passing(m, n[a:b], root[a:b], mine[a:b], bool(i[a] == j[a]), p, q, nearest):
+                for u, v in _passing(m, n[a:b], h[a:b], root[a:b], minor[a:b], ask[a:b], p, q, nearest):
                     x, y = h[a:b][u], h[a:b][v]
                     held.append(np.stack([np.full(len(x), tile[a]), np.minimum(x, y), np.maximum(x, y)]))
                 if sum(k.shape[1] for k in held) > YIELD:
@@ -288,38 +305,26 @@ def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["tile", "x", "y"])
 
 
-def _passing(m, n, root, side, within: bool, p: int, q: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, places) of the pairs within the bounds, a row of the tile against those behind it at a time.
+def _passing(m, n, h, root, minor, ask, p: int, q: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of the pairs within the bounds, an asking row against the answering ones at a time.
 
-    With `nearest`, each row's least-apart partner, given by the row of the component with fewer rows here: of every pair within
-    the bounds at least one side is then heard, and a large component does not answer for each of its rows.
+    Two rows that both ask meet in one direction, but with `nearest` in both: each then names its own least-apart partner.
     """
-    _, code, size = np.unique(root, return_inverse=True, return_counts=True)
-    least = np.full(len(n), np.iinfo(np.int64).max)
-    partner = np.full(len(n), -1)
-    for u in range(len(n) - 1):
-        v = np.arange(u + 1, len(n))
-        v = v[(root[v] != root[u]) & ((side[v] != side[u]) | within)]
+    answers = np.flatnonzero(~ask)
+    for u in np.flatnonzero(ask):
+        v = answers[root[answers] != root[u]]
+        if not nearest:
+            v = v[~minor[v] | (h[v] > h[u])]
         v = v[q * np.minimum(n[v], n[u]) >= p * np.maximum(n[v], n[u])]
         if not len(v):
             continue
         apart = np.bitwise_count(m[v] ^ m[u]).sum(axis=1, dtype=np.int64)
         good = apart * (p + q) <= (n[v] + n[u]) * (q - p)
         v, apart = v[good], apart[good]
-        if not len(v):
-            continue
-        if not nearest:
+        if len(v):
+            if nearest:
+                v = v[[int(np.argmin(apart))]]
             yield np.full(len(v), u), v
-            continue
-        mine, theirs = size[code[u]], size[code[v]]
-        if (own := mine <= theirs).any():
-            k = int(np.argmin(np.where(own, apart, np.iinfo(np.int64).max)))
-            if apart[k] < least[u]:
-                least[u], partner[u] = apart[k], v[k]
-        other = (theirs <= mine) & (apart < least[v])
-        least[v[other]], partner[v[other]] = apart[other], u
-    if nearest and (found := np.flatnonzero(partner >= 0)).size:
-        yield found, partner[found]
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, similar: int = SIMILAR, of: int = OF) -> DataFrame:
@@ -341,18 +346,18 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     tiles = _tile_rows(df, text, n, p, q).withColumns({"lo": F.min("h").over(of_tile), "hi": F.max("h").over(of_tile), "m": F.count("*").over(of_tile)})
     tiles = settled(tiles.filter("lo < hi").select("tile", "h", "m").distinct(), "tiles")
     release(spark)
-    places, degrees = tiles.select("tile", "h"), tiles.groupBy("h").agg(F.sum("m").alias("degree"))
+    places, degrees = tiles.select("tile", "h"), settled(tiles.groupBy("h").agg(F.sum("m").alias("degree")), "degrees")
     drawn = members.filter("node is not null").groupBy("node", "h").agg(
         F.min(F.struct("xh", "dk")).alias("t"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")
     )
     drawn = settled(drawn.join(degrees, "h", "left_semi"), "tile-nodes")
 
-    central = F.max(F.struct("degree", "h")).over(of_tile)
-    first = places.join(degrees, "h").select("h", central.alias("c")).filter("h <> c.h").groupBy("h").agg(F.max("c").alias("c"))
+    central = places.join(degrees, "h").groupBy("tile").agg(F.max(F.struct("degree", "h")).alias("c"))
+    first = places.join(central, "tile").filter("h <> c.h").groupBy("h").agg(F.max("c").alias("c"))
     first = settled(_within_bounds(first.select(F.col("c.h").alias("x"), F.col("h").alias("y")), drawn, p, q), "first-pairs")
     groups = components(first, "x", "y").withColumnsRenamed({"node": "h", "root": "group"})
-    small = drawn.join(groups, "h", "left").select("h", F.coalesce("group", "h").alias("root"), "n", "bits")
-    across = settled(_tile_pairs(places.join(small, "h"), p, q, True), "apart")
+    alone = drawn.select("h").join(groups, "h", "left").select("h", F.coalesce("group", "h").alias("root"))
+    across = settled(_tile_pairs(places, alone, drawn.select("h", "n", "bits"), p, q, True), "apart")
     release(spark)
     ends = first.unionByName(across.select("x", "y"))
     near = settled(ends.select(F.col("x").alias("h")).unionByName(ends.select(F.col("y").alias("h"))).distinct(), "near")
@@ -362,9 +367,10 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     release(spark)
     links = settled(_verified(first, sets, p, q), "near-links")
     roots, places = components(links), settled(places.join(near, "h", "left_semi"), "near-tiles")
+    discard(tiles, degrees, across)
     for nearest in (True, False):
-        small = drawn.join(roots, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("root"), "n", "bits")
-        apart = settled(_tile_pairs(places.join(small, "h"), p, q, nearest), "apart")
+        named = drawn.join(roots, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+        apart = settled(_tile_pairs(places, named, drawn.select("h", "n", "bits"), p, q, nearest), "apart")
         places = places.join(apart.select("tile").distinct(), "tile", "left_semi")  # what else is within the bounds is in these
         more = settled(_verified(apart.select("x", "y").distinct(), sets, p, q), "near-links")
         if not more.isEmpty():
