@@ -31,16 +31,19 @@ UNITS = (
     "euros", "percent", "degrees", "mile", "inch", "foot", "yard", "pound", "ounce", "liter", "gallon", "second", "minute", "hour", "day", "week",
     "month", "year", "dollar", "cent", "euro", "degree", "km", "cm", "mm", "kg", "mg", "lb", "oz", "ml", "mph", "kwh", "m", "g", "l", "s", "h",
 )
-UNIT_FORM = NUMBER + rf"\s*{OPENER}?(?i:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
+NUMBER_TOKEN = NUMBER + r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+UNIT_FORM = rf"({NUMBER_TOKEN})\s*{OPENER}?((?i:" + "|".join(UNITS) + r"))(?![\p{L}\p{N}])"
+BETWEEN = rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}{OPENER}]"
 
-
-# A text is read in three forms, token by token alike: names within sentences as placeholders, all capitalised words as placeholders, none.
-WITHIN, ALL, NONE = 1, 2, 4
+# A text is read in three forms, token by token alike: names within sentences as placeholders, all capitalised words as placeholders, none. EXACT keeps
+# numbers and units too, for items that say little besides.
+WITHIN, ALL, NONE, EXACT = 1, 2, 4, 8
+FORMS = (WITHIN, ALL, NONE)
 
 
 def tokens_of(text: Column) -> Column:
-    """A text's tokens: lower-case runs of letters, those of capitalised words behind the mark NAME or OPENER, and placeholders. Empty for a
-    text without either."""
+    """A text's tokens: lower-case runs of letters, those of capitalised words behind the mark NAME or OPENER, numbers behind NUMBER and units behind UNIT.
+    Empty for a text without any."""
     plain = _line_of(text)
     return F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
@@ -48,91 +51,89 @@ def tokens_of(text: Column) -> Column:
 def _line_of(text: Column) -> Column:
     """The tokens of a text, one space apart."""
     named = F.regexp_replace(F.regexp_replace(text, NAME_FORM, f" {NAME}$0 "), OPENER_FORM, f" {OPENER}$0 ")
-    numbered = F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(F.regexp_replace(named, NUMBER_FORM, f" {NUMBER} "), UNIT_FORM, f"{NUMBER} {UNIT} ")).otherwise(named)
-    return F.trim(F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}{NUMBER}{NAME}{UNIT}{OPENER}]+", " "))
+    numbered = F.regexp_replace(F.regexp_replace(named, NUMBER_FORM, f" {NUMBER}$0 "), UNIT_FORM, f"$1 {UNIT}$2 ")
+    with_numbers = F.regexp_replace(F.lower(numbered), rf"({NUMBER_TOKEN}){BETWEEN}*|{BETWEEN}+", "$1 ")
+    return F.trim(F.when(text.rlike(r"\p{Nd}"), with_numbers).otherwise(F.regexp_replace(F.lower(named), f"{BETWEEN}+", " ")))
+
+
+def _mark(t: Column) -> Column:
+    return F.substring(t, 1, 1)
 
 
-def _line_in_form(line: Column, form: int) -> Column:
-    """What `_in_form` makes of each token, over all tokens of a text at once."""
-    if form == NONE:
-        return F.translate(line, NAME + OPENER, "")
-    named = F.regexp_replace(line, rf"{NAME}\p{{L}}+" if form == WITHIN else rf"[{NAME}{OPENER}]\p{{L}}+", NAME)
-    return F.translate(named, OPENER, "") if form == WITHIN else named
+def _bare(t: Column) -> Column:
+    """The word of a token, without the mark of a capitalised one; numbers and units keep theirs."""
+    return F.when(_mark(t).isin(NAME, OPENER), F.substr(t, F.lit(2))).otherwise(t)
 
 
 def _in_form(t: Column, form: int) -> Column:
-    mark = F.substring(t, 1, 1)  # of a capitalised word
-    plain = F.when(mark.isin(NAME, OPENER), F.substr(t, F.lit(2))).otherwise(t)
-    if form == NONE:
-        return plain
-    return F.when(mark.isin(*((NAME,) if form == WITHIN else (NAME, OPENER))), F.lit(NAME)).otherwise(plain)
+    if form == EXACT:
+        return _bare(t)
+    placeholder = F.when(_mark(t).isin(NUMBER, UNIT), _mark(t))
+    if form != NONE:
+        placeholder = placeholder.when(_mark(t).isin(*((NAME,) if form == WITHIN else (NAME, OPENER))), F.lit(NAME))
+    return placeholder.otherwise(_bare(t))
 
 
 def _read(tokens: Column, form: int) -> Column:
     return F.transform(tokens, lambda t: _in_form(t, form))
 
 
-def windows_of(hashes: Column, n: int) -> Column:
-    """The hashes of all runs of n tokens, given the tokens' hashes, in order."""
-    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, n)))
+def _hash(tokens: Column, form: int) -> Column:
+    return F.xxhash64(_read(tokens, form))
 
 
-def _is_slot(t: Column) -> Column:
-    return (t == NUMBER) | (t == NAME)
+def _is_placeholder(t: Column) -> Column:
+    return t.isin(NUMBER, NAME, UNIT)
 
 
 def _literals(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: (t != NUMBER) & (t != NAME) & (t != UNIT))
+    return F.filter(tokens, lambda t: ~_is_placeholder(t))
 
 
-def index_of(items: DataFrame, item_id: str, text: str, n: int, forms: tuple[int, ...] = (WITHIN, ALL)) -> DataFrame:
-    """(item, form, at, size, h, total, exact): the indexed windows of each item. An item of fewer than n tokens is one window; windows with fewer than
-    MIN_LITERALS different literal words say too little and are left out. An item that has no other is indexed by the one with most literals, and
-    `exact`: its whole text must stand in a document."""
+def index_of(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
+    """(item, form, at, size, h, total, w, back): the indexed windows of each item. An item of fewer than n tokens is one window; windows with fewer than
+    MIN_LITERALS different literal words say too little and are left out. An item that has no other is one window of all its tokens, in
+    the form EXACT. `w` is the window's longest word (one that is literal in every form it is indexed in), `back` that word's place."""
     rows = items.select(F.col(item_id).alias("item"), tokens_of(F.col(text)).alias("tokens")).filter(F.size("tokens") > 0)
     rows = rows.withColumn("size", F.least(F.size("tokens"), F.lit(n)))
     starts = F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)
     at = rows.select("item", "size", "tokens", F.explode(starts).alias("at"))
     cut = at.select("item", "size", (F.col("at") - 1).alias("at"), F.slice("tokens", F.col("at"), F.col("size")).alias("raw"))
-    read = F.array(*(F.struct(F.lit(f).alias("form"), _read(F.col("raw"), f).alias("w")) for f in forms))
-    literals = F.size(F.array_distinct(_literals(_read(F.col("raw"), WITHIN))))
-    cut = cut.select("item", "size", "at", literals.alias("literals"), F.explode(read).alias("read")).select("item", "size", "at", "literals", "read.*")
-    said = F.size(F.array_distinct(_literals(F.col("w"))))
-    hashed = F.xxhash64(F.transform("w", lambda t: F.xxhash64(t))).alias("h")
-    kept = cut.filter((F.col("literals") >= MIN_LITERALS) & (said >= MIN_LITERALS)).select("item", "form", "at", "size", hashed).distinct()
+    cut = cut.withColumn("literals", F.size(F.array_distinct(_literals(_read(F.col("raw"), WITHIN))))).filter(F.col("literals") >= MIN_LITERALS)
+    read = F.explode(F.array(*(F.struct(F.lit(f).alias("form"), _read(F.col("raw"), f).alias("words")) for f in FORMS)))
+    kept = cut.select("item", "size", "at", "raw", read.alias("read")).select("item", "size", "at", "raw", "read.form", "read.words")
+    kept = kept.filter(F.size(F.array_distinct(_literals(F.col("words")))) >= MIN_LITERALS)
     total = kept.filter(F.col("form") == WITHIN).groupBy("item").agg(F.count("*").alias("total"))
-    rich = kept.join(total, "item").withColumn("exact", F.lit(False))
-    best = cut.filter(F.col("literals") > 0).groupBy("item").agg(F.max("literals").alias("most"), F.max_by("at", F.struct("literals", -F.col("at"))).alias("at"))
-    poor = cut.join(best.filter(F.col("most") < MIN_LITERALS), ["item", "at"]).select("item", "form", "at", "size", hashed, F.lit(1).cast("bigint").alias("total"), F.lit(True).alias("exact"))
-    return rich.select(poor.columns).unionByName(poor.distinct())
+    rich = kept.join(total, "item").select("item", "form", "at", "size", "total", "raw")
+    poor = rows.join(total, "item", "left_anti").select(
+        "item", F.lit(EXACT).alias("form"), F.lit(0).alias("at"), F.size("tokens").alias("size"), F.lit(1).cast("bigint").alias("total"), F.col("tokens").alias("raw")
+    )
 
+    def candidate(t: Column, k: Column) -> Column:
+        plain, spoken = ~_mark(t).isin(NUMBER, UNIT, NAME, OPENER), ~_mark(t).isin(NUMBER, UNIT, NAME)
+        return F.struct(plain.alias("always"), spoken.alias("spoken"), F.length(t).alias("length"), _bare(t).alias("w"), (-k).alias("k"))
 
-def _document_windows(tokens: DataFrame, size: int, forms: tuple[int, ...]) -> DataFrame:
-    """(k1, k2, i, h, forms): the windows of each text; one that reads alike in several forms is one row that bears them all."""
-    hashed = tokens.select("k1", "k2", *(F.transform(F.split(_line_in_form(F.col("line"), f), " "), lambda t: F.xxhash64(t)).alias(f"t{f}") for f in forms))
-    hashed = hashed.select("k1", "k2", *(windows_of(F.col(f"t{f}"), size).alias(f"w{f}") for f in forms))
+    hashed = F.when(F.col("form") == WITHIN, _hash(F.col("raw"), WITHIN)).when(F.col("form") == ALL, _hash(F.col("raw"), ALL)).when(F.col("form") == NONE, _hash(F.col("raw"), NONE))
+    both = rich.unionByName(poor).withColumn("best", F.array_max(F.transform("raw", candidate)))
+    return both.select("item", "form", "at", "size", hashed.otherwise(_hash(F.col("raw"), EXACT)).alias("h"), "total", F.col("best.w").alias("w"), (-F.col("best.k")).alias("back")).distinct()
 
-    def row(h: Column, i: Column, borne: Column) -> Column:
-        return F.struct(i.alias("i"), h.alias("h"), borne.alias("forms"))
 
-    def first(h: Column, i: Column) -> Column:
-        borne = F.lit(WITHIN)
-        for f in forms[1:]:
-            borne = borne + F.when(F.get(F.col(f"w{f}"), i) == h, f).otherwise(0)
-        return row(h, i, borne)
+def _windows_at_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(k1, k2, i, size, seen): the windows of each text around the indexed windows' longest words."""
+    each = tokens.select("k1", "k2", "tokens", F.posexplode("tokens").alias("p", "t")).withColumn("w", _bare(F.col("t")))
+    met = each.join(F.broadcast(words), "w").select("k1", "k2", "tokens", (F.col("p") - F.col("back")).alias("i"), "size")
+    return _cut(met)
 
-    def other(form: int) -> Column:
-        rows = F.transform(f"w{form}", lambda h, i: F.when(F.get(F.col(f"w{WITHIN}"), i) != h, row(h, i, F.lit(form))))
-        return F.filter(rows, lambda x: x.isNotNull())
 
-    lists = [F.transform(f"w{WITHIN}", first), *map(other, forms[1:])]
-    return hashed.select("k1", "k2", F.explode(F.concat(*lists)).alias("x")).select("k1", "k2", "x.*")
+def _all_windows(tokens: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same for every place of each text."""
+    each = tokens.select("k1", "k2", "tokens", F.posexplode("tokens").alias("i", "t"))
+    return _cut(each.select("k1", "k2", "tokens", "i", F.explode(F.array(*map(F.lit, sizes))).alias("size")))
 
 
-def _words(text: Column) -> Column:
-    """A text's letters and digits in lower case, each run between single spaces."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+def _cut(met: DataFrame) -> DataFrame:
+    inside = (F.col("i") >= 0) & (F.col("i") + F.col("size") <= F.size("tokens"))
+    return met.filter(inside).select("k1", "k2", "i", "size", F.slice("tokens", F.col("i") + 1, F.col("size")).alias("seen"))
 
 
 def find_leaks(
@@ -144,83 +145,74 @@ def find_leaks(
     item_text: str = "text",
     n: int = WINDOW,
     min_cover: float = MIN_COVER,
-    any_case: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, covered, windows, slots, consistent): one row for each row of `documents` and benchmark item it holds.
 
     A text holds an item when one occurrence has at least `min_cover` of the item's indexed template windows, or an unbroken passage of PASSAGE
     literal tokens, and its slots are consistent: each name or number of the item stands for one name or number of the text. Windows at one
-    offset are an occurrence; so are those at offsets NEAR each other, and all of the text. A plain copy is the case where each stands for itself.
-    `any_case` also finds copies in which names have another case. An item without a window of MIN_LITERALS words is held where its whole text
-    stands, word by word. Nulls and empty texts hold nothing and are held by nothing; a null id
-    is an id like any other; repeated rows give repeated results; copies of a text are compared once. Empty tables give no rows.
+    offset are an occurrence; so are those at offsets NEAR each other, and all of the text. A plain copy, in any case, is the case where each stands
+    for itself. An item without a window of MIN_LITERALS words is held where all its words, numbers and units stand one behind the other. Nulls, empty texts
+    and texts without letters and digits hold nothing and are held by nothing; a null id is an id like any other; repeated rows give repeated results; copies of a
+    text are compared once. Empty tables give no rows.
 
-    Windows of all documents pass by the benchmark's, which are broadcast while their counted number is small and shuffled by hash otherwise. Only
-    texts with a meeting window are read again for their slots.
+    Documents are read once. Windows are cut around the longest words of the benchmark's windows, while their counted number is small enough to broadcast; beyond
+    that all windows are cut and met by hash in a shuffle. A window that meets carries its own tokens, so no text is read or moved again.
     """
-    forms = (WITHIN, ALL, NONE) if any_case else (WITHIN, ALL)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(text, F.lit(2)).alias("k2"))
-    index = settled(index_of(items, item_id, item_text, n, forms), "benchmark-windows")
-    sizes = index.groupBy("size").count().collect()  # at most n rows
-    lookup = index.select("h", "item", "form", "at", "total", "exact")
-    if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
-        lookup = F.broadcast(lookup)
-    tokens = docs.filter("text is not null").select("k1", "k2", _line_of(F.col("text")).alias("line")).filter("line <> ''")
-    hits = None
-    for size in sorted(r["size"] for r in sizes) or [n]:
-        met = _document_windows(tokens, size, forms).join(lookup, "h").filter(F.col("forms").bitwiseAND(F.col("form")) != 0)
-        met = met.select("k1", "k2", "item", "form", "at", "i", F.lit(size).alias("size"), "total", "exact")
-        hits = met if hits is None else hits.unionByName(met)
-    hits = settled(hits, "template-hits")
-    found = _occurrences(docs, items.select(F.col(item_id).alias("item"), F.col(item_text).alias("asked")), hits.filter("not exact").distinct(), min_cover)
-    whole = _whole_texts(docs, items.select(F.col(item_id).alias("item"), F.col(item_text).alias("asked")), hits.filter("exact"))
+    asked = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("asked"))
+    index = settled(index_of(items, item_id, item_text, n), "benchmark-windows")
+    forms = {r["form"]: r["count"] for r in index.groupBy("form").count().collect()}  # at most four rows
+    few = sum(forms.values()) <= BROADCAST_WINDOWS
+    tokens = docs.filter("text is not null").select("k1", "k2", _line_of(F.col("text")).alias("line")).filter("line <> ''").select("k1", "k2", F.split("line", " ").alias("tokens"))
+    if few:
+        windows = _windows_at_words(tokens, index.select("w", "back", "size").distinct())
+    else:
+        windows = _all_windows(tokens, [r["size"] for r in index.select("size").distinct().collect()])  # the items' different lengths
+    lookup = index.select("h", "form", "size", "item", "at", "total")
+    read = F.explode(F.array(*(F.struct(F.lit(f).alias("form"), _hash(F.col("seen"), f).alias("h")) for f in sorted(forms) or [WITHIN])))
+    met = windows.select("k1", "k2", "i", "size", "seen", read.alias("x")).select("k1", "k2", "i", "size", "seen", "x.*")
+    hits = met.join(F.broadcast(lookup) if few else lookup, ["h", "form", "size"])
+    lines = hits.groupBy("k1", "k2", "item", "form", "total", (F.col("i") - F.col("at")).alias("offset")).agg(F.collect_set(F.struct("at", "seen")).alias("met"))
+    lines = settled(lines, "template-lines")
+    found = _occurrences(asked, lines.filter(F.col("form") != EXACT), min_cover)
+    whole = lines.filter(F.col("form") == EXACT).select("k1", "k2", "item", "total").distinct().join(asked, "item")
+    slots = F.size(F.array_distinct(F.filter(tokens_of(F.col("asked")), lambda t: _mark(t).isin(NUMBER, NAME)))).cast("bigint")
+    whole = whole.select("k1", "k2", "item", "total", F.lit(1).cast("bigint").alias("covered"), slots.alias("slots"))
     return (
         docs.select("doc_id", "k1", "k2")
-        .join(settled(found.unionByName(whole), "leaks"), ["k1", "k2"])
+        .join(_sized(settled(found.unionByName(whole), "leaks")), ["k1", "k2"])
         .select("doc_id", F.col("item").alias("item_id"), "covered", F.col("total").alias("windows"), "slots", F.lit(True).alias("consistent"))
     )
 
 
-def _whole_texts(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
-    """(k1, k2, item, total, covered, slots) of the items that stand in a text as they are."""
-    met = hits.select("k1", "k2", "item", "total").distinct()
-    held = docs.join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    pairs = met.join(held, ["k1", "k2"]).join(items, "item").filter(F.contains(_words(F.col("text")), _words(F.col("asked"))))
-    slots = F.size(F.array_distinct(F.regexp_extract_all("asked", F.lit(f"(?:{NAME_FORM})|(?:{NUMBER_FORM})"), F.lit(0))))
-    return pairs.select("k1", "k2", "item", "total", F.lit(1).cast("bigint").alias("covered"), slots.cast("bigint").alias("slots")).distinct()
+def _sized(small: DataFrame) -> DataFrame:
+    """Marked for broadcast while its counted rows are few enough."""
+    return F.broadcast(small) if small.count() <= BROADCAST_WINDOWS else small
 
 
-def _occurrences(docs: DataFrame, items: DataFrame, hits: DataFrame, min_cover: float) -> DataFrame:
-    """(k1, k2, item, total, covered, slots) of the items that a text holds in a consistent occurrence."""
+def _occurrences(items: DataFrame, lines: DataFrame, min_cover: float) -> DataFrame:
+    """(k1, k2, item, total, covered, slots) of the items that a text holds in a consistent occurrence. `lines` has a row for each offset, with the
+    windows that met there and the tokens they were made of."""
     pair = ["k1", "k2", "item", "form"]
-    # The windows at one offset, and whether they or the text's others can be enough.
-    lines = hits.groupBy(*pair, "total", "size", (F.col("i") - F.col("at")).alias("offset")).agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    covers = hits.groupBy(*pair).agg(F.count_distinct("at").alias("all_covered"))
-    long = F.array_max("ats") + F.col("size") - F.array_min("ats") >= PASSAGE
+    stood = F.transform("met", lambda m: F.transform(m["seen"], lambda t, k: F.struct((m["at"] + k).alias("p"), t.alias("d"))))
+    lines = lines.select(*pair, "total", "offset", F.transform("met", lambda m: m["at"]).alias("ats"), F.array_distinct(F.flatten(stood)).alias("stood"))
+    # Only where this offset's windows or the text's others can be enough.
+    covers = lines.groupBy(*pair).agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("all_covered"))
+    long = F.size("stood") >= PASSAGE
     lines = lines.join(covers, pair).filter((F.col("all_covered") >= F.col("total") * min_cover) | long)
-    lines = settled(lines, "template-lines")
+    both = lines.join(items.select("item", tokens_of(F.col("asked")).alias("q_tokens")), "item")
+
+    # What stood in the item's slots, as triples (place in the item, the item's value, the text's).
+    def slot(x: Column) -> Column:
+        q, d = F.get("q_tokens", x["p"]), x["d"]
+        named = F.when(F.col("form") == WITHIN, _mark(q) == NAME).when(F.col("form") == ALL, _mark(q).isin(NAME, OPENER)).otherwise(False)
+        return F.when(_mark(q) == NUMBER, F.struct(x["p"].alias("p"), q.alias("q"), d.alias("d"))).when(named, F.struct(x["p"].alias("p"), _bare(q).alias("q"), _bare(d).alias("d")))
 
-    # What stood in the slots of the windows that met, as pairs of (place in the item, the item's value, the text's).
-    held = docs.join(lines.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", *_slot_table(F.col("text"), "d"))
-    asked = items.join(lines.select("item").distinct(), "item", "left_semi").select("item", *_slot_table(F.col("asked"), "q"))
-    both = lines.join(held, ["k1", "k2"]).join(asked, "item")
-    met = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
-    both = both.withColumn("places", met)
-
-    def slot(p: Column) -> Column:
-        q, d = F.get("q_tokens", p), F.get("d_tokens", p + F.col("offset"))
-        named = F.when(F.col("form") == WITHIN, F.substring(q, 1, 1) == NAME).when(F.col("form") == ALL, F.substring(q, 1, 1).isin(NAME, OPENER)).otherwise(False)
-        number = F.struct(
-            p.alias("p"),
-            F.get("q_numbers", F.try_element_at("q_rank", p) - 1).alias("q"),
-            F.get("d_numbers", F.try_element_at("d_rank", p + F.col("offset")) - 1).alias("d"),
-        )
-        return F.when(q == NUMBER, number).when(named, F.struct(p.alias("p"), _in_form(q, NONE).alias("q"), _in_form(d, NONE).alias("d")))
-
-    both = both.withColumn("slots", F.filter(F.transform("places", slot), lambda v: v.isNotNull()))
+    both = both.withColumn("places", F.transform("stood", lambda x: x["p"]))
+    both = both.withColumn("slots", F.filter(F.transform("stood", slot), lambda v: v.isNotNull()))
     # The literal places of the item in this form, and the shortest passages of PASSAGE of them.
     token = F.when(F.col("form") == WITHIN, _read(F.col("q_tokens"), WITHIN)).when(F.col("form") == ALL, _read(F.col("q_tokens"), ALL)).otherwise(_read(F.col("q_tokens"), NONE))
-    both = both.withColumn("literal", F.filter(F.transform(token, lambda t, i: F.when(~(_is_slot(t) | (t == UNIT)), i)), lambda x: x.isNotNull()))
+    both = both.withColumn("literal", F.filter(F.transform(token, lambda t, i: F.when(~_is_placeholder(t), i)), lambda x: x.isNotNull()))
     ends = F.filter(F.transform("literal", lambda a, r: F.struct(a.alias("a"), F.get("literal", r + PASSAGE - 1).alias("b"))), lambda s: s["b"].isNotNull())
     passage = F.exists(
         ends,
@@ -250,18 +242,10 @@ def _consistent(values: Column) -> Column:
     return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda v: v["q"])))
 
 
-def _slot_table(text: Column, prefix: str) -> list[Column]:
-    """The tokens, for each number among them its rank, and the numbers' values."""
-    places = F.filter(F.transform(tokens_of(text), lambda t, i: F.when(t == NUMBER, i)), lambda x: x.isNotNull())
-    ranks = F.when(F.size(places) > 0, F.sequence(F.lit(1), F.size(places))).otherwise(F.array().cast("array<int>"))
-    numbers = F.regexp_extract_all(text, F.lit(NUMBER_FORM), F.lit(0))
-    return [tokens_of(text).alias(f"{prefix}_tokens"), F.map_from_arrays(places, ranks).alias(f"{prefix}_rank"), numbers.alias(f"{prefix}_numbers")]
-
-
 def without_leaks(documents: DataFrame, items: DataFrame, text: str = "text", **kwargs) -> DataFrame:
     """The documents that hold no benchmark item, all columns and repeated rows unchanged."""
     key = F.xxhash64(F.lit(3), text)
     leaks = find_leaks(documents.select(F.col(text).alias("text"), key.alias("doc_id")), items, **kwargs)
     leak = fresh(documents, "_leak")
     bad = settled(leaks.select(F.col("doc_id").alias(leak)).distinct(), "leaking-texts")
-    return documents.join(bad, key == F.col(leak), "left_anti")
+    return documents.join(_sized(bad), key == F.col(leak), "left_anti")

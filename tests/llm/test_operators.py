@@ -216,9 +216,9 @@ def test_leaks_and_other_names(spark, nothing):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(7) for c in CLASH})
     items = spark.createDataFrame([(7, QUESTION), (8, None), (9, ""), (10, "1 2 3 4 5 6 7 8 9 10"), (11, "too short an item here")], "item_id long, text string")
     found = decontaminate.find_leaks(df, items).select("doc_id", "item_id").collect()
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.item_id) for r in found) == [(-1, 7), (0, 7), (0, 7), (1, 7)]
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.item_id) for r in found) == [(-1, 7), (0, 7), (0, 7), (1, 7), (5, 10), (6, 7)]
     left = decontaminate.without_leaks(df, items)
-    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 6, 7]
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 7]
     assert decontaminate.find_leaks(df, items.limit(0)).count() == 0 and decontaminate.without_leaks(df, items.limit(0)).count() == df.count()
     assert decontaminate.find_leaks(nothing, items).count() == 0
 
@@ -257,7 +257,7 @@ def test_long_passages_and_items_of_numbers(spark):
 def test_names_that_start_sentences_and_copies_in_any_case(spark):
     item = "Tom has 3 apples and some pears. Tom gives 2 apples to his old friend. Tom eats the other apples today. Tom then buys 5 more."
     assert held_by(spark, item, item.replace("Tom", "Ann"), item, item.replace("Tom eats", "Ann eats").replace("Tom gives", "Bob gives")) == [0, 1]
-    assert held_by(spark, QUESTION, QUESTION.lower(), QUESTION.upper(), QUESTION.title(), any_case=True) == [0, 1, 2]
+    assert held_by(spark, QUESTION, QUESTION.lower(), QUESTION.upper(), QUESTION.title()) == [0, 1, 2]
 
 
 # ---- quality rules ----
