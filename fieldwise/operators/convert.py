@@ -103,20 +103,6 @@ def convert_field(field: Field, raw: Column, locale: Column, resolved: Column) -
     return raw, flagged
 
 
-def conversion_flag(raw: Column, b: Column) -> Column:
-    """The same flags with the declaration itself as data, for mixed target schemas in one plan."""
-    _, number_bad = to_number(raw, b["locale"])
-    _, integer_bad = to_integer(raw, b["locale"])
-    _, date_bad = to_date_field(raw, b["resolved_format"], b["declared_format"])
-    kind = b["type"]
-    return (
-        F.when(kind == "number", number_bad)
-        .when(kind == "integer", integer_bad)
-        .when(kind == "date", date_bad)
-        .otherwise(unit_mismatch(raw, kind, b["unit"]))
-    )
-
-
 def assemble(
     rows: DataFrame,
     bound: DataFrame,

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.text import strip
-from ..model import FIELD_TYPES, LENIENT_ROWS, MAX_FIELDS, MAX_NAME_LENGTH
-from .convert import bind, conversion_flag, raw_value
+from ..model import FIELD_TYPES, LENIENT_ROWS, MAX_FIELDS, MAX_NAME_LENGTH, Field
+from ..session import settle
+from .common import union_all
+from .convert import bind, convert_field, raw_value
 
 STRICTNESS = ("strict", "lenient")
 STAGES = ("review", "confirm")
@@ -79,61 +84,146 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-_CHECK = ("target_field", "rank", "source_column", "col_idx", "locale", "type", "unit", "allowed_values",
-          "required", "min", "max", "declared_format", "resolved_format", "constant")
+_DECLARED = ("type", "unit", "allowed_values", "required", "min", "max", "declared_format")
+_SPOT = ("col_idx", "locale", "resolved_format", "constant")
+SLOTS = 64  # checks of one pass; a field set and its ranked alternatives seldom need more
 
 
-def _checks_per_dataset(checks: DataFrame) -> DataFrame:
-    return checks.groupBy("dataset_id").agg(F.collect_list(F.struct(*_CHECK)).alias("_checks"))
+class Slot(NamedTuple):
+    """One check of a pass: a declared field and the rank of the column it is judged on."""
 
+    field: Field
+    rank: int
+
+    @property
+    def of(self) -> Column:
+        """Which checks are this slot's. Fields of one name can be declared differently by datasets of different schemas."""
+        f = self.field
+        allowed = None if f.allowed_values is None else F.array(*map(F.lit, f.allowed_values)).cast("array<string>")
+        same = [
+            F.col(c).eqNullSafe(v if isinstance(v, Column) else F.lit(v))
+            for c, v in (("type", f.type), ("unit", f.unit), ("allowed_values", allowed), ("required", f.required), ("min", f.min), ("max", f.max), ("declared_format", f.date_format))
+        ]
+        return reduce(lambda a, b: a & b, same, (F.col("target_field") == f.name) & (F.col("rank") == self.rank))
+
+
+def slots_of(checks: DataFrame) -> list[Slot]:
+    """The different checks of an inventory: as many as declared fields and ranks, whatever the number of datasets."""
+    found = checks.select("target_field", "rank", *_DECLARED).distinct().collect()
+    slots = [
+        Slot(Field(r.target_field, r.type, None if r.allowed_values is None else tuple(r.allowed_values), r.unit, r.required, r.min, r.max, r.declared_format), r.rank) for r in found
+    ]
+    return sorted(slots, key=lambda s: (s.field.name, s.rank, repr(s.field)))
 
-def first_violations(rows: DataFrame, checks: DataFrame) -> DataFrame:
-    """V3: the first violating row and its message per (dataset, field, candidate).
 
-    Objecting cells are filtered before the aggregate, which keeps one minimum per column and task.
+def _objection(slot: Slot, text: Column, number: Column, raw: Column) -> Column:
+    """Whether V1 or V2 objects: `violation` without its message, the declaration known when the plan is built."""
+    f, bad = slot.field, F.lit(False)
+    required = f.required is None or f.required
+    if f.min is not None or f.max is not None:
+        infinite = F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
+        below = F.lit(False) if f.min is None else number < f.min
+        above = F.lit(False) if f.max is None else number > f.max
+        bad = F.coalesce(infinite | below | above, F.lit(False))
+    if f.allowed_values is not None:
+        listed = fold_case(text).isin(*[fold_case(F.lit(a)) for a in f.allowed_values]) if f.allowed_values else F.lit(False)
+        bad = F.when(text == "", F.lit(required)).otherwise(~listed | bad)
+    return raw.isNotNull() & bad
+
+
+def verdicts(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """V3 and V7 in one pass: (dataset_id, target_field, rank, source_column, n_rows, n_violations, first_row, n_flagged) of every check.
+
+    `checks` is `bind`'s inventory with a rank. Each dataset's checks are one small record of positions, joined to its rows; a row is never copied for
+    a check. A check is a position in that record, and its counts and least violating row are fixed-width accumulators that merge
+    from task to task, so a hot dataset shrinks to a row a task before the shuffle.
     """
-    cells = rows.join(_checks_per_dataset(checks), "dataset_id").select(
-        "dataset_id", "row_idx", "cells", F.explode("_checks").alias("c")
+    checks = settle(checks.select("dataset_id", "target_field", "rank", "source_column", *_DECLARED, *_SPOT))
+    slots = slots_of(checks)
+    passes = [_verdict_pass(rows, checks, slots[i : i + SLOTS]) for i in range(0, len(slots), SLOTS)]
+    return union_all(passes or [_verdict_pass(rows, checks, [])])
+
+
+def _verdict_pass(rows: DataFrame, checks: DataFrame, slots: list[Slot]) -> DataFrame:
+    at = range(len(slots))
+    spot = F.struct(*_SPOT, "source_column")
+    record = checks.groupBy("dataset_id").agg(*(F.max(F.when(s.of, spot)).alias(f"_s{k}") for k, s in enumerate(slots)))
+    staged = rows.join(record, "dataset_id")
+    staged = staged.select(
+        "dataset_id", "row_idx", *(f"_s{k}" for k in at), *(raw_value(F.col("cells"), F.col(f"_s{k}.col_idx"), F.col(f"_s{k}.constant")).alias(f"_r{k}") for k in at)
+    )
+    texts = {f"_t{k}": strip(F.col(f"_r{k}")) for k in at if slots[k].field.allowed_values is not None}
+    numeric = [k for k in at if slots[k].field.min is not None or slots[k].field.max is not None or (slots[k].rank == 0 and slots[k].field.type in ("number", "integer"))]
+    numbers_ = {f"_x{k}": F.when(F.col(f"_s{k}.locale") == numbers.DECIMAL_COMMA, numbers.decimal_comma(F.col(f"_r{k}"))).otherwise(numbers.to_float(F.col(f"_r{k}"))) for k in numeric}
+    staged = staged.select("*", *(c.alias(n) for n, c in {**texts, **numbers_}.items()))
+
+    def flagged(k: int) -> Column:
+        f, raw, locale = slots[k].field, F.col(f"_r{k}"), F.col(f"_s{k}.locale")
+        if slots[k].rank:  # an alternative is judged, never converted
+            return F.lit(False)
+        if f.type in ("number", "integer"):
+            parsed = F.when(locale.isin(numbers.DECIMAL_COMMA, numbers.DECIMAL_POINT), F.col(f"_x{k}"))
+            bad = numbers.number_flag(raw, locale, parsed)
+            return bad | (parsed.isNotNull() & numbers.narrow_to_long(parsed).isNull()) if f.type == "integer" else bad
+        return convert_field(f, raw, locale, F.col(f"_s{k}.resolved_format"))[1]
+
+    judged = staged.select(
+        "dataset_id", "row_idx",
+        *(F.col(f"_s{k}").isNotNull().alias(f"_m{k}") for k in at),
+        *(_objection(s, F.col(f"_t{k}"), F.col(f"_x{k}"), F.col(f"_r{k}")).alias(f"_v{k}") for k, s in enumerate(slots)),
+        *(F.coalesce(flagged(k), F.lit(False)).alias(f"_f{k}") for k in at),
     )
-    raw = F.try_element_at(F.col("cells"), F.col("c.col_idx") + 1)
-    bad = cells.select(
-        "dataset_id", F.col("c.target_field").alias("target_field"), F.col("c.rank").alias("rank"),
-        F.col("c.source_column").alias("source_column"), "row_idx", violation(raw, F.col("c.locale"), F.col("c")).alias("message"),
-    ).filter(F.col("message").isNotNull())
+    sums = [
+        c for k in at for c in (
+            F.count_if(f"_m{k}").alias(f"_m{k}"), F.count_if(F.col(f"_m{k}") & F.col(f"_v{k}")).alias(f"_v{k}"),
+            F.min(F.when(F.col(f"_m{k}") & F.col(f"_v{k}"), F.col("row_idx"))).alias(f"_w{k}"), F.count_if(F.col(f"_m{k}") & F.col(f"_f{k}")).alias(f"_f{k}"),
+        )
+    ]
+    totals = judged.groupBy("dataset_id").agg(F.count("*").alias("_n"), *sums)
+    found = [
+        F.struct(F.lit(s.field.name).alias("target_field"), F.lit(s.rank).alias("rank"), F.col(f"_m{k}").alias("n_rows"), F.col(f"_v{k}").alias("n_violations"), F.col(f"_w{k}").alias("first_row"), F.col(f"_f{k}").alias("n_flagged"))
+        for k, s in enumerate(slots)
+    ]
+    shape = "array<struct<target_field:string,rank:int,n_rows:bigint,n_violations:bigint,first_row:bigint,n_flagged:bigint>>"
+    long = totals.select("dataset_id", F.explode(F.array(*found).cast(shape)).alias("x")).select("dataset_id", "x.*").filter("n_rows > 0")
+    return long.join(checks.select("dataset_id", "target_field", "rank", "source_column"), ["dataset_id", "target_field", "rank"])
+
+
+def with_messages(found: DataFrame, rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """V3: (dataset_id, target_field, rank, source_column, row_idx, message, n_violations) of the verdicts that object; only the first violating rows
+    are looked up again for their message."""
+    first = found.filter(F.col("n_violations") > 0).select("dataset_id", "target_field", "rank", "n_violations", F.col("first_row").alias("row_idx"))
+    cells = rows.join(first, ["dataset_id", "row_idx"]).join(checks, ["dataset_id", "target_field", "rank"])
+    whole = F.struct(*_DECLARED)
+    raw = raw_value(F.col("cells"), F.col("col_idx"), F.col("constant"))
+    said = cells.withColumn("_raw", raw).withColumn("_whole", whole).withColumn("message", violation(F.col("_raw"), F.col("locale"), F.col("_whole")))
+    best = F.min(F.struct("row_idx", "message")).alias("_f")  # of rows that share a position
     return (
-        bad.groupBy("dataset_id", "target_field", "rank", "source_column")
-        .agg(F.min(F.struct("row_idx", "message")).alias("_f"), F.count("*").alias("n_violations"))
+        said.groupBy("dataset_id", "target_field", "rank", "source_column", "n_violations").agg(best)
         .select("dataset_id", "target_field", "rank", "source_column", "_f.row_idx", "_f.message", "n_violations")
     )
 
 
+def first_violations(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """V3: the first violating row and its message per (dataset, field, candidate)."""
+    checks = settle(checks.select("dataset_id", "target_field", "rank", "source_column", *_DECLARED, *_SPOT))
+    return with_messages(settle(verdicts(rows, checks)), rows, checks)
+
+
+def bound_checks(bound: DataFrame) -> DataFrame:
+    """The chosen columns and constants of `bind`'s inventory as checks of rank 0."""
+    return bound.filter(F.col("col_idx").isNotNull() | F.col("constant").isNotNull()).withColumn("rank", F.lit(0))
+
+
 def conversion_objections(rows: DataFrame, bound: DataFrame) -> DataFrame:
     """V7 input: fields any row of which failed its conversion; always over all rows."""
-    checks = bound.filter(F.col("col_idx").isNotNull() | F.col("constant").isNotNull()).withColumn("rank", F.lit(0))
-    cells = rows.join(_checks_per_dataset(checks), "dataset_id").select(
-        "dataset_id", "cells", F.explode("_checks").alias("c")
-    )
-    raw = raw_value(F.col("cells"), F.col("c.col_idx"), F.col("c.constant"))
-    return (
-        cells.select("dataset_id", F.col("c.target_field").alias("target_field"), conversion_flag(raw, F.col("c")).alias("_bad"))
-        .filter("_bad")
-        .groupBy("dataset_id", "target_field")
-        .agg(F.count("*").alias("n_flagged"))
-    )
+    return verdicts(rows, bound_checks(bound)).filter("n_flagged > 0").select("dataset_id", "target_field", "n_flagged")
 
 
-def field_counts(rows: DataFrame, bound: DataFrame) -> DataFrame:
-    """dataset_id, target_field, rows, converted, violations; one hash-aggregated pass."""
-    checks = bound.filter(F.col("col_idx").isNotNull() | F.col("constant").isNotNull()).withColumn("rank", F.lit(0))
-    cells = rows.join(_checks_per_dataset(checks), "dataset_id").select("dataset_id", "cells", F.explode("_checks").alias("c"))
-    raw = raw_value(F.col("cells"), F.col("c.col_idx"), F.col("c.constant"))
-    judged = cells.select(
-        "dataset_id", F.col("c.target_field").alias("target_field"), conversion_flag(raw, F.col("c")).alias("_bad"),
-        violation(raw, F.col("c.locale"), F.col("c")).isNotNull().alias("_off"),
-    )
-    return judged.groupBy("dataset_id", "target_field").agg(
-        F.count("*").alias("rows"), F.count_if(~F.coalesce("_bad", F.lit(False))).alias("converted"), F.count_if("_off").alias("violations")
-    )
+def field_counts(rows: DataFrame, bound: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """dataset_id, target_field, rows, converted, violations; from verdicts already found, or from a pass of its own."""
+    found = verdicts(rows, bound_checks(bound)) if found is None else found.filter(F.col("rank") == 0)
+    return found.select("dataset_id", "target_field", F.col("n_rows").alias("rows"), (F.col("n_rows") - F.col("n_flagged")).alias("converted"), F.col("n_violations").alias("violations"))
 
 
 def inferred_violation(b: Column) -> Column:
@@ -152,6 +242,25 @@ def validate(
     stage: str = "review",
 ) -> DataFrame:
     """Mappings with `validator_note`; flags are only ever raised, never cleared."""
+    return judge(mappings, columns, rows, fields, formats, contradictions, strictness, stage).mappings
+
+
+class Judged(NamedTuple):
+    mappings: DataFrame
+    verdicts: DataFrame | None  # over all rows; none where lenient judging read only the first
+
+
+def judge(
+    mappings: DataFrame,
+    columns: DataFrame,
+    rows: DataFrame,
+    fields: DataFrame,
+    formats: DataFrame | None = None,
+    contradictions: DataFrame | None = None,
+    strictness: str = "strict",
+    stage: str = "review",
+) -> Judged:
+    """V10 with the verdicts it rests on: constraints, conversions and counts of all candidate columns from one pass over the rows."""
     if strictness not in STRICTNESS:
         raise ValueError(f"strictness must be one of {', '.join(STRICTNESS)}, not {strictness!r}")
     key = ["dataset_id", "target_field"]
@@ -164,13 +273,21 @@ def validate(
         )
         .filter(F.col("col_idx").isNotNull())
     )
-    scope = first_rows(rows, LENIENT_ROWS) if strictness == "lenient" else rows
-    found = first_violations(scope, judged.filter(F.col("allowed_values").isNotNull() | F.col("min").isNotNull() | F.col("max").isNotNull()))
+    constants = bound_checks(bound).filter(F.col("col_idx").isNull())
+    checks = settle(judged.unionByName(constants, allowMissingColumns=True).select("dataset_id", "target_field", "rank", "source_column", *_DECLARED, *_SPOT))
+    on_columns = checks.filter(F.col("col_idx").isNotNull() & (F.col("allowed_values").isNotNull() | F.col("min").isNotNull() | F.col("max").isNotNull()))
+    if strictness == "lenient":
+        scope = first_rows(rows, LENIENT_ROWS)
+        seen = verdicts(rows, checks.filter(F.col("rank") == 0))
+        found = first_violations(scope, on_columns)
+    else:
+        seen = settle(verdicts(rows, checks))
+        found = with_messages(seen, rows, on_columns)
     label = F.when(F.col("source_column") == "", "(no header)").otherwise(F.col("source_column"))
     per_field = found.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("column '"), label, F.lit("': "), F.col("message")).alias("note")))).alias("_n")
     ).select(*key, F.transform("_n", lambda n: n["note"]).alias("_column_notes"))
-    flagged = conversion_objections(rows, bound)
+    flagged = seen.filter((F.col("rank") == 0) & (F.col("n_flagged") > 0)).select(*key, "n_flagged")
     joined = bound.join(per_field, key, "left").join(flagged, key, "left")
     if contradictions is None:
         joined = joined.withColumn("example_value", F.lit(None).cast("string"))
@@ -199,7 +316,7 @@ def validate(
         F.col("type").isNotNull() | F.col("allowed_values").isNotNull() | F.col("unit").isNotNull()
         | F.col("min").isNotNull() | F.col("max").isNotNull()
     )
-    return inferred.withColumn("_notes", notes).select(
+    noted = inferred.withColumn("_notes", notes).select(
         *mappings_without(mappings, "needs_confirmation", "validator_note"),
         (F.col("needs_confirmation") | (constrained & (F.size("_notes") > 0))).alias("needs_confirmation"),
         F.when(~constrained, "no constraints declared for this field")
@@ -207,6 +324,7 @@ def validate(
         .otherwise("no violation found")
         .alias("validator_note"),
     )
+    return Judged(noted, None if strictness == "lenient" else seen)
 
 
 def mappings_without(mappings: DataFrame, *names: str) -> list[Column]:

@@ -19,7 +19,7 @@ from ..operators.matching import (
     targets_for, vendor_alias_index,
 )
 from ..operators.reconcile import detect_conflicts, override_index, reconcile_map, undecided
-from ..operators.validate import check_coverage, readiness, validate
+from ..operators.validate import check_coverage, field_counts, judge, readiness, validate
 from ..session import settle
 from ..sinks.export import manifests
 
@@ -36,6 +36,7 @@ class Review(NamedTuple):
     date_questions: DataFrame
     contradictions: DataFrame
     errors: DataFrame
+    verdicts: DataFrame | None = None
 
 
 def date_formats(tables: Tables, columns: DataFrame, mappings: DataFrame, field_set: FieldSet, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -90,8 +91,9 @@ def map_corpus(
     errors = hint_errors
     if date_answers is not None:
         errors = errors.unionByName(require_date_answers(conflicts, date_answers))
-    checked = settle(validate(mappings, columns, tables.rows, fields, formats, contradictions, strictness, "review"))
-    return Review(columns, checked, provenance, readiness(checked, datasets), formats, locale_questions, conflicts, contradictions, errors)
+    judged = judge(mappings, columns, tables.rows, fields, formats, contradictions, strictness, "review")
+    checked = settle(judged.mappings)
+    return Review(columns, checked, provenance, readiness(checked, datasets), formats, locale_questions, conflicts, contradictions, errors, judged.verdicts)
 
 
 class Confirmed(NamedTuple):
@@ -190,13 +192,11 @@ def reconcile(
 def field_report(review: Review, tables: Tables, field_set: FieldSet) -> DataFrame:
     """One row per (dataset, field): what was mapped, how it reads, what failed, whether the dataset may leave.
 
-    Conversion and constraint counts come from one pass over the rows.
+    The counts are those of the review's own pass, or of one more where it read only the first rows.
     """
-    from ..operators.validate import field_counts
-
     fields = field_set.frame(tables.rows.sparkSession)
     bound = bind(review.mappings, review.columns, fields, review.formats)
-    counts = field_counts(tables.rows, bound)
+    counts = field_counts(tables.rows, bound, review.verdicts)
     key = ["dataset_id", "target_field"]
     return (
         bound.select(*key, "source_column", "locale", "needs_confirmation")
