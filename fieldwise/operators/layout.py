@@ -190,14 +190,17 @@ def table_titles(grid: DataFrame, fenced: DataFrame) -> DataFrame:
 def slice_at_header(grid: DataFrame, headers: DataFrame) -> Tables:
     """The header row names the columns, the rows below become data, padded to its width.
 
-    headers: file_id, sheet, header_row.
+    headers: file_id, sheet, header_row, and first_row and last_row where a verdict bounds the data.
     """
+    if "first_row" not in headers.columns:
+        headers = headers.withColumns({"first_row": F.col("header_row") + 1, "last_row": F.lit(None).cast("bigint")})
     ident = dataset_id(F.col("file_id"), F.col("sheet"), F.lit(0))
-    named = grid.withColumnRenamed("row_idx", "header_row").join(headers.select(*SHEET_KEY, "header_row"), [*SHEET_KEY, "header_row"])
+    named = grid.withColumnRenamed("row_idx", "header_row").join(headers.select(*SHEET_KEY, "header_row", "first_row", "last_row"), [*SHEET_KEY, "header_row"])
     columns = named.select(ident.alias("dataset_id"), F.posexplode(header_texts(F.col("cells"))).alias("col_idx", "header"))
-    cut = named.select(*SHEET_KEY, "header_row", F.size("cells").alias("_width"))
-    rows = grid.join(cut, SHEET_KEY).filter(F.col("row_idx") > F.col("header_row")).select(
-        ident.alias("dataset_id"), (F.col("row_idx") - F.col("header_row") - 1).alias("row_idx"),
+    cut = named.select(*SHEET_KEY, "first_row", "last_row", F.size("cells").alias("_width"))
+    inside = (F.col("row_idx") >= F.col("first_row")) & F.coalesce(F.col("row_idx") <= F.col("last_row"), F.lit(True))
+    rows = grid.join(cut, SHEET_KEY).filter(inside).select(
+        ident.alias("dataset_id"), (F.col("row_idx") - F.col("first_row")).alias("row_idx"),
         pad_row(stringify_row(F.col("cells")), F.col("_width")).alias("cells"),
     )
     per_file = Window.partitionBy("file_id")
