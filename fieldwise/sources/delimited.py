@@ -77,7 +77,12 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.csv")
 
     Any of CRLF, LF, CR ends a line. One split of a file is one task, its lines in order.
     """
-    return spark.read.option("pathGlobFilter", glob).text(path).select(
+    return placed_lines(spark.read.option("pathGlobFilter", glob).text(path).select("value", "_metadata"))
+
+
+def placed_lines(text: DataFrame) -> DataFrame:
+    """Lines of a text source (value, _metadata), read or arriving, with their place."""
+    return text.select(
         F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file_id"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"), F.is_valid_utf8("value").alias("valid"), F.col("value").alias("text"),
     )
@@ -277,8 +282,13 @@ def scan_delimited(
     `hints` is (file_id, delimiter). Marked lines and split records are each worked out once and written
     as columns into the checkpoint folder; everything returned is lazy over those two tables.
     """
-    readable, refused = classify_files(inventory(spark, path))
-    lines = settle(mark_lines(read_lines(spark, path)))
+    return scan_lines(read_lines(spark, path), inventory(spark, path), hints, na_words)
+
+
+def scan_lines(raw: DataFrame, files: DataFrame | None = None, hints: DataFrame | None = None, na_words: tuple[str, ...] = NA_WORDS) -> Scan:
+    """S1, S2 over lines with their place; `files` is the inventory (the files that have lines, where none is given)."""
+    lines = settle(mark_lines(raw))
+    readable, refused = classify_files(lines.select("file_id").distinct() if files is None else files)
     facts = lines.groupBy(*KEY).agg(
         F.bool_or(~F.col("valid")).alias("_garbled"),
         F.count_if(~F.col("is_comment") & (strip(F.col("text")) != "")).alias("_n"),

@@ -12,7 +12,7 @@ from ..operators.layout import sample_rows
 from ..session import run_folder
 from ..sinks import export
 from ..sources.delimited import scan_delimited
-from ..streaming.ingest import stream_ingest
+from ..streaming.ingest import ingested, stream_ingest
 from ..streaming.pending import expire_pending, watch_pending
 from .registry import comma_money, query, sql_values, table
 
@@ -162,7 +162,17 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Files land, the stream maps, checks and types them, and ready datasets come out as records."""
     landing, folder = landing_files(spark, sf), _fresh_folder(spark)
     stream_ingest(spark, landing, CLIENTS, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/tidy").select(*CLIENTS.names)
+    return ingested(spark, f"{folder}/out", "tidy").select(*CLIENTS.names)
+
+
+@query("ingest_replay", f"with t as ({SQL_CLIENTS}) select *, 'tidy' as state from t")
+def ingest_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files through a second stream that knows nothing of the first: every sink holds what it held."""
+    landing, folder = landing_files(spark, sf), _fresh_folder(spark)
+    for attempt in range(2):
+        stream_ingest(spark, landing, CLIENTS, f"{folder}/out", f"{folder}/state-{attempt}").awaitTermination()
+    status = spark.read.parquet(f"{folder}/out/status").select("dataset_id", "state")
+    return ingested(spark, f"{folder}/out", "tidy").join(status, "dataset_id").select(*CLIENTS.names, "state")
 
 
 @query("delimited_scan", SQL_CLIENTS.replace("c_acctbal,", "cast(c_acctbal*100 as bigint) as cents,").replace("cast(c_acctbal*100 as bigint)", "cast(round(c_acctbal*100) as bigint)"))
