@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..model import PENDING_TTL_HOURS
 
@@ -30,17 +35,130 @@ def expire_pending(pending: DataFrame, confirmations: DataFrame, now: Column, tt
     return pending.join(first, "token", "left").select("token", "created_at", "confirmed_at", state.alias("state"))
 
 
-def watch_pending(pending: DataFrame, confirmations: DataFrame, ttl_hours: int = PENDING_TTL_HOURS, lateness: str = "10 minutes") -> DataFrame:
-    """T2 on streams: each pending entry with its timely confirmation, or null once its day has passed.
+OPENED, CONFIRMED = "opened", "confirmed"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TRANSITION = "token string, at timestamp, state string, created_at timestamp, confirmed_at timestamp"
+REJECTED = ("late", "unknown")
+
 
-    The time bound lets Spark drop an entry's state as soon as no timely confirmation can still come.
+class Review(StatefulProcessor):
+    """One token's review: live from its opening, confirmed or expired after that, and late for a confirmation that comes later still.
+
+    Events wait in the state until the watermark passes them, and are taken in event time, so the answer does not depend on the order of
+    arrival. Timers fire at each event, at the deadline, and when the closed review may be forgotten; nothing is kept beyond that.
     """
-    opened = pending.withWatermark("created_at", lateness).alias("p")
-    closed = confirmations.withWatermark("confirmed_at", lateness).alias("c")
-    within = F.expr(
-        f"p.token = c.token AND c.confirmed_at >= p.created_at AND c.confirmed_at < p.created_at + INTERVAL {ttl_hours} HOURS"
-    )
-    return opened.join(closed, within, "leftOuter").select(
-        F.col("p.token").alias("token"), F.col("p.created_at").alias("created_at"), F.col("c.confirmed_at").alias("confirmed_at"),
-        F.when(F.col("c.confirmed_at").isNull(), "expired").otherwise("confirmed").alias("state"),
+
+    def __init__(self, ttl_hours: int, remember_hours: int):
+        self.ttl, self.remember = ttl_hours * 3_600_000, remember_hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at timestamp, kind string")
+        self.review = handle.getValueState("review", "created_at timestamp, deadline bigint, state string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = sorted([*(tuple(w) for w in self.waiting.get()), *((r.at, r.kind) for r in rows)], key=_order)
+        yield from self._advance(key, held, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._advance(key, sorted((tuple(w) for w in self.waiting.get()), key=_order), timerValues)
+
+    def _advance(self, key, held, timers):
+        """Takes all events and deadlines up to the watermark, in order."""
+        now = timers.getCurrentWatermarkInMs()
+        past, later = [e for e in held if _millis(e[0]) <= now], [e for e in held if _millis(e[0]) > now]
+        kept = self.review.get() if self.review.exists() else None
+        created, deadline, state = kept if kept else (None, None, None)
+        for at, kind in past:
+            if state == "live" and _millis(at) >= deadline:
+                state = "expired"
+                yield Row(token=key[0], at=created + timedelta(milliseconds=self.ttl), state=state, created_at=created, confirmed_at=None)
+            if kind == OPENED and state is None:
+                created, deadline, state = at, _millis(at) + self.ttl, "live"
+                yield Row(token=key[0], at=at, state=state, created_at=at, confirmed_at=None)
+            elif kind == CONFIRMED and state == "live":
+                state = "confirmed"
+                yield Row(token=key[0], at=at, state=state, created_at=created, confirmed_at=at)
+            elif kind == CONFIRMED and state in (None, "expired"):
+                said = "unknown" if state is None else "late"
+                state = None if state is None else "late"
+                yield Row(token=key[0], at=at, state=said, created_at=created, confirmed_at=at)
+        if state == "live" and now >= deadline:
+            state = "expired"
+            yield Row(token=key[0], at=created + timedelta(milliseconds=self.ttl), state=state, created_at=created, confirmed_at=None)
+        self._keep(held, later, kept, (created, deadline, state), now)
+
+    def _keep(self, held, later, kept, review, now):
+        if later:
+            self.waiting.put([tuple(e) for e in later])
+            for moment in {_millis(at) for at, _ in later}:
+                self.handle.registerTimer(moment)
+        elif held:
+            self.waiting.clear()
+        _, deadline, state = review
+        if state is None:
+            return
+        if now >= deadline + self.remember and not later:
+            self.review.clear()
+        elif kept is None or tuple(kept) != review:
+            self.review.update(review)
+            self.handle.registerTimer(deadline if state == "live" else deadline + self.remember)
+
+
+def _millis(at: datetime) -> int:
+    return int(at.replace(tzinfo=at.tzinfo or timezone.utc).timestamp() * 1000)
+
+
+def _order(event: tuple[datetime, str]) -> tuple[datetime, bool]:
+    return event[0], event[1] == CONFIRMED  # a review is opened before it is confirmed
+
+
+def watch_pending(
+    pending: DataFrame, confirmations: DataFrame, ttl_hours: int = PENDING_TTL_HOURS, lateness: str = "10 minutes", remember_hours: int = 30 * 24
+) -> DataFrame:
+    """T2 on streams: every change of a review's state (token, at, state, created_at, confirmed_at).
+
+    States are live, confirmed and expired; `late` and `unknown` are confirmations of an expired review, and of one that never was or is
+    forgotten (`remember_hours` after its deadline). A review of which no event can matter any more costs no state. The state store has to be one
+    with timers: start the query inside `timed_state`.
+    """
+    opened = pending.select("token", F.col("created_at").alias("at"), F.lit(OPENED).alias("kind"))
+    closed = confirmations.select("token", F.col("confirmed_at").alias("at"), F.lit(CONFIRMED).alias("kind"))
+    events = opened.unionByName(closed).withWatermark("at", lateness)
+    return events.groupBy("token").transformWithState(
+        statefulProcessor=Review(ttl_hours, remember_hours), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime"
     )
+
+
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in a store that has timers; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def start_pending(transitions: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Writes the changes to `<out>/states` and confirmations that came too late to `<out>/rejects`; a retried batch replaces its own files."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # a batch of changes, read twice
+        rejected = F.col("state").isin(*REJECTED)
+        batch.filter(F.col("state") != "unknown").write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
+        batch.filter(rejected).select("token", "confirmed_at", F.col("state").alias("reason")).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        batch.unpersist()
+
+    with timed_state(transitions.sparkSession):
+        writer = transitions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_states(spark: SparkSession, out: str) -> DataFrame:
+    """token, created_at, confirmed_at, state of every review as of its last change."""
+    changes = spark.read.parquet(f"{out}/states")
+    last = F.max(F.struct("at", F.coalesce("confirmed_at", "created_at"), "state", "created_at", "confirmed_at")).alias("_l")
+    return changes.groupBy("token").agg(last).select("token", "_l.created_at", "_l.confirmed_at", "_l.state")

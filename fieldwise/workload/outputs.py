@@ -13,7 +13,7 @@ from ..session import run_folder
 from ..sinks import export
 from ..sources.delimited import scan_delimited
 from ..streaming.ingest import ingested, stream_ingest
-from ..streaming.pending import expire_pending, watch_pending
+from ..streaming.pending import current_states, expire_pending, start_pending, watch_pending
 from .registry import comma_money, query, sql_values, table
 
 _SLUG = "trim(regexp_replace(lower({0}),'[^a-z0-9]+','-','g'),'-')"
@@ -117,24 +117,36 @@ def _fresh_folder(spark: SparkSession) -> str:
     return f"{run_folder(spark)}/{uuid.uuid4().hex}"
 
 
-@query(
-    "pending_stream",
-    f"""with {SQL_TOKENS}, s as (select token, ts from tk where event_type='signup'), b as (select token, ts from tk where event_type='purchase'),
-      w as (select least((select max(ts) from s), (select max(ts) from b)) - interval 10 minute as seen),
-      j as (select s.token, s.ts as created_at, b.ts as confirmed_at from s left join b on s.token=b.token and b.ts>=s.ts and b.ts<s.ts+interval 24 hour)
-      select token, created_at, confirmed_at, case when confirmed_at is null then 'expired' else 'confirmed' end as state from j, w where confirmed_at is not null or created_at+interval 24 hour<=seen""",
-)
-def pending_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same as a stream-stream join over the event files, run until all input is read: entries confirmed in time, and those whose day has passed."""
+_STREAMED = f"""with {SQL_TOKENS}, w as (select date_trunc('millisecond', max(ts)) - interval 10 minute as seen from tk where event_type in ('signup', 'purchase')),
+      s as (select token, min(ts) as created_at from tk, w where event_type='signup' and ts<seen+interval 1 millisecond group by token),
+      b as (select token, ts from tk, w where event_type='purchase' and ts<seen+interval 1 millisecond),
+      c as (select s.token, min(b.ts) as confirmed_at from s join b on b.token=s.token and b.ts>=s.created_at group by s.token),
+      x as (select s.token, created_at, confirmed_at, case when confirmed_at<created_at+interval 24 hour then 'confirmed' when confirmed_at is not null then 'late' when created_at+interval 24 hour<=seen then 'expired' else 'live' end as state from s left join c using (token), w)"""
+
+
+def _watched(spark: SparkSession, sf: str) -> str:
+    """The event files as a stream, until all input is read: the folder its sinks are in."""
     source = table(spark, sf, "events")
     folder = _fresh_folder(spark)
     source.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
     opened = _tokens(stream, "signup").withColumnRenamed("ts", "created_at")
     closed = _tokens(stream, "purchase").withColumnRenamed("ts", "confirmed_at")
-    run = watch_pending(opened, closed).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
-    run.awaitTermination()
-    return spark.read.schema("token string, created_at timestamp, confirmed_at timestamp, state string").parquet(f"{folder}/out")
+    start_pending(watch_pending(opened, closed), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return f"{folder}/out"
+
+
+@query("pending_stream", f"{_STREAMED} select * from x")
+def pending_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews as a stream leaves them: live, confirmed, expired, and confirmed too late."""
+    return current_states(spark, _watched(spark, sf))
+
+
+@query("pending_rejects", f"""{_STREAMED} select token, confirmed_at, 'late' as reason from x where state='late'
+      union all select b.token, b.ts, 'unknown' from b left join s using (token) where s.token is null or b.ts<s.created_at""")
+def pending_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Confirmations that the stream turned away: of an expired review, or of one that was never opened."""
+    return spark.read.schema("token string, confirmed_at timestamp, reason string").parquet(f"{_watched(spark, sf)}/rejects").select("token", "confirmed_at", "reason")
 
 
 # ---- files in, tables out ---------------------------------------------------------------------
