@@ -120,14 +120,15 @@ def index_of(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
 
 def _windows_at_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(k1, k2, i, size, seen): the windows of each text around the indexed windows' longest words."""
-    each = tokens.select("k1", "k2", "tokens", F.posexplode("tokens").alias("p", "t")).withColumn("w", _bare(F.col("t")))
+    # The outer form: the plain one adds a filter that makes the tokens twice more.
+    each = tokens.select("k1", "k2", "tokens", F.posexplode_outer("tokens").alias("p", "t")).withColumn("w", _bare(F.col("t")))
     met = each.join(F.broadcast(words), "w").select("k1", "k2", "tokens", (F.col("p") - F.col("back")).alias("i"), "size")
     return _cut(met)
 
 
 def _all_windows(tokens: DataFrame, sizes: list[int]) -> DataFrame:
     """The same for every place of each text."""
-    each = tokens.select("k1", "k2", "tokens", F.posexplode("tokens").alias("i", "t"))
+    each = tokens.select("k1", "k2", "tokens", F.posexplode_outer("tokens").alias("i", "t"))
     return _cut(each.select("k1", "k2", "tokens", "i", F.explode(F.array(*map(F.lit, sizes))).alias("size")))
 
 
@@ -163,7 +164,7 @@ def find_leaks(
     index = settled(index_of(items, item_id, item_text, n), "benchmark-windows")
     forms = {r["form"]: r["count"] for r in index.groupBy("form").count().collect()}  # at most four rows
     few = sum(forms.values()) <= BROADCAST_WINDOWS
-    tokens = docs.filter("text is not null").select("k1", "k2", _line_of(F.col("text")).alias("line")).filter("line <> ''").select("k1", "k2", F.split("line", " ").alias("tokens"))
+    tokens = docs.filter("text is not null").select("k1", "k2", F.split(_line_of(F.col("text")), " ").alias("tokens"))  # [""] for a text without any
     if few:
         windows = _windows_at_words(tokens, index.select("w", "back", "size").distinct())
     else:
