@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FieldSet, Tables
+from ..operators.changes import Dictionary, apply_changes, changeset
+from ..operators.closures import close_proposals
 from ..operators.convert import assemble, bind, require_date_answers, resolve_date_formats
+from ..operators.dictionary import alias_view, import_master_map, master_map_aliases, read_master_maps
 from ..operators.evidence import annotate_locales, resolve_locales
 from ..operators.matching import (
     Proposer, alias_index, column_signature, field_set_signature, find_profiles, replay_profiles, resolve_mappings,
-    targets_for, vendor_alias_index,
+    targets_for, vendor_alias_index, with_norm,
 )
 from ..operators.reconcile import detect_conflicts, override_index, reconcile_map, undecided
 from ..operators.validate import check_coverage, field_counts, judge, readiness, validate
@@ -169,8 +172,6 @@ def reconcile(
     master and incoming: schema_name, vendor, source_column, field_name, field_seq, seq.
     While a conflict is undecided every dataset of that vendor stays unmapped.
     """
-    from ..operators.closures import close_proposals
-
     spark = tables.rows.sparkSession
     fields = field_set.frame(spark)
     columns = settle(annotate_locales(tables.columns, tables.rows))
@@ -189,6 +190,68 @@ def reconcile(
     return Reconciled(conflicts, remaining, checked, readiness(checked, tables.datasets))
 
 
+class Imported(NamedTuple):
+    """A reconciled import: what it asks, what it changes, and the mappings of this run."""
+
+    conflicts: DataFrame  # map_id, vendor, source_column, norm, master_field, map_file_field
+    undecided: DataFrame
+    errors: DataFrame  # map_id, error
+    changes: DataFrame  # a changeset; apply it with `apply_changes`
+    mappings: DataFrame
+    provenance: DataFrame  # dataset_id, provenance
+    readiness: DataFrame
+
+
+RECONCILED = "reconciled-from-crosswalk"
+
+
+def reconcile_import(
+    tables: Tables,
+    field_set: FieldSet,
+    dictionary: Dictionary,
+    target_schema_id: str,
+    envelopes: DataFrame,
+    vendors: DataFrame,
+    imported_at: Column,
+    choices: DataFrame | None = None,
+    proposer: Proposer | None = None,
+    strictness: str = "strict",
+) -> Imported:
+    """R5 with G16: map files (map_id, envelope) reconciled with the dictionary, imported, and the vendors' datasets mapped from the result.
+
+    Conflicts come before anything is written. A map with an undecided conflict changes nothing, and the vendors it disagrees on stay unmapped. Other
+    maps add what the dictionary lacks; stored rows and their provenance stay. A decision holds for this run's mappings only and is never stored.
+    """
+    spark = tables.rows.sparkSession
+    fields = field_set.frame(spark)
+    of_target = F.col("schema_id") == target_schema_id
+    known = Dictionary(dictionary.schemas.filter(of_target), dictionary.fields.filter(of_target), dictionary.aliases)
+    master = alias_view(*known)
+    map_fields, errors = read_master_maps(envelopes)
+    incoming = settle(master_map_aliases(map_fields))
+    asked = with_norm(incoming, "source_column").select("map_id", "vendor", "norm", F.col("field_name").alias("map_file_field")).distinct()
+    conflicts = settle(detect_conflicts(incoming, master).distinct().join(asked, ["vendor", "norm", "map_file_field"]).select("map_id", "vendor", "source_column", "norm", "master_field", "map_file_field"))
+    remaining = conflicts if choices is None else undecided(conflicts, choices)
+    overrides = None if choices is None else override_index(choices, master, incoming)
+
+    free_maps = envelopes.join(remaining.select("map_id").distinct(), "map_id", "left_anti")
+    next_fields, next_aliases, _ = import_master_map(dictionary.fields, dictionary.aliases, target_schema_id, free_maps, imported_at)
+    changes = settle(changeset(dictionary, Dictionary(dictionary.schemas, next_fields, next_aliases)))
+    merged = apply_changes(dictionary, changes)
+
+    free = vendors.join(remaining.select("vendor").distinct(), "vendor", "left_anti")
+    index = vendor_alias_index(alias_view(merged.schemas.filter(of_target), merged.fields, merged.aliases))
+    targets = targets_for(tables.datasets.join(free, "dataset_id", "left_semi").withColumn("schema_name", F.lit(field_set.name)), fields)
+    filled, uncovered = reconcile_map(tables.columns, targets, index, overrides, free)
+    answers = proposer(uncovered) if proposer is not None else None
+    mappings = settle(filled.unionByName(close_proposals(answers, tables.columns, uncovered)))
+    columns = settle(annotate_locales(tables.columns, tables.rows))
+    formats, _, contradictions = date_formats(tables, columns, mappings, field_set)
+    checked = settle(validate(mappings, columns, tables.rows, fields, formats, contradictions, strictness))
+    provenance = free.select("dataset_id", F.lit(RECONCILED).alias("provenance")).distinct()
+    return Imported(conflicts, remaining, errors, changes, checked, provenance, readiness(checked, tables.datasets))
+
+
 def field_report(review: Review, tables: Tables, field_set: FieldSet) -> DataFrame:
     """One row per (dataset, field): what was mapped, how it reads, what failed, whether the dataset may leave.
 

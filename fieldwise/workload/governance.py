@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..model import Field, FieldSet, Tables
 from ..operators import dictionary as d
 from ..operators import reconcile as r
+from ..operators.changes import Dictionary, apply_changes
 from ..operators.matching import field_set_from_schema, vendor_alias_index
 from ..plans import pipeline
+from ..session import settle
 from .registry import query, table
 
 EPOCH = "2024-01-01 00:00:00"
@@ -356,3 +358,72 @@ def reconcile_plan(spark: SparkSession, sf: str) -> DataFrame:
     decided = master.filter(even).select("vendor", "source_column", F.when(F.col("seq") % 4 == 0, "take_map_file").otherwise("keep_master").alias("decision"))
     done = pipeline.reconcile(Tables(datasets, columns, rows), TYPES, master, incoming, vendors, decided)
     return done.mappings.select("dataset_id", "target_field", "source_column", "needs_confirmation")
+
+
+# ---- reconcile with import ----------------------------------------------------------------------
+
+IMPORTED_AT = "2024-06-01 00:00:00"
+
+
+def import_case(spark: SparkSession, sf: str) -> tuple[Tables, Dictionary, DataFrame, DataFrame, DataFrame]:
+    """(tables, dictionary, map files, vendors, choices): each vendor brings a map file of its own; even vendors' conflicts are decided."""
+    master, incoming = dictionaries(spark, sf)
+    at, none = F.lit("2024-01-01").cast("timestamp"), F.lit(None).cast("string")
+    removed = [F.lit(None).cast("timestamp").alias("removed_at"), none.alias("removed_by")]
+    schemas = spark.range(1).select(F.lit("s").alias("schema_id"), F.lit("s").alias("schema_name"), F.lit("user").alias("created_by"), at.alias("created_at"), F.lit(0).cast("bigint").alias("seq"), *removed)
+    kinds = [f.name for f in TYPES.fields if f.name != "OTHER"]
+    fields = spark.range(1).select(F.posexplode(F.array(*map(F.lit, kinds))).alias("seq", "name")).select(
+        F.concat(F.lit("f-"), F.col("name")).alias("field_id"), F.lit("s").alias("schema_id"), F.col("seq").cast("bigint").alias("seq"), "name", none.alias("description"), F.lit("text").alias("type"),
+        F.lit(None).cast("array<string>").alias("allowed_values"), none.alias("unit"), F.lit(True).alias("required"), F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
+        none.alias("date_format"), *removed,
+    )
+    aliases = master.select(
+        F.concat(F.lit("f-"), F.col("field_name")).alias("field_id"), "vendor", "source_column", F.lit("confirmed").alias("provenance_kind"), F.lit("user").alias("provenance_actor"), at.alias("created_at"),
+        F.lit(None).cast("double").alias("confidence"), none.alias("note"), "seq", *removed,
+    )
+    spelled = F.struct("vendor", "source_column", F.lit("map").alias("provenance_actor"))
+    per_field = incoming.groupBy("vendor", F.col("field_name").alias("name")).agg(F.sort_array(F.collect_list(spelled)).alias("aliases"))
+    maps = per_field.groupBy(F.col("vendor").alias("map_id")).agg(F.sort_array(F.collect_list(F.struct("name", F.lit("text").alias("type"), "aliases"))).alias("fields"))
+    envelopes = maps.select("map_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("s").alias("name"), "fields")).alias("envelope"))
+    pairs = master.select("vendor", "source_column", "seq").unionByName(incoming.select("vendor", F.lower("source_column").alias("source_column"), "seq")).distinct()
+    ident = F.regexp_replace("vendor", "vendor ", "supplier-").alias("dataset_id")
+    vendors = pairs.select(ident, "vendor").distinct()
+    columns = pairs.select(ident, F.col("seq").cast("int").alias("col_idx"), F.col("source_column").alias("header"))
+    ids = vendors.select("dataset_id")
+    datasets = ids.select("dataset_id", F.col("dataset_id").alias("source_file"), F.col("dataset_id").alias("sheet"), F.lit(0).alias("table_idx"), F.col("dataset_id").alias("origin_sheet"), none.alias("label"))
+    rows = ids.select("dataset_id", F.lit(0).cast("bigint").alias("row_idx"), F.array(F.lit("x")).alias("cells"))
+    even = F.regexp_extract("vendor", "([0-9]+)$", 1).cast("bigint") % 2 == 0
+    decided = master.filter(even).select("vendor", "source_column", F.when(F.col("seq") % 4 == 0, "take_map_file").otherwise("keep_master").alias("decision"))
+    return Tables(datasets, columns, rows), Dictionary(schemas, fields, aliases), envelopes, vendors, decided
+
+
+SQL_IMPORT = f"""with {SQL_PAIRS}, held as (select distinct vendor from cf where cast(substr(vendor,8) as int)%2=1), vs as (select distinct vendor, vendor in (select vendor from held) as is_held from pr where seq%5<>0 or seq%7<>0),
+  mp as (select pr.*, is_held, seq%5<>0 as ours, seq%7<>0 as theirs, case when seq%3=0 then 'OTHER' else kind end as their_kind from pr join vs using (vendor) where seq%5<>0 or seq%7<>0)"""
+
+
+@query("reconcile_changes", f"""{SQL_IMPORT}
+  select 'aliases' as table_name, 'keep' as op, count(*) as n, 'confirmed' as provenance from mp where ours
+  union all select 'aliases', 'insert', count(*), 'from_map_file' from mp where theirs and not is_held
+  union all select 'fields', 'keep', 6, null union all select 'fields', 'insert', 1, null from (select 1 where exists (select 1 from mp where theirs and not is_held and their_kind='OTHER'))
+  union all select 'schemas', 'keep', 1, null""")
+def reconcile_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What importing all vendors' map files does to the dictionary, as one changeset."""
+    tables, dictionary, envelopes, vendors, decided = import_case(spark, sf)
+    done = pipeline.reconcile_import(tables, TYPES, dictionary, "s", envelopes, vendors, F.lit(IMPORTED_AT).cast("timestamp"), decided)
+    return done.changes.groupBy("table_name", "op", F.col("alias_row.provenance_kind").alias("provenance")).agg(F.count("*").alias("n"))
+
+
+@query("reconcile_import", f"""{SQL_IMPORT},
+  first as (select vendor, p_name, seq, case when ours then case when theirs and seq%4=0 and seq%3=0 then 'OTHER' else kind end else their_kind end as kind from mp where not is_held),
+  second as (select vendor, p_name, seq, case when theirs and not is_held and seq%3=0 then 'OTHER' else kind end as kind from mp where ours or not is_held),
+  hits as (select 1 as run, vendor, kind, arg_min(p_name, seq) as p_name from first group by all union all select 2, vendor, kind, arg_min(p_name, seq) from second group by all)
+  select run, replace(vendor,'vendor ','supplier-') as dataset_id, kind as target_field, p_name as source_column, 'reconciled-from-crosswalk' as provenance from hits""")
+def reconcile_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs: the first reconciles and imports, the second, without map files or decisions, sees the imported aliases."""
+    tables, dictionary, envelopes, vendors, decided = import_case(spark, sf)
+    at = F.lit(IMPORTED_AT).cast("timestamp")
+    first = pipeline.reconcile_import(tables, TYPES, dictionary, "s", envelopes, vendors, at, decided)
+    merged = Dictionary(*(settle(t) for t in apply_changes(dictionary, first.changes)))
+    second = pipeline.reconcile_import(tables, TYPES, merged, "s", envelopes.limit(0), vendors, at)
+    runs = [done.mappings.join(done.provenance, "dataset_id").withColumn("run", F.lit(k)) for k, done in ((1, first), (2, second))]
+    return runs[0].unionByName(runs[1]).filter(F.col("source_column").isNotNull()).select("run", "dataset_id", "target_field", "source_column", "provenance")
