@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..model import mapping_columns
 from .common import first_per_key
+from .seams import DRAFTS, answered
 
 
 def close_proposals(proposals: DataFrame | None, columns: DataFrame, targets: DataFrame) -> DataFrame:
@@ -89,11 +90,12 @@ def draft_schemas(
     columns: DataFrame,
     sample: DataFrame | None,
     drafter: Callable[[DataFrame, DataFrame | None], DataFrame],
+    failures: list[DataFrame] | None = None,
 ) -> DataFrame:
     """U4: draft fields for datasets no schema fits.
 
-    The drafter sees headers, plus at most five sample rows unless `sample` is withheld (headers only).
+    The drafter sees headers, plus at most five sample rows unless `sample` is withheld (headers only). One that fails drafts nothing.
     """
     wanted = columns.join(undecided.select("dataset_id").distinct(), "dataset_id", "left_semi")
     shown = None if sample is None else sample.join(undecided.select("dataset_id").distinct(), "dataset_id", "left_semi")
-    return close_drafts(drafter(wanted, shown), columns)
+    return close_drafts(answered(lambda asked: drafter(asked, shown), wanted, DRAFTS, "the schema drafter", failures), columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_header, normalise_header_native
 from ..model import mapping_columns
 from .common import first_per_key
+from .seams import PROPOSALS, RANKINGS, answered
 
 Proposer = Callable[[DataFrame], DataFrame]
 
@@ -168,11 +169,12 @@ def resolve_mappings(
     replayed: DataFrame | None = None,
     proposer: Proposer | None = None,
     closure: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None,
+    failures: list[DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mappings, provenance). Profile first, else crosswalk, else the proposer for the rest.
 
     U1: `proposer` receives only uncovered (dataset, field) pairs and returns mapping rows; `closure`
-    (M21 by default) keeps its answers honest. A layer is skipped by an anti-join, not by a driver check.
+    (M21 by default) keeps its answers honest. One that fails proposes nothing, and its error goes to `failures`. A layer is skipped by an anti-join, not by a driver check.
     """
     from .closures import close_proposals
 
@@ -189,7 +191,7 @@ def resolve_mappings(
         layers.append(filled.withColumn("_layer", F.lit("crosswalk")))
     else:
         uncovered = remaining
-    answers = proposer(uncovered) if proposer is not None else None
+    answers = answered(proposer, uncovered, PROPOSALS, "the proposer", failures) if proposer is not None else None
     close = closure or close_proposals
     layers.append(close(answers, columns, uncovered).withColumn("_layer", F.lit("proposer")))
     merged = layers[0]
@@ -247,14 +249,14 @@ def score_schemas(columns: DataFrame, fields: DataFrame, index: DataFrame, repla
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("dataset_id").orderBy(*order)))
 
 
-def rank_unmatched(datasets: DataFrame, scored: DataFrame, schemas: DataFrame, ranker: Proposer | None) -> DataFrame:
-    """The ranker's one suggestion for datasets no schema covers; without a ranker, none."""
+def rank_unmatched(datasets: DataFrame, scored: DataFrame, schemas: DataFrame, ranker: Proposer | None, failures: list[DataFrame] | None = None) -> DataFrame:
+    """The ranker's one suggestion for datasets no schema covers; without a ranker, or from one that fails, none."""
     from .closures import close_rankings
 
     empty_hands = datasets.select("dataset_id").join(scored.select("dataset_id").distinct(), "dataset_id", "left_anti")
     if ranker is None:
         return empty_hands.limit(0).select("dataset_id", F.lit(None).cast("string").alias("schema_name"), F.lit(None).cast("string").alias("reason"))
-    return close_rankings(ranker(empty_hands), schemas).filter(F.col("rank") == 1).select("dataset_id", "schema_name", "reason")
+    return close_rankings(answered(ranker, empty_hands, RANKINGS, "the schema ranker", failures), schemas).filter(F.col("rank") == 1).select("dataset_id", "schema_name", "reason")
 
 
 def preselect(scored: DataFrame, defaults: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..model import MAPPING_SCHEMA
 from ..session import settle
 
 
@@ -25,3 +26,17 @@ def guarded(call: Callable[[DataFrame], DataFrame], asked: DataFrame, schema: st
         message = str(e).strip().split("\n")[0][:300]
         return empty, spark.createDataFrame([(who, f"{who} failed: {type(e).__name__}: {message}")], "who string, error string")
     return answers, spark.createDataFrame([], "who string, error string")
+
+
+# What each kind of callable answers in.
+PROPOSALS = f"{MAPPING_SCHEMA}, position int"
+RANKINGS = "dataset_id string, position int, schema_name string, reason string"
+DRAFTS = "dataset_id string, position int, column_index int, name string, type string, required boolean, reason string"
+
+
+def answered(call: Callable[[DataFrame], DataFrame], asked: DataFrame, schema: str, who: str, failures: list[DataFrame] | None) -> DataFrame:
+    """`guarded` answers; the error frame goes to `failures` where a caller keeps one."""
+    answers, errors = guarded(call, asked, schema, who)
+    if failures is not None:
+        failures.append(errors)
+    return answers

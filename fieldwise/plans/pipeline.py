@@ -22,6 +22,7 @@ from ..operators.matching import (
     targets_for, vendor_alias_index, with_norm,
 )
 from ..operators.reconcile import detect_conflicts, override_index, reconcile_map, undecided
+from ..operators.seams import PROPOSALS, answered
 from ..operators.validate import check_coverage, field_counts, judge, readiness, validate
 from ..session import settle
 from ..sinks.export import manifests
@@ -88,10 +89,13 @@ def map_corpus(
     if profiles is not None:
         hits = find_profiles(signatures(tables.columns, fields, datasets), profiles)
         replayed = replay_profiles(hits, tables.columns)
-    mappings, provenance = resolve_mappings(tables.columns, targets, alias_index(fields, aliases), replayed, proposer)
+    failures: list[DataFrame] = []
+    mappings, provenance = resolve_mappings(tables.columns, targets, alias_index(fields, aliases), replayed, proposer, failures=failures)
     mappings = settle(mappings)
     formats, conflicts, contradictions = date_formats(tables, columns, mappings, field_set, date_answers)
     errors = hint_errors
+    for failed in failures:
+        errors = errors.unionByName(failed.select(F.lit(None).cast("string").alias("dataset_id"), "error"))
     if date_answers is not None:
         errors = errors.unionByName(require_date_answers(conflicts, date_answers))
     judged = judge(mappings, columns, tables.rows, fields, formats, contradictions, strictness, "review")
@@ -183,7 +187,7 @@ def reconcile(
     both = master.unionByName(incoming.withColumn("field_seq", F.lit(-1)).select(*master.columns))
     targets = targets_for(tables.datasets.join(free, "dataset_id", "left_semi").withColumn("schema_name", F.lit(field_set.name)), fields)
     filled, uncovered = reconcile_map(tables.columns, targets, vendor_alias_index(both), overrides, free)
-    answers = proposer(uncovered) if proposer is not None else None
+    answers = answered(proposer, uncovered, PROPOSALS, "the proposer", None) if proposer is not None else None
     mappings = settle(filled.unionByName(close_proposals(answers, tables.columns, uncovered)))
     formats, _, contradictions = date_formats(tables, columns, mappings, field_set)
     checked = validate(mappings, columns, tables.rows, fields, formats, contradictions)
@@ -243,7 +247,7 @@ def reconcile_import(
     index = vendor_alias_index(alias_view(merged.schemas.filter(of_target), merged.fields, merged.aliases))
     targets = targets_for(tables.datasets.join(free, "dataset_id", "left_semi").withColumn("schema_name", F.lit(field_set.name)), fields)
     filled, uncovered = reconcile_map(tables.columns, targets, index, overrides, free)
-    answers = proposer(uncovered) if proposer is not None else None
+    answers = answered(proposer, uncovered, PROPOSALS, "the proposer", None) if proposer is not None else None
     mappings = settle(filled.unionByName(close_proposals(answers, tables.columns, uncovered)))
     columns = settle(annotate_locales(tables.columns, tables.rows))
     formats, _, contradictions = date_formats(tables, columns, mappings, field_set)

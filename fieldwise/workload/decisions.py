@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..model import HINT
 from ..operators import closures, dictionary, evidence, header, layout, matching, sheets
+from ..operators.common import union_all
+from ..plans.schemas import choose_schemas
 from .governance import EPOCH, SQL_FIELDS, alias_rows, field_rows
 from .matching import NORM, SQL_CC, SQL_SIG, customer_columns
 from .registry import query, table
@@ -168,35 +170,45 @@ def hint_replay(spark: SparkSession, sf: str) -> DataFrame:
     return matching.replay_hints(questions, profiles, grid).select("file_id", "profile_id", "header_row")
 
 
-@query(
-    "ranked_unmatched",
-    """select 'customer-'||cast(c_custkey as varchar) as dataset_id, 'schema '||c_mktsegment as schema_name, 'second' as reason from customer where c_custkey%3<>0""",
-)
-def ranked_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    """A ranker for datasets that nothing scored: its first answer names no schema there is, its second counts."""
-    customer = table(spark, sf, "customer").select(_key().alias("dataset_id"), "c_custkey", "c_mktsegment")
-    schemas = customer.select(F.concat(F.lit("schema "), F.col("c_mktsegment")).alias("schema_name")).distinct()
-    segment = customer.select("dataset_id", "c_mktsegment")
+def segment_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """A schema for each of the first segments by name, with the segment as its only field."""
+    segments = table(spark, sf, "customer").select("c_mktsegment").distinct().filter("c_mktsegment < 'G'")
+    return segments.select(F.concat(F.lit("schema "), F.col("c_mktsegment")).alias("schema_name"), F.lit(0).alias("pos"), F.lower("c_mktsegment").alias("name"))
+
+
+SQL_OPEN = f"""{SQL_CC}, sg as (select distinct lower(c_mktsegment) as name from customer where c_mktsegment<'G'), n as (select cc.*, {NORM.format('header')} as norm from cc),
+  op as (select * from n where dataset_id not in (select dataset_id from n join sg on norm=name))"""
 
-    def ranker(open_datasets: DataFrame) -> DataFrame:
+
+def _second_answer(unsure: str):
+    """A ranker that names no known schema first, and has nothing to say about one kind of dataset."""
+
+    def ranker(open_datasets: DataFrame, columns: DataFrame) -> DataFrame:
+        named = matching.with_norm(columns, "header").filter(F.col("norm") == unsure).select("dataset_id").distinct()
         told = F.array(
             F.struct(F.lit(0).alias("position"), F.lit("ghost").alias("schema_name"), F.lit("first").alias("reason")),
-            F.struct(F.lit(1).alias("position"), F.concat(F.lit("schema "), F.col("c_mktsegment")).alias("schema_name"), F.lit("second").alias("reason")),
+            F.struct(F.lit(1).alias("position"), F.lit("schema BUILDING").alias("schema_name"), F.lit("second").alias("reason")),
         )
-        return open_datasets.join(segment, "dataset_id").select("dataset_id", F.inline(told))
+        return open_datasets.join(named, "dataset_id", "left_anti").select("dataset_id", F.inline(told))
+
+    return ranker
 
-    return matching.rank_unmatched(customer, customer.filter("c_custkey % 3 = 0"), schemas, ranker)
+
+@query("ranked_unmatched", f"""with {SQL_OPEN} select distinct dataset_id, 'schema BUILDING' as schema_name, 'second' as reason from op where dataset_id not in (select dataset_id from n where norm='machinery')""")
+def ranked_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """A ranker for the datasets that no schema covers: its first answer names no schema there is, its second counts."""
+    columns, ranker = customer_columns(spark, sf), _second_answer("machinery")
+    return choose_schemas(columns, segment_schemas(spark, sf), ranker=lambda asked: ranker(asked, columns)).suggestions
 
 
 @query(
     "drafted_schemas",
-    f"""with {SQL_CC}, k as (select *, {NORM.format('header')} as norm from cc where c_custkey%2=0), f as (select *, row_number() over (partition by dataset_id, norm order by col_idx) as r from k)
+    f"""with {SQL_OPEN}, f as (select *, row_number() over (partition by dataset_id, norm order by col_idx) as r from op where dataset_id in (select dataset_id from n where norm='machinery'))
       select dataset_id, header as source_header, norm as name from f where r=1""",
 )
 def drafted_schemas(spark: SparkSession, sf: str) -> DataFrame:
-    """A drafter that names every column after its header, for datasets no schema fits."""
-    columns = customer_columns(spark, sf)
-    undecided = columns.filter(F.regexp_extract("dataset_id", "([0-9]+)$", 1).cast("bigint") % 2 == 0)
+    """A drafter that names every column after its header, for the datasets that neither a schema nor the ranker knows."""
+    columns, ranker = customer_columns(spark, sf), _second_answer("machinery")
 
     def drafter(shown: DataFrame, sample: DataFrame | None) -> DataFrame:
         assert sample is None
@@ -204,7 +216,30 @@ def drafted_schemas(spark: SparkSession, sf: str) -> DataFrame:
             "dataset_id", F.col("col_idx").alias("position"), F.col("col_idx").alias("column_index"), "name", F.lit("text").alias("type"), F.lit(True).alias("required"), F.lit("header").alias("reason")
         )
 
-    return closures.draft_schemas(undecided, columns, None, drafter).select("dataset_id", "source_header", "name")
+    return choose_schemas(columns, segment_schemas(spark, sf), ranker=lambda asked: ranker(asked, columns), drafter=drafter).drafts.select("dataset_id", "source_header", "name")
+
+
+@query("seam_failures", f"""with {SQL_OPEN} select 'sound' as ranker, count(distinct dataset_id) as n_suggestions, 0 as n_errors from op
+  union all select 'fails in a task', 0, 1 union all select 'fails in planning', 0, 1""")
+def seam_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rankers over the same open datasets: one that fails, wherever it does, costs its suggestions and leaves an error, never the plan."""
+    columns, schemas = customer_columns(spark, sf), segment_schemas(spark, sf)
+    sound = _second_answer("nothing")
+
+    def broken(asked: DataFrame) -> DataFrame:
+        raise ConnectionError("no answer")
+
+    rankers = {
+        "sound": lambda asked: sound(asked, columns),
+        "fails in a task": lambda asked: sound(asked, columns).withColumn("reason", F.when(F.col("position") == 1, F.raise_error(F.lit("no answer"))).otherwise(F.col("reason"))),
+        "fails in planning": broken,
+    }
+    lines = []
+    for name, ranker in rankers.items():
+        choice = choose_schemas(columns, schemas, ranker=ranker)
+        told = choice.suggestions.select(F.lit(1).alias("s"), F.lit(0).alias("e")).unionByName(choice.errors.select(F.lit(0).alias("s"), F.lit(1).alias("e")))
+        lines.append(told.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n_suggestions"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_errors")).select(F.lit(name).alias("ranker"), "n_suggestions", "n_errors"))
+    return union_all(lines)
 
 
 @query("preset_seeds", "select 'set '||p_type as name, case when p_type<'M' then 'mine' else 'preset' end as fields from (select distinct p_type from part)")
