@@ -7,45 +7,68 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_loose, osa_distance
 from ..model import NEAR_MAX_EDITS, NEAR_MAX_RATIO
+from ..session import settle
 from .common import first_per_key
 
 
-def deletions(text: Column, depth: Column) -> Column:
-    """Every string reachable by deleting up to `depth` (0-2) characters, the text itself included."""
+def allowed_edits(length: Column) -> Column:
+    """How many edits a known name of this length forgives."""
+    return F.least(F.lit(NEAR_MAX_EDITS), F.floor(length * NEAR_MAX_RATIO)).cast("int")
 
-    def without_one(s: Column) -> Column:
-        positions = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
-        return F.transform(positions, lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
 
-    once = without_one(text)
-    twice = F.flatten(F.transform(once, without_one))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(
-        F.concat(F.array(text), F.when(depth >= 1, once).otherwise(none), F.when(depth >= 2, twice).otherwise(none))
-    )
+def _segment(i: Column, length: Column, pieces: Column) -> tuple[Column, Column]:
+    """Where the i-th of `pieces` segments of a name of this length starts, and how long it is."""
+    start = F.floor(i * length / pieces).cast("int")
+    return start, F.floor((i + 1) * length / pieces).cast("int") - start
+
+
+def known_segments(known: Column) -> Column:
+    """A known name cut into one segment more than its edits can spoil: array of (length, i, segment)."""
+    n = F.length(known)
+    pieces = 2 * allowed_edits(n) + 1
+
+    def cut(i: Column) -> Column:
+        start, size = _segment(i, n, pieces)
+        return F.struct(n.alias("length"), i.alias("i"), F.substr(known, start + 1, size).alias("segment"))
+
+    return F.transform(F.sequence(F.lit(0), pieces - 1), cut)
+
+
+def needle_segments(needle: Column) -> Column:
+    """What each segment of a known name could be in the needle: for all lengths in reach, at all shifts its edits allow."""
+    m = F.length(needle)
+
+    def at_length(length: Column) -> Column:
+        allowed = allowed_edits(length)
+
+        def of_piece(i: Column) -> Column:
+            start, size = _segment(i, length, 2 * allowed + 1)
+
+            def shifted(d: Column) -> Column:
+                inside = (start + d >= 0) & (start + d + size <= m)
+                return F.when(inside, F.struct(length.alias("length"), i.alias("i"), F.substr(needle, start + d + 1, size).alias("segment")))
+
+            return F.transform(F.sequence(-allowed, allowed), shifted)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), 2 * allowed), of_piece))
+
+    lengths = F.sequence(m - NEAR_MAX_EDITS, m + NEAR_MAX_EDITS)
+    near = F.filter(lengths, lambda n: (n > 0) & (allowed_edits(n) >= F.greatest(F.lit(1), F.abs(n - m))))
+    return F.array_distinct(F.filter(F.flatten(F.transform(near, at_length)), lambda x: x.isNotNull()))
 
 
 def near_pairs(needles: DataFrame, known: DataFrame) -> DataFrame:
     """(needle, known, edits) within the edit bounds, over distinct strings.
 
-    Two strings within two edits, adjacent swaps included, share a string reachable from each
-    by as many deletions; so pairs come from an equi-join on those, never from all pairs,
-    and the exact distance is then verified once per surviving pair.
+    An edit spoils one segment of the known name, a swap of neighbours at most two; of 2 x allowed + 1 segments one therefore stands in the needle
+    as it was, moved by no more places than there are edits. Pairs come from an equi-join on (length, segment number, segment), and the exact distance
+    is verified once per pair. A name of n characters has 3 or 5 keys, a needle at most 105, and all of them together are a small multiple of its length.
     """
-    allowed = F.least(F.lit(NEAR_MAX_EDITS), F.floor(F.length("known") * NEAR_MAX_RATIO)).cast("int")
-    right = (
-        known.select("known").distinct().withColumn("_allowed", allowed).filter(F.col("_allowed") >= 1)
-        .withColumn("_v", F.explode(deletions(F.col("known"), F.col("_allowed"))))
-    )
-    left = needles.select("needle").distinct().withColumn("_v", F.explode(deletions(F.col("needle"), F.lit(NEAR_MAX_EDITS))))
-    pairs = (
-        left.join(right, "_v")
-        .filter(F.abs(F.length("needle") - F.length("known")) <= F.col("_allowed"))
-        .select("needle", "known", "_allowed")
-        .distinct()
-        .filter(F.levenshtein("needle", "known") <= 2 * F.col("_allowed"))
-    )
-    return pairs.withColumn("edits", osa_distance("needle", "known")).filter(F.col("edits") <= F.col("_allowed")).drop("_allowed")
+    right = known.select("known").distinct().filter(allowed_edits(F.length("known")) >= 1).select("known", F.explode(known_segments(F.col("known"))).alias("x")).select("known", "x.*")
+    left = needles.select("needle").distinct().select("needle", F.explode(needle_segments(F.col("needle"))).alias("x")).select("needle", "x.*")
+    allowed = allowed_edits(F.length("known"))
+    pairs = left.join(right, ["length", "i", "segment"]).select("needle", "known").distinct().filter(F.levenshtein("needle", "known") <= 2 * allowed)
+    return pairs.withColumn("edits", osa_distance("needle", "known")).filter(F.col("edits") <= allowed)
 
 
 def near_matches(columns: DataFrame, index: DataFrame, covered: DataFrame) -> DataFrame:
@@ -66,7 +89,7 @@ def near_matches(columns: DataFrame, index: DataFrame, covered: DataFrame) -> Da
         keys.filter(F.col("field_name").isNotNull()), "known"
     )
     exact = keys.select("schema_name", F.col("known").alias("needle"))
-    open_pairs = close.join(exact, ["schema_name", "needle"], "left_anti")
+    open_pairs = settle(close.join(exact, ["schema_name", "needle"], "left_anti"))  # four readers below
     best = open_pairs.groupBy("schema_name", "needle").agg(F.min("edits").alias("edits"))
     at_best = open_pairs.join(best, ["schema_name", "needle", "edits"])
     single = at_best.groupBy("schema_name", "needle").agg(F.min("field_name").alias("_a"), F.max("field_name").alias("_b")).filter("_a = _b").select("schema_name", "needle")

@@ -104,6 +104,18 @@ def test_near_pairs_against_all_pairs(spark):
     assert got == expected
 
 
+def test_near_pairs_of_long_headers(spark):
+    """A header of a thousand characters, its edits anywhere, swaps across segment borders included."""
+    base = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(1000))
+    spoiled = [base[:k] + base[k + 1] + base[k] + base[k + 2 :] for k in (0, 199, 200, 399, 998) if base[k] != base[k + 1]]
+    spoiled += [base[1:], base[:-1], base + "x", "x" + base[:500] + "y" + base[500:], base[:10] + base[12:], base[:600] + "##" + base[602:]]
+    needles = spark.createDataFrame([(n,) for n in [*spoiled, base[:400] + base[403:], base[::-1]]], "needle string")
+    got = {(r.needle, r.edits) for r in near.near_pairs(needles, spark.createDataFrame([(base,)], "known string")).collect()}
+    assert got == {(n, optimal_alignment(n, base)) for n in spoiled}
+    keys = spark.createDataFrame([(base,)], "w string").select(F.size(near.needle_segments(F.col("w"))), F.size(near.known_segments(F.col("w")))).first()
+    assert keys[0] <= 105 and keys[1] == 5
+
+
 def test_near_match_refuses_ties_and_covered_fields(spark):
     fields = spark.createDataFrame([("s", 0, "result"), ("s", 1, "resulk"), ("s", 2, "units"), ("s", 3, "analyte")], "schema_name string, pos int, name string")
     columns = spark.createDataFrame([("d", 0, "Resulx"), ("d", 1, "Untis"), ("d", 2, "Analyte"), ("d", 3, "Analytes"), ("d", 4, "")], "dataset_id string, col_idx int, header string")
