@@ -191,6 +191,18 @@ def _tile_rows(df: DataFrame, text: str, n: int, p: int, q: int) -> DataFrame:
     return map_rows(df.select(F.col(text).alias("text")), tiles, "tile bigint, h bigint")
 
 
+def _distinct_tiles(rows: DataFrame) -> DataFrame:
+    """(tile, h, weight): the tiles with two sets or more, of those with the same members one. `weight` sums up the members of all that it stands for.
+
+    Near copies agree in most of their parts, so a pair meets in some hundred tiles; one that holds the same sets says all that the others do.
+    A tile's members are named by the exclusive or of two hashes of each.
+    """
+    of_tile = Window.partitionBy("tile")
+    named = {"m": F.count("*").over(of_tile), "x1": F.bit_xor(F.xxhash64(F.lit(1), "h")).over(of_tile), "x2": F.bit_xor(F.xxhash64("h", F.lit(2))).over(of_tile)}
+    met = rows.repartition("tile").distinct().withColumns(named).filter("m > 1")
+    return met.groupBy("m", "x1", "x2", "h").agg(F.min("tile").alias("tile"), F.sum("m").alias("weight")).select("tile", "h", "weight")
+
+
 def _sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """(h, node, items) of the sets of the texts in `wanted` (xh, dk), one text for each set.
 
@@ -296,7 +308,10 @@ def _tile_pairs(places: DataFrame, roots: DataFrame, shapes: DataFrame, p: int,
                     held = []
         yield _pair_batch(held)
 
-    dealt = tiles.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    # An explicit number: these rows are few for the work in them, and would be coalesced by their size.
+    spark = tiles.sparkSession
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = tiles.repartition(many, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     return dealt.mapInArrow(compare, "tile bigint, x bigint, y bigint")
 
 
@@ -342,11 +357,9 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     """
     p, q, spark = similar, of, df.sparkSession
     members = settled(member_rows(df, doc_id, text, n, p, q), "set-members")
-    of_tile = Window.partitionBy("tile")
-    tiles = _tile_rows(df, text, n, p, q).withColumns({"lo": F.min("h").over(of_tile), "hi": F.max("h").over(of_tile), "m": F.count("*").over(of_tile)})
-    tiles = settled(tiles.filter("lo < hi").select("tile", "h", "m").distinct(), "tiles")
+    tiles = settled(_distinct_tiles(_tile_rows(df, text, n, p, q)), "tiles")
     release(spark)
-    places, degrees = tiles.select("tile", "h"), settled(tiles.groupBy("h").agg(F.sum("m").alias("degree")), "degrees")
+    places, degrees = tiles.select("tile", "h"), settled(tiles.groupBy("h").agg(F.sum("weight").alias("degree")), "degrees")
     drawn = members.filter("node is not null").groupBy("node", "h").agg(
         F.min(F.struct("xh", "dk")).alias("t"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")
     )
