@@ -2,49 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TRANSPOSED_MARGIN, WIDE_MATRIX_MIN_COLUMNS, WIDE_MATRIX_MIN_FRACTION
+from ..session import settle
 from .header import SHEET_KEY, cell_identity, is_blank_row
 
 KINDS = ("str", "num", "bool", "date")
 
 
-def row_facts(region: DataFrame, keys: list[str]) -> DataFrame:
-    """P8 and P10 inputs: one aggregate over the region, no cell leaves its row.
+def region_facts(region: DataFrame, keys: list[str]) -> DataFrame:
+    """P8, P9, P10 and P12 in one pass over the region: one row per sheet.
 
-    P10 per row is the share of its commonest type, column 0 left out; an empty rest counts as one.
+    Cells are counted by column with partial sums; what is known of a whole row rides on its first cell, so rows are counted by the same aggregate.
+    A sheet's columns then fold into one row. P10 per row is the share of its commonest type, column 0 left out; an empty rest counts as one.
     """
-    kinds = region.select(*keys, "row_idx", F.transform("cells", lambda c: c["t"]).alias("_k"), is_blank_row(F.col("cells")).alias("_blank"))
+    kinds = region.select(*keys, "row_idx", "cells", F.transform("cells", lambda c: c["t"]).alias("_k"), is_blank_row(F.col("cells")).alias("_blank"))
     rest = kinds.withColumn("_rest", F.array_remove(F.slice("_k", 2, F.greatest(F.size("_k") - 1, F.lit(0))), "blank"))
 
     def of_kind(kind: str) -> Column:
         return F.size("_rest") - F.size(F.array_remove("_rest", kind))
 
-    counted = rest.withColumn("_most", F.greatest(*[of_kind(k) for k in KINDS]))
-    majority = F.when(F.size("_rest") > 0, F.col("_most") / F.size("_rest")).otherwise(1.0)
-    return counted.select(
-        *keys, "row_idx", F.size("_k").alias("_width"), "_blank", majority.alias("_majority"), F.try_element_at(F.col("_k"), F.lit(1)).alias("_t"),
-    ).groupBy(*keys).agg(
-        F.max("_width").alias("width"),
-        F.min(F.when(F.col("_blank"), F.col("row_idx"))).alias("first_blank"),
-        F.max(F.when(F.col("_blank"), F.col("row_idx"))).alias("last_blank"),
-        F.min(F.when(~F.col("_blank"), F.col("row_idx"))).alias("first_filled"),
-        F.max(F.when(~F.col("_blank"), F.col("row_idx"))).alias("last_filled"),
-        (F.sum("_majority") / F.count("*")).alias("row_homogeneity"),
-        F.count_if(F.col("_t").isNotNull() & (F.col("_t") != "blank")).alias("first_values"),
-        F.count_if(F.col("_t") == "str").alias("first_strings"),
+    share = F.when(F.size("_rest") > 0, F.greatest(*map(of_kind, KINDS)) / F.size("_rest")).otherwise(1.0)
+    rows = rest.select(*keys, "row_idx", "cells", F.size("_k").alias("_width"), "_blank", share.alias("_share"))
+    # The outer form: a row without cells is still a row, and the plain one would add a filter that works the cells out a second time.
+    cells = rows.select(*keys, "row_idx", "_width", "_blank", "_share", F.posexplode_outer("cells").alias("_at", "c")).withColumn("col_idx", F.coalesce("_at", F.lit(-1)))
+    whole, row = F.col("col_idx") <= 0, F.col("row_idx")
+    number = F.when(F.col("c.t") == "num", F.col("c.v").try_cast("double"))
+    columns = cells.groupBy(*keys, "col_idx").agg(
+        *[F.count_if(F.col("c.t") == k).alias(f"n_{k}") for k in KINDS], F.min(number).alias("low"), F.max(number).alias("high"),
+        F.count_if(F.col("c.t").isNotNull() & (F.col("c.t") != "blank")).alias("n_filled"),
+        F.max(F.when(whole, F.col("_width"))).alias("width"), F.sum(F.when(whole, F.col("_share"))).alias("shares"), F.count_if(whole).alias("n_rows"),
+        F.min(F.when(whole & F.col("_blank"), row)).alias("first_blank"), F.max(F.when(whole & F.col("_blank"), row)).alias("last_blank"),
+        F.min(F.when(whole & ~F.col("_blank"), row)).alias("first_filled"), F.max(F.when(whole & ~F.col("_blank"), row)).alias("last_filled"),
+    )
+    columns = _with_majority(columns)
+    real, first = F.col("col_idx") >= 0, F.col("col_idx") == 0
+    numeric = real & (F.col("n_values") >= 2) & (F.col("n_num") == F.col("n_values"))
+    return columns.groupBy(*keys).agg(
+        F.max("width").alias("width"), F.min("first_blank").alias("first_blank"), F.max("last_blank").alias("last_blank"),
+        F.min("first_filled").alias("first_filled"), F.max("last_filled").alias("last_filled"), (F.sum("shares") / F.sum("n_rows")).alias("row_homogeneity"),
+        F.coalesce(F.sum(F.when(first, F.col("n_filled"))), F.lit(0)).alias("first_values"), F.coalesce(F.sum(F.when(first, F.col("n_str"))), F.lit(0)).alias("first_strings"),
+        (F.sum(F.when(real, F.col("majority"))) / F.count_if(real)).alias("column_homogeneity"),
+        largest_cluster(F.collect_list(F.when(numeric, F.struct("low", "high", "col_idx")))).alias("cluster"),
     )
 
 
-def column_types(region: DataFrame, keys: list[str]) -> DataFrame:
-    """P9 and P12 inputs per column: type counts and the numeric range; partial sums before the shuffle."""
-    # The outer form: the plain one adds a filter that would work the cells out a second time.
-    cells = region.select(*keys, F.posexplode_outer("cells").alias("col_idx", "c")).filter(F.col("col_idx").isNotNull())
-    number = F.when(F.col("c.t") == "num", F.col("c.v").try_cast("double"))
-    counts = [F.count_if(F.col("c.t") == k).alias(f"n_{k}") for k in KINDS]
-    grouped = cells.groupBy(*keys, "col_idx").agg(*counts, F.min(number).alias("low"), F.max(number).alias("high"))
+def largest_cluster(ranges: Column) -> Column:
+    """P12 over a sheet's ranges (low, high): the size of the largest group chained by overlaps, 0 without a range. One run in order of the starts."""
+    start = F.struct(F.lit(None).cast("double").alias("reach"), F.lit(0).alias("size"), F.lit(0).alias("most"))
+
+    def step(s: Column, r: Column) -> Column:
+        size = F.when(r["low"] > s["reach"], 1).otherwise(s["size"] + 1)
+        return F.struct(F.greatest(s["reach"], r["high"]).alias("reach"), size.alias("size"), F.greatest(s["most"], size).alias("most"))
+
+    return F.aggregate(F.sort_array(ranges), start, step, lambda s: s["most"])
+
+
+def _with_majority(grouped: DataFrame) -> DataFrame:
+    """The share of each column's commonest type; one where it has no values."""
     total = sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}"))
     return grouped.withColumn("n_values", total).withColumn(
         "majority",
@@ -52,19 +69,6 @@ def column_types(region: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def overlap_clusters(columns: DataFrame, keys: list[str]) -> DataFrame:
-    """Size of the largest group of numeric columns chained by overlapping value ranges.
-
-    Ranges sorted by their start; a new group begins where a start exceeds every earlier end.
-    """
-    numeric = columns.filter((F.col("n_values") >= 2) & (F.col("n_num") == F.col("n_values")))
-    ordered = Window.partitionBy(*keys).orderBy("low", "high", "col_idx")
-    reach = F.max("high").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce((F.col("low") > reach).cast("int"), F.lit(0))
-    groups = numeric.withColumn("_new", begins).withColumn("_group", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    return groups.groupBy(*keys, "_group").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.max("_n").alias("cluster"))
-
-
 def unique_first_column(region: DataFrame, suspects: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct first-column texts, counted only for the sheets where the answer matters."""
     first = F.try_element_at(F.col("cells"), F.lit(1))
@@ -74,13 +78,9 @@ def unique_first_column(region: DataFrame, suspects: DataFrame, keys: list[str])
 
 def shape_facts(region: DataFrame, keys: list[str] = SHEET_KEY) -> DataFrame:
     """Everything P7 decides on, one row per sheet."""
-    facts = row_facts(region, keys)
-    columns = column_types(region, keys)
-    homogeneity = columns.groupBy(*keys).agg((F.sum("majority") / F.count("*")).alias("column_homogeneity"))
-    joined = facts.join(homogeneity, keys, "left").join(overlap_clusters(columns, keys), keys, "left")
-    judged = joined.withColumn(
+    judged = settle(region_facts(region, keys).withColumn(
         "inverted", (F.col("row_homogeneity") - F.coalesce("column_homogeneity", F.lit(0.0))) >= TRANSPOSED_MARGIN
-    )
+    ))
     suspects = judged.filter(F.col("inverted") & (F.col("first_values") > 0) & (F.col("first_strings") == F.col("first_values")))
     return judged.join(unique_first_column(region, suspects, keys), keys, "left")
 
