@@ -11,6 +11,7 @@ from ..functions.text import strip
 from ..model import EVIDENCE_LEAD_IN, EVIDENCE_ROWS, LAYOUT_CONFIRMATION_BAR, Tables, dataset_id
 from ..session import settle
 from ..sources.frames import filled_row, pad_row, stringify_row
+from .common import running_sum
 from .header import SHEET_KEY, blank_cell, disambiguate_labels, header_texts
 
 LAYOUT_KINDS = ("row_per_record", "key_value", "wide_matrix", "multiple_tables", "not_a_table", "unknown")
@@ -259,17 +260,21 @@ def unpivot_key_value(grid: DataFrame, layouts: DataFrame) -> Tables:
         F.coalesce(strip(cell(F.col("label_column"))["v"]), F.lit("")).alias("label"),
         F.transform("value_columns", lambda c: text(cell(c))).alias("values"),
     ).filter((F.col("label") != "") | F.exists("values", lambda v: strip(v) != ""))
-    entries = picked.select("*", F.posexplode("values").alias("value_idx", "v")).drop("values")
-    ordered = Window.partitionBy("dataset_id").orderBy("block_idx", "row_idx", F.when(F.col("melt"), 0).otherwise(F.col("value_idx")))
-    placed = settle(entries.withColumn("col_idx", F.dense_rank().over(ordered) - 1))
+    # Ranks without a window over a sheet: places inside a block by running sums, on top of the totals of the sheet's few blocks.
+    values = F.size("values")
+    labels = F.when(values == 0, 0).when(F.col("melt"), 1).otherwise(values)
+    inside = running_sum(picked, ["dataset_id", "block_idx"], "row_idx", labels, "_before")
+    blocks = picked.groupBy("dataset_id", "block_idx").agg(F.sum(labels).alias("_labels"), F.max(values).alias("_records"))
+    earlier = Window.partitionBy("dataset_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("dataset_id", "block_idx", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_labels", "_records")))
+    entries = inside.join(starts, ["dataset_id", "block_idx"]).select("*", F.posexplode("values").alias("value_idx", "v"))
+    spot = F.col("_labels") + F.col("_before") + F.when(F.col("melt"), 0).otherwise(F.col("value_idx"))
+    record = F.when(F.col("melt"), F.col("_records") + F.col("value_idx")).otherwise(0)
+    placed = settle(entries.select("dataset_id", "file_id", "sheet", "label", "v", spot.cast("int").alias("col_idx"), record.alias("record")))
     columns = disambiguate_labels(placed.select("dataset_id", "col_idx", F.col("label").alias("header")).distinct())
-    records = Window.partitionBy("dataset_id").orderBy(
-        F.when(F.col("melt"), F.col("block_idx")).otherwise(0), F.when(F.col("melt"), F.col("value_idx")).otherwise(0)
-    )
-    keyed = placed.withColumn("record", F.dense_rank().over(records) - 1)
     widths = columns.groupBy("dataset_id").agg((F.max("col_idx") + 1).alias("_width"))
     rows = (
-        keyed.groupBy("dataset_id", "record").agg(F.array_sort(F.collect_list(F.struct("col_idx", F.col("v").alias("cell")))).alias("_e"))
+        placed.groupBy("dataset_id", "record").agg(F.array_sort(F.collect_list(F.struct("col_idx", F.col("v").alias("cell")))).alias("_e"))
         .join(widths, "dataset_id")
         .select("dataset_id", F.col("record").cast("bigint").alias("row_idx"), pad_row(filled_row("_e", F.lit("")), F.col("_width")).alias("cells"))
     )

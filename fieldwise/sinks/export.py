@@ -9,6 +9,7 @@ from ..functions.text import is_blank, slug
 from ..model import SOURCE_SHEET, FieldSet
 from ..operators.convert import value_source
 from ..operators.matching import with_norm, with_occurrence
+from ..session import settle
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -99,29 +100,30 @@ def safe_names(members: DataFrame) -> DataFrame:
     """file_id, idx, name -> safe, unique inside a file by an index suffix.
 
     The first of equal names keeps it, later ones take their index. Only files in which such a name meets another
-    fold their list in order, trying longer suffixes.
+    are settled in rounds.
     """
     same = Window.partitionBy("file_id", "_safe").orderBy("idx")
     safe = members.select("file_id", "idx", safe_name(F.col("name"), F.col("idx")).alias("_safe")).withColumn("_k", F.row_number().over(same))
     named = safe.withColumn("safe", F.when(F.col("_k") == 1, F.col("_safe")).otherwise(F.concat_ws("_", "_safe", F.col("idx").cast("string"))))
     clashes = named.groupBy("file_id", "safe").agg(F.count("*").alias("_n")).filter("_n > 1").select("file_id").distinct()
     plain = named.join(clashes, "file_id", "left_anti").select("file_id", "idx", "safe")
-    return plain.unionByName(_fold_names(safe.join(clashes, "file_id", "left_semi")))
+    return plain.unionByName(_settle_names(safe.join(clashes, "file_id", "left_semi")))
 
 
-def _fold_names(safe: DataFrame) -> DataFrame:
-    lists = safe.select("file_id", F.struct("idx", F.col("_safe").alias("safe")).alias("_m")).groupBy("file_id").agg(
-        F.array_sort(F.collect_list("_m")).alias("_ms")
-    )
-
-    def fold(used: Column, m: Column) -> Column:
-        suffix = F.concat(F.lit("_"), m["idx"].cast("string"))
-        tries = F.transform(F.sequence(F.lit(0), F.size(used)), lambda k: F.concat(m["safe"], F.repeat(suffix, k)))
-        free = F.filter(tries, lambda t: ~F.array_contains(used, t))
-        return F.concat(used, F.array(F.element_at(free, 1)))
+def _settle_names(safe: DataFrame) -> DataFrame:
+    """(file_id, idx, safe) as if names were given one by one, each taking its index until it is new.
 
-    named = F.aggregate("_ms", F.array().cast("array<string>"), fold)
-    return lists.select("file_id", F.inline(F.zip_with("_ms", named, lambda m, n: F.struct(m["idx"].alias("idx"), n.alias("safe")))))
+    In rounds over all files: of the members that stand at one name the first keeps it, the others take their next suffix. Whoever loses a name
+    loses it to an earlier member, and the name stays with one, so the fixed point is the one-by-one answer.
+    """
+    held = settle(safe.select("file_id", "idx", F.col("_safe").alias("safe")))
+    while True:
+        first = held.groupBy("file_id", "safe").agg(F.min("idx").alias("_first"))
+        judged = held.join(first, ["file_id", "safe"])
+        late = F.col("idx") > F.col("_first")
+        if judged.filter(late).isEmpty():
+            return held
+        held = settle(judged.select("file_id", "idx", F.when(late, F.concat_ws("_", "safe", F.col("idx").cast("string"))).otherwise(F.col("safe")).alias("safe")))
 
 
 def member_names(members: DataFrame) -> DataFrame:

@@ -44,6 +44,18 @@ def test_safe_names_like_one_by_one(spark):
         assert [r.safe for r in safe_names(df).orderBy("idx").collect()] == one_by_one(names)
 
 
+def test_safe_names_of_a_large_file_with_clashes(spark):
+    names = ["q"] * 20_000 + [f"q_{k}" for k in range(15_000, 25_000)] + ["a", "a_2", "a"]
+    used, expected = set(), []
+    for idx, name in enumerate(names):
+        while name in used:
+            name = f"{name}_{idx}"
+        used.add(name)
+        expected.append(name)
+    df = spark.createDataFrame([("f", i, n) for i, n in enumerate(names)], "file_id string, idx int, name string")
+    assert [r.safe for r in safe_names(df).orderBy("idx").collect()] == expected
+
+
 def test_member_names_of_untitled_rows(spark):
     df = spark.createDataFrame(
         [("f", "s", None, None, "l"), ("f", "s", 0, None, "r1"), ("f", "s", 1, "", "r2"), ("f", "s", 2, "t", "r3"), ("f", "s", 3, "t", "r4"), ("f", "s", 4, "u", "r5")],
