@@ -23,8 +23,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+READ: set[str] = set()  # the given tables read since the set was last cleared
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, as stored; the session's split size sets how many tasks read it."""
+    READ.add(f"{sf_dir}/{name}.parquet")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
