@@ -24,8 +24,8 @@ class Template:
     must: tuple[str, ...]
 
 
-# Notices as their licenses word them; a full text's opening stands for the text.
-TEMPLATES = (
+# Notices as their licenses word them.
+NOTICES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
     Template(
         "apache-2.0",
@@ -41,6 +41,20 @@ TEMPLATES = (
     ),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template("gpl-3.0", "gnu general public license version 3", ("gnu general public license", "version 3")),
+    Template("gpl-2.0", "gnu general public license version 2", ("gnu general public license", "version 2")),
+    *(
+        Template(
+            f"gpl-{v}.0",
+            "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+            f" {v} of the license or at your option any later version",
+            ("gnu general public license", f"version {v}"),
+        )
+        for v in "32"
+    ),
+    Template("agpl", "under the terms of the gnu affero general public license", ("affero general public license",)),
+    Template("epl-2.0", "made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    Template("cc0-1.0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
     Template("lgpl", "under the terms of the gnu lesser general public license", ("lesser general public license",)),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa",)),
@@ -55,6 +69,77 @@ TEMPLATES = (
     Template("proprietary", "all rights reserved", ("all rights reserved",)),
 )
 
+# Texts of licenses, whole but for numbered clauses, which stand each by themselves: text with a number in between is out of step.
+TEXTS = (
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the"
+        " software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and"
+        " to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be"
+        " included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not"
+        " limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for"
+        " any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other"
+        " dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and"
+        " this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all"
+        " implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages"
+        " whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the"
+        " use or performance of this software",
+    ),
+    (
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"
+        " the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to"
+        " whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license"
+        " grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software"
+        " unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor",
+    ),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    (
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other"
+        " materials provided with the distribution",
+    ),
+    (
+        "bsd",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific"
+        " prior written permission",
+    ),
+    (
+        "bsd",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties"
+        " of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this"
+        " software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject"
+        " to the following restrictions",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in"
+        " source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+)
+
+PASSAGE, STEP = 32, 16  # words of a text's passages, which overlap
+
+
+def passages(label: str, text: str) -> list[Template]:
+    """A license text as overlapping templates; the three words running with most letters are a passage's key phrase."""
+    words = text.split()
+    starts = range(0, max(len(words) - PASSAGE + STEP, 1), STEP)
+    cut = [words[a : a + PASSAGE] for a in starts]
+    keys = [max((w[i : i + 3] for i in range(len(w) - 2)), key=lambda p: sum(map(len, p))) for w in cut]
+    return [Template(label, " ".join(w), (" ".join(k),)) for w, k in zip(cut, keys, strict=True)]
+
+
+TEMPLATES = (*NOTICES, *(t for label, text in TEXTS for t in passages(label, text)))
+
 RARE = 3  # index words of a template: its rarest
 MIN_ALIGNED = 0.6  # share of the index words that must meet at one relative position
 MIN_SHARE = 0.6  # share of a template's words that must then stand in place

@@ -372,6 +372,40 @@ def test_licenses(spark, odd, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_by_title_notice_and_whole_text(spark):
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    whole = dict(licenses.TEXTS[:3])
+    texts = ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", notice.format(3), notice.format(2), *(t.capitalize() for t in whole.values())]
+    texts += [" ".join(t.split()[60:100]) for t in whole.values()]  # a part of a text
+    texts += [" ".join(reversed(t.split())) for t in whole.values()] + ["the software is free to use and to copy for any purpose"]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [["gpl", "gpl-3.0"], ["gpl", "gpl-3.0"], ["gpl", "gpl-2.0"], *[["mit"], ["isc"], ["bsl-1.0"]] * 2, [], [], [], []]
+
+
+def test_places_are_those_of_a_plain_matcher(spark):
+    r, index = rng(31), licenses.postings(licenses.TEMPLATES)
+    texts = []
+    for t in licenses.TEMPLATES:
+        ws = t.text.split()
+        for edits in (0, 1, 3, len(ws) // 3):
+            copy = [*words(r, r.randrange(4)), *ws, *words(r, 3)]
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = "edited"
+            texts.append(" ".join(copy))
+    got = {x.doc_id: set(x.labels) - set(x.base_labels) for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ws, expected = text.split(), set()
+        for k, t in enumerate(licenses.TEMPLATES):
+            spots, own = [(w, at) for w, j, at, _ in index if j == k], t.text.split()
+            for base in range(-len(own), len(ws)):
+                aligned = sum(0 <= base + at < len(ws) and ws[base + at] == w for w, at in spots)
+                there = [(a, ws[base + n]) for n, a in enumerate(own) if 0 <= base + n < len(ws)]
+                line = f" {' '.join(b for _, b in there)} "
+                if aligned >= math.ceil(licenses.MIN_ALIGNED * len(spots)) and sum(a == b for a, b in there) / len(own) >= licenses.MIN_SHARE and all(f" {m} " in line for m in t.must):
+                    expected.add(t.label)
+        assert got[i] == expected, text
+
+
 # ---- near copies ----
 
 
