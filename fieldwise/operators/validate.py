@@ -147,7 +147,7 @@ def verdicts(rows: DataFrame, checks: DataFrame) -> DataFrame:
 def _verdict_pass(rows: DataFrame, checks: DataFrame, slots: list[Slot]) -> DataFrame:
     at = range(len(slots))
     spot = F.struct(*_SPOT, "source_column")
-    record = checks.groupBy("dataset_id").agg(*(F.max(F.when(s.of, spot)).alias(f"_s{k}") for k, s in enumerate(slots)))
+    record = checks.groupBy("dataset_id").agg(F.count("*").alias("_checks"), *(F.max(F.when(s.of, spot)).alias(f"_s{k}") for k, s in enumerate(slots)))
     staged = rows.join(record, "dataset_id")
     staged = staged.select(
         "dataset_id", "row_idx", *(f"_s{k}" for k in at), *(raw_value(F.col("cells"), F.col(f"_s{k}.col_idx"), F.col(f"_s{k}.constant")).alias(f"_r{k}") for k in at)
