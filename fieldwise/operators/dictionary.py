@@ -13,12 +13,13 @@ are settled by a mergeable minimum, so a key repeated in a third of the log is n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..model import HINT, MAX_FIELDS
-from .common import first_per_key
+from ..session import settle
+from .common import BLOCK_ROWS, first_per_key
 from .matching import stored_mapping
 
 SCHEMAS = "schema_id string, schema_name string, created_by string, created_at timestamp, seq bigint, removed_at timestamp, removed_by string"
@@ -274,16 +275,18 @@ MASTER_FIELD = (
     "struct<name:string,description:string,type:string,allowed_values:array<string>,unit:string,required:boolean,"
     f"min:double,max:double,date_format:string,aliases:array<{MASTER_ALIAS}>>"
 )
-MASTER_MAP = f"struct<schema_version:int,id:string,name:string,created_by:string,created_at:string,fields:array<{MASTER_FIELD}>>"
+MASTER_MAP = f"struct<schema_version:int,id:string,name:string,created_by:string,created_at:string,first:int,fields:array<{MASTER_FIELD}>>"
 
 
 ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+PART_ENTRIES = 2_000  # fields and aliases one document tells; a larger dictionary is told by several
 
 
-def export_master_map(schemas: DataFrame, fields: DataFrame, aliases: DataFrame) -> DataFrame:
-    """schema_name, envelope: one JSON document per live schema, fields and aliases in order.
+def export_master_map(schemas: DataFrame, fields: DataFrame, aliases: DataFrame, part_entries: int = PART_ENTRIES) -> DataFrame:
+    """schema_name, envelope: live schemas as JSON documents, fields and aliases in order.
 
-    A schema's dictionary is one document by contract; only dictionary rows are collected.
+    A schema of up to `part_entries` fields and aliases is one document. A larger one is several of about that size, and all but its first name the
+    position of their `first` field. Positions are counted in blocks, like line numbers. What stays together is one field with its aliases.
     """
     alias = F.struct("seq", F.struct(
         "vendor", "source_column", "provenance_kind", "provenance_actor",
@@ -291,21 +294,36 @@ def export_master_map(schemas: DataFrame, fields: DataFrame, aliases: DataFrame)
     ).alias("a"))
     grouped = live_aliases(aliases, fields).groupBy("field_id").agg(F.array_sort(F.collect_list(alias)).alias("_a"))
     none = F.array().cast(f"array<{MASTER_ALIAS}>")
-    entry = F.struct("seq", F.struct(
+    entry = F.struct(
         "name", "description", "type", "allowed_values", "unit", "required", "min", "max", "date_format",
         F.coalesce(F.transform("_a", lambda x: x["a"]), none).alias("aliases"),
-    ).alias("f"))
-    nested = live(fields).join(grouped, "field_id", "left").groupBy("schema_id").agg(F.array_sort(F.collect_list(entry)).alias("_f"))
+    )
+    block = F.coalesce(F.floor(F.col("seq") / BLOCK_ROWS), F.lit(-(1 << 62)))  # fields without a number come first
+    size = 1 + F.coalesce(F.size("_a"), F.lit(0))
+    entries = settle(live(fields).join(grouped, "field_id", "left").select("schema_id", "field_id", "seq", block.alias("_block"), size.cast("bigint").alias("_size"), entry.alias("f")))
+    sums = entries.groupBy("schema_id", "_block").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    blocks = Window.partitionBy("schema_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("schema_id", "_block").orderBy("seq", "field_id", "f.name").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    head = ["schema_name", "created_by", F.date_format("created_at", ISO_TIME).alias("created_at")]
+    named = live(schemas).select("schema_id", *head)
+    starts = settle(sums.select("schema_id", "_block", before("_n", blocks).alias("_fields"), before("_sum", blocks).alias("_entries"))).join(named, "schema_id")
+    placed = entries.withColumn("_at", before(F.lit(1), inside)).withColumn("_told", before("_size", inside)).join(starts, ["schema_id", "_block"])
+    placed = placed.withColumn("pos", (F.col("_fields") + F.col("_at")).cast("int")).withColumn("part", F.floor((F.col("_entries") + F.col("_told")) / part_entries))
+    nested = placed.groupBy("schema_id", "schema_name", "created_by", "created_at", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "f"))).alias("_f"))
+    empty = named.join(sums.select("schema_id").distinct(), "schema_id", "left_anti")
+    told = nested.unionByName(empty, allowMissingColumns=True)
+    first = F.try_element_at("_f", F.lit(1))["pos"]
     envelope = F.struct(
-        F.lit(1).alias("schema_version"), F.col("schema_id").alias("id"), F.col("schema_name").alias("name"), "created_by",
-        F.date_format("created_at", ISO_TIME).alias("created_at"),
+        F.lit(1).alias("schema_version"), F.col("schema_id").alias("id"), F.col("schema_name").alias("name"), "created_by", "created_at",
+        F.when(first > 0, first).alias("first"),
         F.coalesce(F.transform("_f", lambda x: x["f"]), F.array().cast(f"array<{MASTER_FIELD}>")).alias("fields"),
     )
-    return live(schemas).join(nested, "schema_id", "left").select("schema_name", F.to_json(envelope, {"ignoreNullFields": "true"}).alias("envelope"))
+    return told.select("schema_name", F.to_json(envelope, {"ignoreNullFields": "true"}).alias("envelope"))
 
 
 def read_master_maps(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Envelopes (map_id, envelope) as (fields with nested aliases, errors)."""
+    """Envelopes (map_id, envelope) as (fields with nested aliases, errors). Documents of one map share its id; positions count from their `first`."""
     parsed = envelopes.select("map_id", F.from_json("envelope", MASTER_MAP).alias("m"), F.from_json("envelope", "struct<fields:string>").alias("raw"))
     list_given = F.coalesce(F.trim("raw.fields"), F.lit("")).startswith("[")
     nameless = F.exists(F.coalesce("m.fields", F.array().cast(f"array<{MASTER_FIELD}>")), lambda f: F.coalesce(f["name"], F.lit("")) == "")
@@ -315,8 +333,8 @@ def read_master_maps(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(nameless, "every field needs a name")
     )
     judged = parsed.withColumn("error", error)
-    fields = judged.filter(F.col("error").isNull()).select("map_id", F.col("m.name").alias("schema_name"), F.posexplode("m.fields").alias("pos", "f")).select(
-        "map_id", "schema_name", "pos", "f.*"
+    fields = judged.filter(F.col("error").isNull()).select("map_id", F.col("m.name").alias("schema_name"), F.coalesce("m.first", F.lit(0)).alias("_first"), F.posexplode("m.fields").alias("_at", "f")).select(
+        "map_id", "schema_name", (F.col("_first") + F.col("_at")).alias("pos"), "f.*"
     )
     return fields, judged.filter(F.col("error").isNotNull()).select("map_id", "error")
 
@@ -332,6 +350,7 @@ def master_map_aliases(map_fields: DataFrame) -> DataFrame:
 def import_master_map(fields: DataFrame, aliases: DataFrame, target_schema_id: str, envelopes: DataFrame, imported_at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fields, aliases, errors). Adds what is missing (G3, then G4); stored provenance is kept."""
     map_fields, errors = read_master_maps(envelopes)
+    map_fields = settle(map_fields)  # read for the fields, their ids and the aliases
     target = F.lit(target_schema_id)
     incoming = map_fields.select(
         field_id(target, F.col("name"), imported_at).alias("field_id"), target.alias("schema_id"), (F.col("pos") + 1_000_000).cast("bigint").alias("seq"),
