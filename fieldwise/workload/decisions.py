@@ -285,7 +285,7 @@ def map_imports(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("removed_at"), F.lit(None).cast("string").alias("removed_by"),
     )
     maps = dictionary.export_master_map(schemas, fields, alias_rows(spark, sf)).select(F.col("schema_name").alias("map_id"), "envelope")
-    no_fields, no_aliases = fields.filter("seq < 0"), alias_rows(spark, sf).filter("seq < 0")
+    no_fields, no_aliases = spark.createDataFrame([], dictionary.FIELDS), spark.createDataFrame([], dictionary.ALIASES)
     got_fields, got_aliases, _ = dictionary.import_master_map(no_fields, no_aliases, "target", maps, at)
     counted = got_aliases.groupBy("field_id").agg(F.count("*").alias("n_aliases"))
     source = fields.filter("removed_at is null").select("name", F.col("schema_id").alias("from_brand"))
