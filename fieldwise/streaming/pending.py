@@ -41,11 +41,14 @@ TRANSITION = "token string, at timestamp, state string, created_at timestamp, co
 REJECTED = ("late", "unknown")
 
 
+BUCKETS = 2_048  # keys of the state: a call to the state store costs as much as thousands of events, so tokens share them
+
+
 class Review(StatefulProcessor):
-    """One token's review: live from its opening, confirmed or expired after that, and late for a confirmation that comes later still.
+    """The reviews of one bucket of tokens: each live from its opening, confirmed or expired after that, and late for a confirmation that comes later still.
 
     Events wait in the state until the watermark passes them, and are taken in event time, so the answer does not depend on the order of
-    arrival. Timers fire at each event, at the deadline, and when the closed review may be forgotten; nothing is kept beyond that.
+    arrival. One timer is armed for the next event, deadline, or moment at which a closed review may be forgotten; nothing is kept beyond that.
     """
 
     def __init__(self, ttl_hours: int, remember_hours: int):
@@ -53,79 +56,100 @@ class Review(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at timestamp, kind string")
-        self.review = handle.getValueState("review", "created_at timestamp, deadline bigint, state string")
+        self.waiting = handle.getListState("waiting", "token string, at timestamp, kind string")
+        self.reviews = handle.getListState("reviews", "token string, created_at timestamp, deadline bigint, state string")
+        self.armed = handle.getValueState("armed", "moment bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = sorted([*(tuple(w) for w in self.waiting.get()), *((r.at, r.kind) for r in rows)], key=_order)
-        yield from self._advance(key, held, timerValues)
+        yield from self._advance([(r.token, r.at, r.kind) for r in rows], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._advance(key, sorted((tuple(w) for w in self.waiting.get()), key=_order), timerValues)
+        yield from self._advance([], timerValues)
 
-    def _advance(self, key, held, timers):
+    def _advance(self, arrived, timers):
         """Takes all events and deadlines up to the watermark, in order."""
         now = timers.getCurrentWatermarkInMs()
-        past, later = [e for e in held if _millis(e[0]) <= now], [e for e in held if _millis(e[0]) > now]
-        kept = self.review.get() if self.review.exists() else None
-        created, deadline, state = kept if kept else (None, None, None)
-        for at, kind in past:
+        waited = [tuple(w) for w in self.waiting.get()]
+        held = [*waited, *arrived]
+        past, later = [e for e in held if _millis(e[1]) <= now], [e for e in held if _millis(e[1]) > now]
+        kept = {token: tuple(review) for token, *review in self.reviews.get()}
+        reviews = dict(kept)
+        for token, at, kind in sorted(past, key=_order):
+            created, deadline, state = reviews.get(token, (None, None, None))
             if state == "live" and _millis(at) >= deadline:
                 state = "expired"
-                yield Row(token=key[0], at=created + timedelta(milliseconds=self.ttl), state=state, created_at=created, confirmed_at=None)
+                yield self._expired(token, created)
             if kind == OPENED and state is None:
                 created, deadline, state = at, _millis(at) + self.ttl, "live"
-                yield Row(token=key[0], at=at, state=state, created_at=at, confirmed_at=None)
+                yield Row(token=token, at=at, state=state, created_at=at, confirmed_at=None)
             elif kind == CONFIRMED and state == "live":
                 state = "confirmed"
-                yield Row(token=key[0], at=at, state=state, created_at=created, confirmed_at=at)
+                yield Row(token=token, at=at, state=state, created_at=created, confirmed_at=at)
             elif kind == CONFIRMED and state in (None, "expired"):
                 said = "unknown" if state is None else "late"
                 state = None if state is None else "late"
-                yield Row(token=key[0], at=at, state=said, created_at=created, confirmed_at=at)
-        if state == "live" and now >= deadline:
-            state = "expired"
-            yield Row(token=key[0], at=created + timedelta(milliseconds=self.ttl), state=state, created_at=created, confirmed_at=None)
-        self._keep(held, later, kept, (created, deadline, state), now)
-
-    def _keep(self, held, later, kept, review, now):
-        if later:
-            self.waiting.put([tuple(e) for e in later])
-            for moment in {_millis(at) for at, _ in later}:
-                self.handle.registerTimer(moment)
-        elif held:
-            self.waiting.clear()
-        _, deadline, state = review
-        if state is None:
+                yield Row(token=token, at=at, state=said, created_at=created, confirmed_at=at)
+            if state is not None:
+                reviews[token] = (created, deadline, state)
+        awaited = {token for token, *_ in later}
+        for token, (created, deadline, state) in list(reviews.items()):
+            if state == "live" and now >= deadline:
+                reviews[token] = (created, deadline, "expired")
+                yield self._expired(token, created)
+            if now >= deadline + self.remember and token not in awaited:
+                del reviews[token]
+        if past:
+            _put(self.waiting, later)
+        elif arrived:
+            self.waiting.appendList(arrived)
+        if reviews != kept:
+            _put(self.reviews, [(token, *review) for token, review in reviews.items()])
+        self._arm(later, reviews, now)
+
+    def _expired(self, token, created):
+        return Row(token=token, at=created + timedelta(milliseconds=self.ttl), state="expired", created_at=created, confirmed_at=None)
+
+    def _arm(self, later, reviews, now):
+        """A timer at the next moment at which the watermark can change anything."""
+        moments = [_millis(at) for _, at, _ in later]
+        moments += [deadline if state == "live" else max(deadline + self.remember, now + 1) for _, deadline, state in reviews.values()]
+        if not moments:
             return
-        if now >= deadline + self.remember and not later:
-            self.review.clear()
-        elif kept is None or tuple(kept) != review:
-            self.review.update(review)
-            self.handle.registerTimer(deadline if state == "live" else deadline + self.remember)
+        armed = self.armed.get()[0] if self.armed.exists() else None
+        if armed is None or armed <= now or min(moments) < armed:
+            self.handle.registerTimer(min(moments))
+            self.armed.update((min(moments),))
+
+
+def _put(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
 
 
 def _millis(at: datetime) -> int:
     return int(at.replace(tzinfo=at.tzinfo or timezone.utc).timestamp() * 1000)
 
 
-def _order(event: tuple[datetime, str]) -> tuple[datetime, bool]:
-    return event[0], event[1] == CONFIRMED  # a review is opened before it is confirmed
+def _order(event: tuple[str, datetime, str]) -> tuple[datetime, bool]:
+    return event[1], event[2] == CONFIRMED  # a review is opened before it is confirmed
 
 
 def watch_pending(
-    pending: DataFrame, confirmations: DataFrame, ttl_hours: int = PENDING_TTL_HOURS, lateness: str = "10 minutes", remember_hours: int = 30 * 24
+    pending: DataFrame, confirmations: DataFrame, ttl_hours: int = PENDING_TTL_HOURS, lateness: str = "10 minutes", remember_hours: int = 30 * 24, buckets: int = BUCKETS
 ) -> DataFrame:
     """T2 on streams: every change of a review's state (token, at, state, created_at, confirmed_at).
 
     States are live, confirmed and expired; `late` and `unknown` are confirmations of an expired review, and of one that never was or is
-    forgotten (`remember_hours` after its deadline). A review of which no event can matter any more costs no state. The state store has to be one
+    forgotten (`remember_hours` after its deadline). A review of which no event can matter any more costs no state. State is keyed by
+    one of `buckets` hashes of the token; the number stays with a checkpoint. The state store has to be one
     with timers: start the query inside `timed_state`.
     """
     opened = pending.select("token", F.col("created_at").alias("at"), F.lit(OPENED).alias("kind"))
     closed = confirmations.select("token", F.col("confirmed_at").alias("at"), F.lit(CONFIRMED).alias("kind"))
     events = opened.unionByName(closed).withWatermark("at", lateness)
-    return events.groupBy("token").transformWithState(
+    return events.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).groupBy("bucket").transformWithState(
         statefulProcessor=Review(ttl_hours, remember_hours), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime"
     )
 
