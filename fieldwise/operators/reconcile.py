@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import mapping_columns
+from ..session import settle
 from .common import first_per_key
 from .matching import vendor_alias_index, with_norm
 
@@ -51,9 +52,9 @@ def reconcile_map(columns: DataFrame, targets: DataFrame, index: DataFrame, over
     if overrides is not None:
         base = base.join(overrides.select(*PAIR), PAIR, "left_anti").unionByName(overrides.select(*PAIR, "field_name"))
     hits = with_norm(columns, "header").join(vendors, "dataset_id").join(base, PAIR)
-    covered = hits.groupBy("dataset_id", F.col("field_name").alias("target_field")).agg(
+    covered = settle(hits.groupBy("dataset_id", F.col("field_name").alias("target_field")).agg(
         F.min(F.struct("col_idx", "header", "vendor")).alias("_m")
-    ).select("dataset_id", "target_field", "_m.header", "_m.vendor")
+    ).select("dataset_id", "target_field", "_m.header", "_m.vendor"))  # what is filled and what is not are both read off it
     key = ["dataset_id", "target_field"]
     mappings = targets.join(covered, key).select(*mapping_columns(
         source_column=F.col("header"), confidence=F.lit(1.0),

@@ -181,9 +181,9 @@ def reconcile(
     columns = settle(annotate_locales(tables.columns, tables.rows))
     conflicts = detect_conflicts(incoming, master)
     remaining = conflicts if choices is None else undecided(conflicts, choices)
-    overrides = None if choices is None else override_index(choices, master, incoming)
+    overrides = None if choices is None else settle(override_index(choices, master, incoming))
     held = remaining.select("vendor").distinct()
-    free = vendors.join(held, "vendor", "left_anti")
+    free = settle(vendors.join(held, "vendor", "left_anti"))
     both = master.unionByName(incoming.withColumn("field_seq", F.lit(-1)).select(*master.columns))
     targets = targets_for(tables.datasets.join(free, "dataset_id", "left_semi").withColumn("schema_name", F.lit(field_set.name)), fields)
     filled, uncovered = reconcile_map(tables.columns, targets, vendor_alias_index(both), overrides, free)
@@ -230,20 +230,20 @@ def reconcile_import(
     fields = field_set.frame(spark)
     of_target = F.col("schema_id") == target_schema_id
     known = Dictionary(dictionary.schemas.filter(of_target), dictionary.fields.filter(of_target), dictionary.aliases)
-    master = alias_view(*known)
+    master = settle(alias_view(*known))
     map_fields, errors = read_master_maps(envelopes)
     incoming = settle(master_map_aliases(map_fields))
     asked = with_norm(incoming, "source_column").select("map_id", "vendor", "norm", F.col("field_name").alias("map_file_field")).distinct()
     conflicts = settle(detect_conflicts(incoming, master).distinct().join(asked, ["vendor", "norm", "map_file_field"]).select("map_id", "vendor", "source_column", "norm", "master_field", "map_file_field"))
-    remaining = conflicts if choices is None else undecided(conflicts, choices)
-    overrides = None if choices is None else override_index(choices, master, incoming)
+    remaining = conflicts if choices is None else settle(undecided(conflicts, choices))
+    overrides = None if choices is None else settle(override_index(choices, master, incoming))
 
     free_maps = envelopes.join(remaining.select("map_id").distinct(), "map_id", "left_anti")
     next_fields, next_aliases, _ = import_master_map(dictionary.fields, dictionary.aliases, target_schema_id, free_maps, imported_at)
     changes = settle(changeset(dictionary, Dictionary(dictionary.schemas, next_fields, next_aliases)))
     merged = apply_changes(dictionary, changes)
 
-    free = vendors.join(remaining.select("vendor").distinct(), "vendor", "left_anti")
+    free = settle(vendors.join(remaining.select("vendor").distinct(), "vendor", "left_anti"))
     index = vendor_alias_index(alias_view(merged.schemas.filter(of_target), merged.fields, merged.aliases))
     targets = targets_for(tables.datasets.join(free, "dataset_id", "left_semi").withColumn("schema_name", F.lit(field_set.name)), fields)
     filled, uncovered = reconcile_map(tables.columns, targets, index, overrides, free)

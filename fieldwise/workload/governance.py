@@ -275,7 +275,7 @@ def master_map_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def dictionaries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two dictionaries over (supplier, part name): the master says the part's type, the map file disagrees on some."""
     part = table(spark, sf, "part")
-    pairs = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_name").agg(F.min("p_partkey").alias("seq"), F.min_by("p_type", "p_partkey").alias("kind"))
+    pairs = settle(table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_name").agg(F.min("p_partkey").alias("seq"), F.min_by("p_type", "p_partkey").alias("kind")))
     vendor = F.concat(F.lit("vendor "), F.col("l_suppkey").cast("string")).alias("vendor")
     master = pairs.filter(F.col("seq") % 5 != 0).select(F.lit("s").alias("schema_name"), vendor, F.col("p_name").alias("source_column"), F.col("kind").alias("field_name"), F.lit(0).cast("bigint").alias("field_seq"), "seq")
     incoming = pairs.filter(F.col("seq") % 7 != 0).select(
@@ -294,15 +294,14 @@ def reconcile_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return r.detect_conflicts(incoming, master)
 
 
-def choices(spark: SparkSession, sf: str) -> DataFrame:
-    master, _ = dictionaries(spark, sf)
+def choices(master: DataFrame) -> DataFrame:
     return master.filter(F.col("seq") % 2 == 0).select("vendor", F.concat(F.lit("  "), F.col("source_column")).alias("source_column"), F.when(F.col("seq") % 4 == 0, "take_map_file").otherwise("keep_master").alias("decision"))
 
 
 @query("reconcile_undecided", f"with {SQL_PAIRS} select vendor, source_column, norm, master_field, map_file_field from cf where seq%2=1")
 def reconcile_undecided(spark: SparkSession, sf: str) -> DataFrame:
     master, incoming = dictionaries(spark, sf)
-    return r.undecided(r.detect_conflicts(incoming, master), choices(spark, sf))
+    return r.undecided(r.detect_conflicts(incoming, master), choices(master))
 
 
 @query(
@@ -311,7 +310,7 @@ def reconcile_undecided(spark: SparkSession, sf: str) -> DataFrame:
 )
 def reconcile_overrides(spark: SparkSession, sf: str) -> DataFrame:
     master, incoming = dictionaries(spark, sf)
-    return r.override_index(choices(spark, sf), master, incoming)
+    return r.override_index(choices(master), master, incoming)
 
 
 @query(
@@ -328,7 +327,7 @@ def reconcile_mapping(spark: SparkSession, sf: str) -> DataFrame:
     vendors = master.select(ident.alias("dataset_id"), "vendor").distinct()
     fields = master.unionByName(incoming).groupBy("schema_name", F.col("field_name").alias("target_field")).agg(F.lit(True).alias("required"))
     targets = vendors.withColumn("schema_name", F.lit("s")).join(fields, "schema_name").select("dataset_id", "target_field", "required")
-    mappings, _ = r.reconcile_map(columns, targets, vendor_alias_index(master), r.override_index(choices(spark, sf), master, incoming), vendors)
+    mappings, _ = r.reconcile_map(columns, targets, vendor_alias_index(master), r.override_index(choices(master), master, incoming), vendors)
     return mappings.select("dataset_id", "target_field", "source_column", "confidence", "needs_confirmation")
 
 
@@ -348,7 +347,7 @@ def reconcile_plan(spark: SparkSession, sf: str) -> DataFrame:
     ident = F.regexp_replace("vendor", "vendor ", "supplier-").alias("dataset_id")
     part = table(spark, sf, "part")
     pairs = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_name").agg(F.min("p_partkey").alias("seq"))
-    named = pairs.select(F.concat(F.lit("vendor "), F.col("l_suppkey").cast("string")).alias("vendor"), "p_name", "seq")
+    named = settle(pairs.select(F.concat(F.lit("vendor "), F.col("l_suppkey").cast("string")).alias("vendor"), "p_name", "seq"))
     columns = named.select(ident, F.col("seq").cast("int").alias("col_idx"), F.col("p_name").alias("header"))
     vendors = named.select(ident, "vendor").distinct()
     ids = vendors.select("dataset_id")
@@ -384,8 +383,8 @@ def import_case(spark: SparkSession, sf: str) -> tuple[Tables, Dictionary, DataF
     spelled = F.struct("vendor", "source_column", F.lit("map").alias("provenance_actor"))
     per_field = incoming.groupBy("vendor", F.col("field_name").alias("name")).agg(F.sort_array(F.collect_list(spelled)).alias("aliases"))
     maps = per_field.groupBy(F.col("vendor").alias("map_id")).agg(F.sort_array(F.collect_list(F.struct("name", F.lit("text").alias("type"), "aliases"))).alias("fields"))
-    envelopes = maps.select("map_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("s").alias("name"), "fields")).alias("envelope"))
-    pairs = master.select("vendor", "source_column", "seq").unionByName(incoming.select("vendor", F.lower("source_column").alias("source_column"), "seq")).distinct()
+    envelopes = settle(maps.select("map_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("s").alias("name"), "fields")).alias("envelope")))
+    pairs = settle(master.select("vendor", "source_column", "seq").unionByName(incoming.select("vendor", F.lower("source_column").alias("source_column"), "seq")).distinct())
     ident = F.regexp_replace("vendor", "vendor ", "supplier-").alias("dataset_id")
     vendors = pairs.select(ident, "vendor").distinct()
     columns = pairs.select(ident, F.col("seq").cast("int").alias("col_idx"), F.col("source_column").alias("header"))
