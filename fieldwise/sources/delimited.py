@@ -2,8 +2,8 @@
 
 Files are read as splittable text, so one multi-gigabyte file is as parallel as many small
 ones. What depends on earlier lines of a file (line numbers, open quotes, record numbers)
-is computed in blocks; no task holds a whole file. Two staged tables in the checkpoint folder
-(marked lines, split records) keep every later branch a plain scan.
+is computed in blocks; no task holds a whole file. Staged tables in the checkpoint folder (marked
+lines, split records, and the small ones of headers and refused files) keep every later branch a plain scan.
 """
 
 from __future__ import annotations
@@ -279,8 +279,8 @@ def scan_delimited(
 ) -> Scan:
     """Every readable file below `path` as a dataset, every other one as an error row.
 
-    `hints` is (file_id, delimiter). Marked lines and split records are each worked out once and written
-    as columns into the checkpoint folder; everything returned is lazy over those two tables.
+    `hints` is (file_id, delimiter). Marked lines, split records, headers and refused files are each worked out once and written
+    as columns into the checkpoint folder; everything returned is lazy over those tables.
     """
     return scan_lines(read_lines(spark, path), inventory(spark, path), hints, na_words)
 
@@ -305,17 +305,19 @@ def scan_lines(raw: DataFrame, files: DataFrame | None = None, hints: DataFrame
     placed = place_records(ready)
     ends = placed.groupBy(*KEY).agg(F.max_by("ends_inside", "line_no").alias("_open"))
     whole = placed.join(ends.filter(~F.col("_open")), KEY, "left_semi")
+    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parsed = settle(join_records(whole).select(
         "file_id", "record_no", "delimiter", (strip(F.col("text")) == "").alias("blank"),
         split_fields(F.col("text"), F.col("delimiter")).alias("cells"),
-    ))
+    ).repartition(tasks, "file_id", "record_no"))  # few bytes, much work: the records of one file are read by many tasks
     unclosed = usable.join(parsed.select("file_id").distinct(), KEY, "left_anti").select(
         "file_id", _error(F.col("file_id"), "a quoted cell is never closed").alias("error")
     )
     first = parsed.filter(~F.col("blank")).groupBy(*KEY).agg(F.min("record_no").alias("_header"))
-    heads = parsed.join(first, KEY).filter(F.col("record_no") == F.col("_header")).select(
+    # One row a file. Its true size is known before rows are joined with it, so the rows of few large files stay where they were read.
+    heads = settle(parsed.join(first, KEY).filter(F.col("record_no") == F.col("_header")).select(
         "file_id", "_header", "delimiter", F.col("cells").alias("names"), F.size("cells").alias("n_cols")
-    )
+    ))
     data = parsed.join(heads.select("file_id", "_header", "n_cols"), KEY).filter(F.col("record_no") > F.col("_header"))
     excess = F.when(~F.col("blank"), F.size("cells") - F.col("n_cols"))
     widths = data.groupBy(*KEY).agg(
@@ -333,7 +335,7 @@ def scan_lines(raw: DataFrame, files: DataFrame | None = None, hints: DataFrame
     )
     guarded = guard_dropped_lines(lines.filter("is_comment"), heads.select("file_id", "delimiter", "n_cols"))
     errors = union_all([refused, garbled, empty, unclosed, ragged, guarded])
-    bad = ragged.select("file_id").unionByName(guarded.select("file_id")).distinct()
+    bad = settle(ragged.select("file_id").unionByName(guarded.select("file_id")).distinct())
     ident = dataset_id(F.col("file_id"), F.lit(None).cast("string"), F.lit(0))
     good_heads = heads.join(bad, KEY, "left_anti")
     columns = disambiguate_labels(

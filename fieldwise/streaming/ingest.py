@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import FieldSet, Tables, dataset_id
 from ..operators.convert import assemble, bind
 from ..plans.pipeline import Review, map_corpus
-from ..session import workspace
+from ..session import settle, workspace
 from ..sources.delimited import placed_lines, scan_lines
 
 # Files one micro-batch takes in.
@@ -50,7 +50,7 @@ def ingest_batch(
         scan = scan_lines(placed_lines(lines))
         review = map_corpus(scan.tables, field_set, aliases(), profiles())
         ready = review.readiness.filter("ready").select("dataset_id")
-        bound = bind(review.mappings.join(ready, "dataset_id", "left_semi"), review.columns, field_set.frame(spark), review.formats)
+        bound = settle(bind(review.mappings.join(ready, "dataset_id", "left_semi"), review.columns, field_set.frame(spark), review.formats))
         named = scan.tables.datasets.select("dataset_id", "source_file")
         tidy = assemble(scan.tables.rows, bound, field_set, scan.tables.datasets)
         errors = scan.errors.select(dataset_id(F.col("file_id"), F.lit(None).cast("string"), F.lit(0)).alias("dataset_id"), "file_id", "error")
