@@ -89,20 +89,35 @@ def raw_value(cells: Column, col_idx: Column, constant: Column) -> Column:
     return F.when(col_idx.isNotNull(), F.try_element_at(cells, col_idx + 1)).otherwise(constant)
 
 
-def convert_field(field: Field, raw: Column, locale: Column, resolved: Column) -> tuple[Column, Column]:
-    """(typed value, flagged) of one declared field; the declared type is known when the plan is built."""
+def parsed_field(field: Field, raw: Column, locale: Column, resolved: Column) -> Column:
+    """What a raw text reads as under the declared type, which is known when the plan is built; integers still as doubles."""
+    if field.type in ("number", "integer"):
+        return numbers.parse_number(raw, locale)
+    if field.type == "date":
+        return dates.convert_date(raw, F.coalesce(resolved, F.lit(field.date_format).cast("string")))
+    return raw
+
+
+def finished_field(field: Field, raw: Column, parsed: Column, locale: Column) -> tuple[Column, Column]:
+    """(typed value, flagged) of one declared field, given what its text reads as."""
     if field.type == "number":
-        return to_number(raw, locale)
+        return parsed, numbers.number_flag(raw, locale, parsed)
     if field.type == "integer":
-        return to_integer(raw, locale)
+        narrowed = numbers.narrow_to_long(parsed)
+        return narrowed, numbers.number_flag(raw, locale, parsed) | (parsed.isNotNull() & narrowed.isNull())
     if field.type == "date":
-        return to_date_field(raw, resolved, F.lit(field.date_format).cast("string"))
+        return parsed, raw.isNotNull() & parsed.isNull()
     flagged = F.lit(False)
     if field.unit is not None:
         flagged = unit_mismatch(raw, F.lit(field.type).cast("string"), F.lit(field.unit))
     return raw, flagged
 
 
+def convert_field(field: Field, raw: Column, locale: Column, resolved: Column) -> tuple[Column, Column]:
+    """(typed value, flagged) of one declared field in one expression; over many rows, stage the two steps in projections."""
+    return finished_field(field, raw, parsed_field(field, raw, locale, resolved), locale)
+
+
 def assemble(
     rows: DataFrame,
     bound: DataFrame,
@@ -134,16 +149,19 @@ def assemble(
             for i in range(len(field_set.fields))
         ],
     )
+    parsed = staged.withColumns({
+        f"_v{i}": parsed_field(f, F.col(f"_r{i}"), F.col(f"_b{i}.locale"), F.col(f"_b{i}.resolved_format")) for i, f in enumerate(field_set.fields)
+    })
     typed, flags, kept = [], [], []
     for i, field in enumerate(field_set.fields):
         raw = F.col(f"_r{i}")
-        value, flagged = convert_field(field, raw, F.col(f"_b{i}.locale"), F.col(f"_b{i}.resolved_format"))
+        value, flagged = finished_field(field, raw, F.col(f"_v{i}"), F.col(f"_b{i}.locale"))
         typed.append(value.cast(SPARK_TYPES[field.type]).alias(field.name))
         flags.append(F.when(flagged, F.lit(field.name)))
         if SPARK_TYPES[field.type] != "string":
             kept.append(F.when(raw.isNotNull() & value.isNull(), F.struct(F.lit(field.name).alias("key"), raw.alias("value"))))
     entries = F.array_compact(F.array(*kept)) if kept else F.array().cast("array<struct<key:string,value:string>>")
-    return staged.select(
+    return parsed.select(
         "dataset_id", "row_idx", *typed,
         F.map_from_entries(entries).alias("__raw"),
         F.array_compact(F.array(*flags)).alias("__flags"),
@@ -152,15 +170,22 @@ def assemble(
 
 
 def assemble_wide(df: DataFrame, positions: dict[str, Column], locales: dict[str, str], field_set: FieldSet, formats: dict[str, str] | None = None) -> DataFrame:
-    """C10 for one wide table with a settled mapping: a pure projection, no join and no shuffle."""
+    """C10 for one wide table with a settled mapping: projections alone, no join and no shuffle.
+
+    Staged, so that a raw text is made once a row and read once, however often its value and flag refer to it.
+    """
+    fields = list(enumerate(field_set.fields))
+    locale = {f.name: F.lit(locales.get(f.name)).cast("string") for f in field_set.fields}
+    raws = df.select(*[(positions[f.name].cast("string") if f.name in positions else F.lit(None).cast("string")).alias(f"_r{i}") for i, f in fields])
+    parsed = raws.withColumns({
+        f"_v{i}": parsed_field(f, F.col(f"_r{i}"), locale[f.name], F.lit((formats or {}).get(f.name)).cast("string")) for i, f in fields
+    })
     typed, flags = [], []
-    for field in field_set.fields:
-        raw = positions[field.name].cast("string") if field.name in positions else F.lit(None).cast("string")
-        resolved = F.lit((formats or {}).get(field.name)).cast("string")
-        value, flagged = convert_field(field, raw, F.lit(locales.get(field.name)).cast("string"), resolved)
+    for i, field in fields:
+        value, flagged = finished_field(field, F.col(f"_r{i}"), F.col(f"_v{i}"), locale[field.name])
         typed.append(value.cast(SPARK_TYPES[field.type]).alias(field.name))
         flags.append(F.when(flagged, F.lit(field.name)))
-    return df.select(*typed, F.array_compact(F.array(*flags)).alias("__flags"))
+    return parsed.select(*typed, F.array_compact(F.array(*flags)).alias("__flags"))
 
 
 def flagged_fields(tidy: DataFrame) -> DataFrame:
