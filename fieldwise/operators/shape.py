@@ -77,7 +77,11 @@ def unique_first_column(region: DataFrame, suspects: DataFrame, keys: list[str])
 
 
 def shape_facts(region: DataFrame, keys: list[str] = SHEET_KEY) -> DataFrame:
-    """Everything P7 decides on, one row per sheet."""
+    """Everything P7 decides on, one row per sheet.
+
+    The region is settled: the first columns of suspects are read from it again, and a region's cells are typed by its maker at each reading.
+    """
+    region = settle(region.select(*keys, "row_idx", "cells"))
     judged = settle(region_facts(region, keys).withColumn(
         "inverted", (F.col("row_homogeneity") - F.coalesce("column_homogeneity", F.lit(0.0))) >= TRANSPOSED_MARGIN
     ))

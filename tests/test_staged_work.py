@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from fieldwise.operators import shape
 from fieldwise.workload import checks
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +13,19 @@ SF = "/root/testdata/sf0.001"
 def test_a_wide_table_makes_each_raw_text_once(spark):
     plan = checks.assemble_wide(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("date_format(") == 1
+
+
+def test_a_region_is_typed_once(spark, frame):
+    rows = [("plain", i, ["s", "1"]) for i in range(300)] + [("flipped", 0, ["name", "a", "b"]), ("flipped", 1, ["key", "1", "2"])]
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def kinds(values):
+        calls.add(1)
+        return ["num" if v.isdigit() else "str" for v in values]
+
+    made = frame(rows, "sheet string, row_idx bigint, v array<string>").withColumn("t", kinds("v"))
+    region = made.select("sheet", "row_idx", F.arrays_zip("v", "t").alias("cells"))
+    found = shape.classify_shape(region, keys=["sheet"])
+    assert {tuple(r) for r in found.collect()} == {("plain", "row_per_record"), ("flipped", "transposed")}
+    assert calls.value == len(rows)
