@@ -9,6 +9,7 @@ from ..functions.numbers import FLOAT_TEXT
 from ..functions.dates import shape_of
 from ..functions.text import strip
 from ..model import EVIDENCE_ROWS, HEADER_MARGIN, HEADER_SCAN_ROWS, HEADER_TYPE_WINDOW
+from ..session import settle
 
 SHEET_KEY = ["file_id", "sheet"]
 
@@ -152,11 +153,13 @@ def disambiguate_labels(columns: DataFrame, style: str = "paren") -> DataFrame:
     """
     same = Window.partitionBy("dataset_id", "header").orderBy("col_idx")
     ranked = columns.select("dataset_id", "col_idx", "header", F.row_number().over(same).alias("_k"))
-    named = ranked.withColumn("_name", F.when(F.col("header") == "", "").otherwise(_spelled(F.col("header"), F.col("_k"), style)))
+    named = settle(ranked.withColumn("_name", F.when(F.col("header") == "", "").otherwise(_spelled(F.col("header"), F.col("_k"), style))))
     made = named.filter((F.col("_k") > 1) & (F.col("header") != "")).select("dataset_id", F.col("_name").alias("header"))
-    clashes = made.join(columns.select("dataset_id", "header"), ["dataset_id", "header"], "left_semi").select("dataset_id").distinct()
+    # Only a label that ends like a numbered name can be one: the others need no look-up.
+    alike = named.filter(F.col("header").rlike(r" \([0-9]+\)$" if style == "paren" else r"\.[0-9]+$")).select("dataset_id", "header")
+    clashes = settle(made.join(alike, ["dataset_id", "header"], "left_semi").select("dataset_id").distinct())
     plain = named.join(clashes, "dataset_id", "left_anti").select("dataset_id", "col_idx", F.col("_name").alias("header"))
-    return plain.unionByName(_fold_labels(columns.join(clashes, "dataset_id", "left_semi"), style))
+    return plain.unionByName(_fold_labels(named.select("dataset_id", "col_idx", "header").join(clashes, "dataset_id", "left_semi"), style))
 
 
 def _fold_labels(columns: DataFrame, style: str) -> DataFrame:

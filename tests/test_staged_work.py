@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldwise.operators import shape
+from fieldwise.operators import header, shape
 from fieldwise.workload import checks
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,19 @@ def test_a_region_is_typed_once(spark, frame):
     found = shape.classify_shape(region, keys=["sheet"])
     assert {tuple(r) for r in found.collect()} == {("plain", "row_per_record"), ("flipped", "transposed")}
     assert calls.value == len(rows)
+
+
+def test_label_lists_are_read_once(spark, frame):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(v):
+        calls.add(1)
+        return v
+
+    labels = {"plain": ["X", "X", "Y"], "clash": ["X", "X (2)", "X"], "near": ["X (2)", "Z", "Z"]}
+    rows = [(d, i, v) for d, vs in labels.items() for i, v in enumerate(vs)]
+    found = header.disambiguate_labels(frame(rows, "dataset_id string, col_idx int, header string").withColumn("header", seen("header")))
+    got = {d: [r.header for r in sorted(found.collect(), key=lambda r: r.col_idx) if r.dataset_id == d] for d in labels}
+    assert got == {"plain": ["X", "X (2)", "Y"], "clash": ["X", "X (2)", "X (3)"], "near": ["X (2)", "Z", "Z (2)"]}
+    assert calls.value == len(rows)
