@@ -224,7 +224,8 @@ def score_schemas(columns: DataFrame, fields: DataFrame, index: DataFrame, repla
 
     replayed: dataset_id, schema_name, field_name, header from profile hits; it outranks any crosswalk.
     Schemas without coverage do not appear. Coverage comes from an equi-join on spellings, so a
-    dataset meets only the schemas it shares a spelling with.
+    dataset meets only the schemas it shares a spelling with. The score is a count of its own: where nothing
+    asks for the matched map, no list is made and no header is moved.
     """
     cross = covered_fields(columns, index).withColumn("source", F.lit("crosswalk"))
     if replayed is not None:
@@ -235,14 +236,14 @@ def score_schemas(columns: DataFrame, fields: DataFrame, index: DataFrame, repla
     )
     scored = (
         cross.groupBy("dataset_id", "schema_name", "source")
-        .agg(F.array_sort(F.collect_list(F.struct("field_name", "header"))).alias("_pairs"))
+        .agg(F.array_sort(F.collect_list(F.struct("field_name", "header"))).alias("_pairs"), F.count("*").alias("_n"))
         .join(declared, "schema_name")
         .withColumn("_names", F.transform("_pairs", lambda p: p["field_name"]))
         .select(
             "dataset_id", "schema_name", "source", F.map_from_entries("_pairs").alias("matched"),
             F.array_except(F.transform("_declared", lambda d: d["name"]), F.col("_names")).alias("uncovered"),
             "total",
-            F.when(F.col("total") == 0, 0.0).otherwise(F.size("_pairs") / F.col("total")).alias("score"),
+            F.when(F.col("total") == 0, 0.0).otherwise(F.col("_n") / F.col("total")).alias("score"),
         )
     )
     order = [F.when(F.col("source") == "profile", 0).otherwise(1), F.col("score").desc(), F.col("schema_name")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldwise.operators import header, shape
-from fieldwise.workload import checks
+from fieldwise.workload import checks, matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,8 @@ def test_label_lists_are_read_once(spark, frame):
     got = {d: [r.header for r in sorted(found.collect(), key=lambda r: r.col_idx) if r.dataset_id == d] for d in labels}
     assert got == {"plain": ["X", "X (2)", "Y"], "clash": ["X", "X (2)", "X (3)"], "near": ["X (2)", "Z", "Z (2)"]}
     assert calls.value == len(rows)
+
+
+def test_preselection_collects_no_lists(spark):
+    plan = matching.schema_preselect(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
