@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import release, settled
 
 MAX_ROUNDS = 60
 
@@ -15,7 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of large stars and small stars: each node's neighbours are hung on the least of them, until every node
     hangs on its root. Minima are partial before the shuffle, rounds grow with the logarithm of the longest chain, and each
-    round's edges are written to the shared folder. Nothing but two numbers a round reaches the driver. No links give no rows;
+    round's edges are written to the shared folder, and what a round left on the driver (plans, broadcast tables of small rounds) is let go
+    before the next. Nothing but two numbers a round reaches the driver. No links give no rows;
     repeated links and links of a node with itself change nothing.
     """
     x, y = F.col(a), F.col(b)
@@ -32,6 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select(F.col("m").alias("v"), F.col("least").alias("m")).unionByName(small.select("v", F.col("least").alias("m")))
         edges = settled(small.filter("v <> m").distinct(), "links")
         before, state = state, _state(edges)
+        release(edges.sparkSession)
         if state == before:
             return edges.select(F.col("v").alias("node"), F.col("m").alias("root")).unionByName(
                 edges.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()
