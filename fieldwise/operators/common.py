@@ -24,6 +24,15 @@ def descending(c: Column) -> Column:
     return -c
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Exchanged by `keys` into partitions whose number stands, for header lists that are sorted next.
+
+    AQE merges partitions by their compressed size. Headers repeat, so that what is small there is many times as large in a task's sorts.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 BLOCK_ROWS = 8192
 
 

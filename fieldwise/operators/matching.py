@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_header, normalise_header_native
 from ..model import mapping_columns
-from .common import first_per_key
+from .common import dealt, first_per_key
 from .seams import PROPOSALS, RANKINGS, answered
 
 Proposer = Callable[[DataFrame], DataFrame]
@@ -72,11 +72,13 @@ def replay_profiles(hits: DataFrame, columns: DataFrame) -> DataFrame:
     source_column_occurrence, inferred_value>>. A header that is not unique needs confirmation.
     """
     stored = hits.select("dataset_id", F.explode("field_mappings").alias("m")).select("dataset_id", "m.*")
-    named = with_occurrence(with_norm(columns, "header")).select(
+    normed = dealt(with_norm(columns, "header").select("dataset_id", "col_idx", "header", "norm"), "dataset_id", "norm")
+    named = with_occurrence(normed).select(
         "dataset_id", F.col("norm").alias("source_column_normalised"), F.col("occurrence").alias("source_column_occurrence"),
         "header", "n_same",
     )
-    joined = stored.join(named, ["dataset_id", "source_column_normalised", "source_column_occurrence"], "left")
+    place = ["dataset_id", "source_column_normalised", "source_column_occurrence"]
+    joined = dealt(stored, *place).join(dealt(named, *place), place, "left")
     unsure = F.coalesce(F.col("n_same") > 1, F.lit(False))
     reasoning = (
         F.when(unsure, "applied from a saved profile, but this header is not unique here; confirm the column")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldwise.operators import header, shape
+from fieldwise.operators import closures, header, shape
+from fieldwise.operators import matching as match
 from fieldwise.workload import checks, matching
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,21 @@ def test_label_lists_are_read_once(spark, frame):
 def test_preselection_collects_no_lists(spark):
     plan = matching.schema_preselect(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_replayed_profiles_stay_dealt(spark, frame):
+    columns = frame([("d", 0, "A"), ("d", 1, " a"), ("e", 0, "a")], "dataset_id string, col_idx int, header string")
+    entry = "field_mappings array<struct<target_field:string,source_column_normalised:string,source_column_occurrence:int,inferred_value:string>>"
+    hits = frame([("d", [("x", "a", 1, None), ("y", "b", 0, None)]), ("e", [("x", "a", 0, None)])], f"dataset_id string, {entry}")
+    found = match.replay_profiles(hits, columns)
+    assert {(r.dataset_id, r.target_field, r.source_column, r.needs_confirmation) for r in found.collect()} == {("d", "x", " a", True), ("d", "y", None, False), ("e", "x", "a", False)}
+    assert found.rdd.getNumPartitions() >= 16
+
+
+def test_closed_drafts_stay_dealt(spark, frame):
+    columns = frame([("d", 0, "A"), ("d", 1, "B")], "dataset_id string, col_idx int, header string")
+    rows = [("d", 0, 1, "b", "text", True, "r"), ("d", 1, 1, "again", "text", True, "r"), ("d", 2, 7, "far", "text", True, "r")]
+    drafts = frame(rows, "dataset_id string, position int, column_index int, name string, type string, required boolean, reason string")
+    found = closures.close_drafts(drafts, columns)
+    assert [(r.source_header, r.name) for r in found.collect()] == [("B", "b")]
+    assert found.rdd.getNumPartitions() >= 16
