@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..model import mapping_columns
-from .common import first_per_key
+from .common import dealt, first_per_key
 from .seams import DRAFTS, answered
 
 
@@ -70,7 +70,7 @@ def close_drafts(drafts: DataFrame, columns: DataFrame) -> DataFrame:
     """
     widths = columns.groupBy("dataset_id").agg(F.count("*").alias("_width"))
     entry = F.struct("position", "column_index", strip(F.col("name")).alias("name"), "type", "required", "reason")
-    lists = drafts.groupBy("dataset_id").agg(F.array_sort(F.collect_list(entry)).alias("_drafts")).join(widths, "dataset_id")
+    lists = dealt(drafts, "dataset_id").groupBy("dataset_id").agg(F.array_sort(F.collect_list(entry)).alias("_drafts")).join(widths, "dataset_id")
     kind = lists.schema["_drafts"].dataType.simpleString()
 
     def step(kept, d):
@@ -80,7 +80,8 @@ def close_drafts(drafts: DataFrame, columns: DataFrame) -> DataFrame:
 
     kept = lists.select("dataset_id", F.explode(F.aggregate("_drafts", F.array().cast(kind), step)).alias("d")).select("dataset_id", "d.*")
     headers = columns.select("dataset_id", F.col("col_idx").alias("column_index"), F.col("header").alias("source_header"))
-    return kept.join(headers, ["dataset_id", "column_index"]).select(
+    place = ["dataset_id", "column_index"]
+    return dealt(kept, *place).join(dealt(headers, *place), place).select(
         "dataset_id", "position", "source_header", "name", "type", "required", "reason"
     )
 
