@@ -259,14 +259,31 @@ def _within_bounds(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFr
     return map_rows(pairs.join(left, "x").join(right, "y"), test, "x bigint, y bigint")
 
 
-def _tile_pairs(places: DataFrame, roots: DataFrame, shapes: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
+def _merged_tiles(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tile, h): tiles with the same largest component made one, where that one asks for fewer comparisons than they do together.
+
+    Near copies meet in some hundred tiles, and a pair would be compared and named in each of them. In the tile made of these it is once. Tiles of
+    one component are left out. Every pair of different components that met before still meets.
+    """
+    rows = places.join(roots, "h")
+    parts = rows.groupBy("tile", "root").agg(F.count("*").alias("size"))
+    met = parts.groupBy("tile").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    met = met.select("tile", F.col("most.root").alias("major"), ((F.col("all") - F.col("most.size")) * F.col("all")).alias("apart"))
+    together = rows.join(met.select("tile", "major"), "tile").groupBy("major", "h").agg(F.max("root").alias("root"))
+    together = together.groupBy("major").agg(F.count("*").alias("all"), F.count_if(F.col("root") != F.col("major")).alias("asking"))
+    work = met.groupBy("major").agg(F.sum("apart").alias("apart")).join(together, "major")
+    named = F.when(F.col("asking") * F.col("all") <= F.col("apart"), F.xxhash64(F.lit("merged"), "major")).otherwise(F.col("tile"))
+    return met.select("tile", "major").join(work, "major").select("tile", named.alias("into")).join(places, "tile").select(F.col("into").alias("tile"), "h").distinct()
+
+
+def _tile_pairs(places: DataFrame, roots: DataFrame, shapes: DataFrame, p: int, q: int, wanted: str) -> DataFrame:
     """(tile, x, y): pairs of different components in one tile that the size and bitmap bounds let pass.
 
     `places` has (tile, h), `roots` (h, root), `shapes` (h, n, bits). Tiles of one component are left out while their rows are still narrow; sizes and
     bitmaps join what is left. In a tile every row outside its largest component asks, all rows answer: of two rows of different components at least
     one asks, and a stray row in a tile of a large group costs one comparison a row. Many rows are cut into blocks on both sides, and each pair
-    of blocks is a piece of work of its own. With `nearest`, of an asking row's pairs in a piece only the one whose bitmaps differ least; a
-    tile that gives none has none.
+    of blocks is a piece of work of its own. `wanted` is "all" of the pairs, or "nearest": of an asking row's pairs in a piece only the one whose
+    bitmaps differ least (a tile that gives none has none), or "ends": each row of a piece that is in any pair, once, as x and y.
     """
     rows = places.join(roots, "h")
     parts = rows.groupBy("tile", "root").agg(F.count("*").alias("size"))
@@ -300,9 +317,16 @@ def _tile_pairs(places: DataFrame, roots: DataFrame, shapes: DataFrame, p: int,
                     continue
                 size = min(map(len, bits[a:b]))
                 m = np.stack([fold(x, size) for x in bits[a:b]]).view(np.uint64)
-                for u, v in _passing(m, n[a:b], h[a:b], root[a:b], minor[a:b], ask[a:b], p, q, nearest):
+                ends = np.zeros(b - a, dtype=bool)
+                for u, v in _passing(m, n[a:b], h[a:b], root[a:b], minor[a:b], ask[a:b], p, q, wanted == "nearest"):
+                    if wanted == "ends":
+                        ends[u] = ends[v] = True
+                        continue
                     x, y = h[a:b][u], h[a:b][v]
                     held.append(np.stack([np.full(len(x), tile[a]), np.minimum(x, y), np.maximum(x, y)]))
+                if ends.any():
+                    x = np.unique(h[a:b][ends])  # a row that asks also answers
+                    held.append(np.stack([np.full(len(x), tile[a]), x, x]))
                 if sum(k.shape[1] for k in held) > YIELD:
                     yield _pair_batch(held)
                     held = []
@@ -351,7 +375,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
 
     Equal sets are one node however many rows have them. Sets that share many tiles with others are central to their group. Each set is paired
     with the most central one of all its tiles, and where the bounds let that pass, the two form a first group; across first groups, tiles are
-    compared by bitmaps. Sets within the bounds of no other are done with then, and only the others' texts are read again, for their arrays.
+    compared by bitmaps; those of one group's tiles that overlap are one there, so a pair is named about once. Sets within the bounds of no other are done with then, and only the others' texts are read again, for their arrays.
     Those verify the first pairs; of what is still apart in a tile the nearest pairs are verified, then all. So a group of thousands of near copies
     costs about one comparison a member, and no pair of different components goes untested.
     """
@@ -370,7 +394,8 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     first = settled(_within_bounds(first.select(F.col("c.h").alias("x"), F.col("h").alias("y")), drawn, p, q), "first-pairs")
     groups = components(first, "x", "y").withColumnsRenamed({"node": "h", "root": "group"})
     alone = drawn.select("h").join(groups, "h", "left").select("h", F.coalesce("group", "h").alias("root"))
-    across = settled(_tile_pairs(places, alone, drawn.select("h", "n", "bits"), p, q, True), "apart")
+    met = settled(_merged_tiles(places, alone), "merged-tiles")
+    across = settled(_tile_pairs(met, alone, drawn.select("h", "n", "bits"), p, q, "ends"), "apart")
     release(spark)
     ends = first.unionByName(across.select("x", "y"))
     near = settled(ends.select(F.col("x").alias("h")).unionByName(ends.select(F.col("y").alias("h"))).distinct(), "near")
@@ -381,9 +406,10 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     links = settled(_verified(first, sets, p, q), "near-links")
     roots, places = components(links), settled(places.join(near, "h", "left_semi"), "near-tiles")
     discard(tiles, degrees, across)
-    for nearest in (True, False):
+    for wanted in ("nearest", "all"):
         named = drawn.join(roots, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("root"))
-        apart = settled(_tile_pairs(places, named, drawn.select("h", "n", "bits"), p, q, nearest), "apart")
+        places = settled(_merged_tiles(places, named), "merged-tiles")
+        apart = settled(_tile_pairs(places, named, drawn.select("h", "n", "bits"), p, q, wanted), "apart")
         places = places.join(apart.select("tile").distinct(), "tile", "left_semi")  # what else is within the bounds is in these
         more = settled(_verified(apart.select("x", "y").distinct(), sets, p, q), "near-links")
         if not more.isEmpty():

@@ -201,6 +201,42 @@ def test_suffix_tree_without_training(spark, odd, nothing):
     assert suffix_tree.score(nothing, model, counts, keep={"doc_id": F.col("doc_id")}).count() == 0
 
 
+def test_a_pair_is_named_about_once(spark, monkeypatch):
+    r = rng(21)
+    base = words(r, 120, 5_000)
+    texts = [" ".join(base)]
+    for _ in range(60):  # near copies, many of them just beyond the threshold
+        ws = list(base)
+        for k in r.sample(range(120), r.choice((2, 3, 3))):
+            ws[k] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    seen, plain = [], jaccard_join.settled
+
+    def settled(df, what):
+        out = plain(df, what)
+        if what == "apart":
+            seen.append((out.count(), out.select("x", "y").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settled", settled)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {row.doc_id: row.component_id for row in jaccard_join.near_copies(df).collect()}
+    _, roots = brute_components(texts, 5, 80, 100)
+    assert [found[i] for i in range(len(texts))] == roots and 1 < len(set(roots)) < len(texts)
+    assert sum(rows for rows, _ in seen) <= 3 * sum(pairs for _, pairs in seen), seen
+
+
+def test_every_end_of_a_pair_is_looked_at(spark):
+    """The largest member of a tile of single sets doesn't ask, and may be nobody's nearest."""
+    bits = {1: bytes(32), 2: b"\x01" + bytes(31), 3: b"\x00\xff" + bytes(30)}
+    places = spark.createDataFrame([(7, h) for h in bits], "tile long, h long")
+    roots = spark.createDataFrame([(h, h) for h in bits], "h long, root long")
+    shapes = spark.createDataFrame([(h, 36, bytearray(b)) for h, b in bits.items()], "h long, n long, bits binary")
+    found = {p: jaccard_join._tile_pairs(places, roots, shapes, 80, 100, p).select("x", "y").collect() for p in ("ends", "nearest", "all")}
+    assert sorted(r.x for r in found["ends"]) == [1, 2, 3] and 3 not in {h for r in found["nearest"] for h in (r.x, r.y)}
+    assert sorted((r.x, r.y) for r in found["all"]) == [(1, 2), (1, 3)]
+
+
 # ---- decontamination ----
 
 QUESTION = (
